@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idcoder, packing, tokencount
+from . import idcoder, lm, packing, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_documents(spark, sf_dir))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_documents(spark, sf_dir))
+
+
 def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.round_trip(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op8_range_coded_ids)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_lm_scores, op8_range_coded_ids)}
 ORACLE_SQL: dict[str, str] = {}
