@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idcoder, lm, packing, tokencount
+from . import idcoder, langid, lm, packing, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_documents(spark, sf_dir))
 
@@ -27,5 +31,5 @@ def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.round_trip(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts, op4_lm_scores, op8_range_coded_ids)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_token_counts, op4_lm_scores, op8_range_coded_ids)}
 ORACLE_SQL: dict[str, str] = {}
