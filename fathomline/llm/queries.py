@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idcoder, langid, lm, packing, tokencount
+from . import idcoder, langid, lm, packing, quality, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +31,11 @@ def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.round_trip(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_token_counts, op4_lm_scores, op8_range_coded_ids)}
+def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_token_counts, op4_lm_scores, op8_range_coded_ids, op9_quality_divergence)}
 ORACLE_SQL: dict[str, str] = {}
