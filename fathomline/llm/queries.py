@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idcoder, langid, lm, packing, quality, tokencount
+from . import idcoder, langid, lm, mixing, packing, quality, substrings, tokencount
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(_documents(spark, sf_dir)).drop("row")
+
+
 def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idcoder.round_trip(_documents(spark, sf_dir))
 
@@ -37,5 +41,9 @@ def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_token_counts, op4_lm_scores, op8_range_coded_ids, op9_quality_divergence)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "source", "copy_no", "shuffle_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_token_counts, op4_lm_scores, op7_substring_dedup, op8_range_coded_ids, op9_quality_divergence, op10_poisson_mixing)}
+ORACLE_SQL: dict[str, str] = {"op10_poisson_mixing": mixing.oracle_sql()}
