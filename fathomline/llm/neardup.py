@@ -23,10 +23,8 @@ _U = np.uint64
 SHINGLE = 5
 #: Rows of a table sent to every worker, at most; a larger one is joined by shuffle.
 MOST_BROADCAST = 2_000_000
-#: Nodes of one band compared pair by pair at once, at most; larger bands go round by round.
-SMALL_BAND = 64
-#: Leaders that every node of a larger band meets in one round.
-LEADERS = 32
+#: Nodes of a band in one task, and leaders that they all meet in one round, about.
+CHUNK = 256
 
 # fixed odd multipliers, one for every place in a shingle
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
@@ -53,21 +51,44 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Weights:
     """TF-IDF weights, from the exact document frequencies of common shingles.
 
-    A shingle that is not in the table counts as found in one document.
+    A shingle that is not in the table counts as found in one document.  For
+    sampling the inverse frequency counts in full, so that documents with
+    nothing but a common passage in common seldom meet.  For comparison it only
+    goes from 1 to 1 + SPAN, else the many copies of a document would make its
+    own shingles worth little and copies with a few changes unlike.
     """
 
+    SPAN = 0.25
+
     def __init__(self, keys: np.ndarray, df: np.ndarray, documents: int):
         self.keys, self.df, self.documents = keys, df, documents
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(keys >> _U(42)).astype(np.int64)] = True
 
-    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of one text, in order, and their weights."""
-        distinct, tf = np.unique(hashes, return_counts=True)
+    def __getstate__(self):
+        return self.keys, self.df, self.documents
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _idf(self, distinct: np.ndarray) -> np.ndarray:
         df = np.ones(len(distinct))
-        if len(self.keys) and len(distinct):
-            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-            found = self.keys[at] == distinct
-            df[found] = self.df[at[found]]
-        return distinct, tf * (np.log((self.documents + 1) / (df + 1)) + 1)
+        at = np.flatnonzero(self.maybe[(distinct >> _U(42)).view(np.int64)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.keys, distinct[at]), len(self.keys) - 1)
+            found = self.keys[place] == distinct[at]
+            df[at[found]] = self.df[place[found]]
+        return np.log((self.documents + 1) / (df + 1))
+
+    def sampling(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of one text, in order, and their weights for sampling."""
+        distinct, tf = np.unique(hashes, return_counts=True)
+        return distinct, tf * (self._idf(distinct) + 1)
+
+    def comparing(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the weights for comparison."""
+        distinct, tf = np.unique(hashes, return_counts=True)
+        return distinct, tf * (1 + self.SPAN * self._idf(distinct) / np.log(self.documents + 2))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -83,31 +104,35 @@ class Sampler:
 
     For sample k and shingle s: r, c ~ Gamma(2, 1) and b ~ U(0, 1), fixed by
     (s, k); t = floor(ln w / r + b), ln a = ln c - r (t - b) - r; the sample is
-    the (s, t) of least a.  The variates come from tables of 2^16 draws, read
-    at bits of a multiplied hash.
+    the (s, t) of least a.  The variates come from tables of 4096 draws each,
+    read at three places of a multiplied hash.
     """
 
     def __init__(self, bands: int, rows: int, seed: int = 41):
         rng = np.random.default_rng(seed)
         self.bands, self.rows = bands, rows
-        self.mult = rng.integers(1 << 62, 1 << 63, bands * rows, dtype=np.int64).astype(_U) | _U(1)
-        self.r = rng.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
-        self.b = rng.random(1 << 16).astype(np.float32)
+        self.mult = (rng.integers(1 << 62, 1 << 63, bands * rows, dtype=np.int64).astype(_U) | _U(1))[:, None]
+        self.r = rng.gamma(2.0, 1.0, 4096).astype(np.float32)
+        self.log_c = np.log(rng.gamma(2.0, 1.0, 4096)).astype(np.float32)
+        self.b = rng.random(4096).astype(np.float32)
 
     def signature(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit hash per sample."""
-        log_w = np.log(weights).astype(np.float32)[:, None]
-        best = None
-        for at in range(0, len(keys), 1024):
-            h = keys[at : at + 1024, None] * self.mult[None, :]
-            r = self.r[(h >> _U(48)).astype(np.int64)]
-            b = self.b[((h >> _U(32)) & _U(0xFFFF)).astype(np.int64)]
-            t = np.floor(log_w[at : at + 1024] / r + b)
-            a = self.log_c[((h >> _U(16)) & _U(0xFFFF)).astype(np.int64)] - r * (t - b + 1)
-            i = a.argmin(axis=0)
-            k = np.arange(len(self.mult))
-            now = (a[i, k], keys[at + i], t[i, k])
+        log_w = np.log(weights).astype(np.float32)[None, :]
+        k, best = np.arange(len(self.mult)), None
+        for at in range(0, len(keys), 512):
+            some = keys[at : at + 512]
+            place = (some[None, :] * self.mult).view("<u2").reshape(len(k), len(some), 4) >> 4
+            r, b, a = np.take(self.r, place[:, :, 3]), np.take(self.b, place[:, :, 2]), np.take(self.log_c, place[:, :, 1])
+            t = log_w[:, at : at + 512] / r
+            t += b
+            np.floor(t, out=t)
+            b -= t
+            b -= 1
+            b *= r
+            a += b
+            i = a.argmin(axis=1)
+            now = (a[k, i], some[i], t[k, i])
             if best is None:
                 best = now
             else:
@@ -224,13 +249,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for b in slices(whole, "text"):
                 n, h = shingles(b.column(1))
                 at = starts_of(n)
-                keys = [sampler.band_keys(*w.of(h[x:y])).tolist() if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
+                keys = [sampler.band_keys(*w.sampling(h[x:y])).tolist() if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
-    signed = source.mapInArrow(sign, "doc_id long, node binary, bands array<long>")
+    signed = materialize(source.mapInArrow(sign, "doc_id long, node binary, bands array<long>"), "signed")
     # every member once; copies of one text are combined before the shuffle
-    members = materialize(signed.groupBy("node", "doc_id").agg(F.count("*").alias("n"), F.first("bands").alias("bands")), "members")
-    nodes = members.groupBy("node").agg(F.first("bands").alias("bands"))
+    members = materialize(signed.groupBy("node", "doc_id").agg(F.count("*").alias("n")), "members")
+    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     placed = materialize(nodes.select("node", F.explode("bands").alias("band")), "bands")
     shared = placed.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter(F.col("size") > 1)
     placed = materialize(placed.join(shared, "band"), "shared")
@@ -244,7 +269,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = weights.value
-            seen = lru_cache(512)(lambda t: w.of(shingles(pa.array([t]))[1]))
+            seen = lru_cache(512)(lambda t: w.comparing(shingles(pa.array([t]))[1]))
             for whole in batches:
                 for b in slices(whole, "text_b"):
                     keep = [weighted_jaccard(seen(x), seen(y)) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -254,30 +279,63 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         full = pairs.select("a", "b").distinct().join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
         return materialize(full.mapInArrow(compare, "a binary, b binary"), "links")
 
+    def meet(rows: DataFrame) -> DataFrame:
+        """Links found in groups of rows (band, chunk, node, comp, leads): each leader meets all."""
+
+        def compare(group: pa.Table) -> pa.Table:
+            nodes, comp, leads = (group[c].to_pylist() for c in ("node", "comp", "leads"))
+            n, h = shingles(group["text"].combine_chunks())
+            at = starts_of(n)
+            sets = [weights.value.comparing(h[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            owner = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
+            keys, w = (np.concatenate(x) for x in zip(*sets, strict=True))
+            total = np.array([x.sum() for _, x in sets])
+            number = {c: i for i, c in enumerate(dict.fromkeys(comp))}
+            label = np.array([number[c] for c in comp])
+            found = []
+            for i in np.flatnonzero(leads):
+                mine, mine_w = sets[i]
+                fits = (label != label[i]) & (np.minimum(total, total[i]) >= similarity * np.maximum(total, total[i]))
+                if not fits.any() or not len(mine):
+                    continue
+                place = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
+                hit = mine[place] == keys
+                low = np.bincount(owner[hit], np.minimum(w[hit], mine_w[place[hit]]), len(sets))
+                near = np.flatnonzero(fits & (low >= similarity * (total + total[i] - low)))
+                for j in near:
+                    found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                    label[label == label[j]] = label[i]
+            return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+        full = rows.join(texts, "node")
+        return full.groupBy("band", "chunk").applyInArrow(compare, "a binary, b binary")
+
     # first every node meets one leader of each of its bands
     links = verify(placed.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")))
     done = placed.select("band", F.col("leader").alias("node")).distinct()
-    turn = 0
+    labels, turn = components(links), 0
     while True:
-        labels = components(links)
-        # nodes that have not met all others of their band, in bands that still hold several components
-        comp = placed.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+        # nodes that have not met all others of their band, in bands where these are of several components
+        comp = placed.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
         left = comp.join(done, ["band", "node"], "left_anti")
-        mixed = left.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter(F.col("x") != F.col("y")).select("band", "n")
-        open_ = materialize(left.join(mixed, "band"), "open")
+        parts = left.groupBy("band", "comp").agg(F.count("*").alias("m"))
+        mixed = parts.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("n")).filter(F.col("most.m") < F.col("n"))
+        open_ = materialize(left.join(mixed.select("band", "n", F.col("most.m").alias("m"), F.col("most.comp").alias("main")), "band"), "open")
         if open_.isEmpty():
             break
-        small, large = open_.filter(F.col("n") <= SMALL_BAND), open_.filter(F.col("n") > SMALL_BAND)
-        one, two = (small.select("band", F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
-        pairs = one.join(two, "band").filter((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select("a", "b")
-        seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(LEADERS))
-        heads = large.groupBy("band", seat.alias("seat")).agg(F.min(F.struct("node", "comp")).alias("head"))
-        met = heads.groupBy("band").agg(F.collect_list("head").alias("heads"))
-        rounds = large.join(met, "band").select("node", "comp", F.explode("heads").alias("head")).filter(F.col("comp") != F.col("head.comp"))
-        pairs = pairs.union(rounds.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")))
-        links = materialize(links.union(verify(pairs)).distinct(), "links")
-        done = materialize(done.union(small.select("band", "node")).union(heads.select("band", "head.node")), "done")
+        # those outside a band's largest component lead, about CHUNK at a time; when they have met all, the band is done
+        few = F.col("n") - F.col("m") <= CHUNK
+        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) < F.lit(CHUNK << 30) / (F.col("n") - F.col("m"))
+        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit(turn + 1)), chunks).cast("int")
+        seated = open_.select("band", "node", "comp", ((F.col("comp") != F.col("main")) & (few | drawn)).alias("leads"), chunks.alias("chunks"), own.alias("own"))
+        rows = seated.select("band", "node", "comp", "leads", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))).alias("chunk"))
+        new = materialize(meet(rows).distinct(), "links")
+        done = materialize(done.union(seated.filter("leads").select("band", "node")), "done")
         turn += 1
+        if not new.isEmpty():
+            links = materialize(links.union(new), "links")
+            labels = components(links)
 
     named = members.join(labels, "node", "left").select("doc_id", "node", "n", F.coalesce("comp", "node").alias("comp"))
     # no id ranks last
