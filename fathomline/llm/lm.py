@@ -48,8 +48,12 @@ def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Tokens per text (its end included), and the hash of every token."""
     lens, codes, words = lower_words(texts)
-    flat = word_hashes(words)[codes] if len(words) else np.zeros(0, _U)
-    return lens + 1, np.insert(flat, np.cumsum(lens), _END)
+    return lens + 1, with_ends(word_hashes(words)[codes], lens, _END)
+
+
+def with_ends(values: np.ndarray, lens: np.ndarray, end) -> np.ndarray:
+    """A value for every word, and one for the end of every text."""
+    return np.insert(values, np.cumsum(lens), end)
 
 
 def bigram_keys(lens: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,45 +65,46 @@ def bigram_keys(lens: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Filter:
-    """Bits in segments; an n-gram's bits all lie in the segment its hash names."""
+    """Bits in segments; an n-gram's bits all lie in the segment its hash names.
+
+    Keys count by their first 48 bits, which is what travels between workers.
+    """
 
-    PROBES = 4
+    PROBES = 3
 
-    def __init__(self, segments: list[bytes], segment_bits: int):
-        self.bits = np.frombuffer(b"".join(segments), np.uint8)
-        self.shift = _U(64 - (len(segments) - 1).bit_length()) if len(segments) > 1 else None
+    def __init__(self, bits: bytes, segments: int, segment_bits: int):
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.shift = _U(64 - (segments - 1).bit_length()) if segments > 1 else None
         self.segment_bits = segment_bits
 
     @staticmethod
-    def places(keys: np.ndarray, levels: np.ndarray, segment_bits: int):
-        """The PROBES bit places of every (key, level) within its segment, one array at a time."""
-        h = mix64(keys + levels.astype(_U) * _U(0xD6E8FEB86659FD93))
+    def places(keys: np.ndarray, level: int, segment_bits: int):
+        """The PROBES bit places of every key at a level within its segment, one array at a time."""
+        h = mix64((keys & ~_U(0xFFFF)) + _U(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
         one, two = h & _U(0xFFFFFFFF), (h >> _U(32)) | _U(1)
         for i in range(Filter.PROBES):
-            yield (one + two * _U(i)) % _U(segment_bits)
+            yield (((one + two * _U(i)) & _U(0xFFFFFFFF)) * _U(segment_bits) >> _U(32)).view(np.int64)
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        base = (keys >> self.shift) * _U(self.segment_bits) if self.shift is not None else np.zeros(len(keys), _U)
-        live = np.arange(len(keys))
-        levels = np.full(len(keys), level, _U)
-        for place in self.places(keys, levels, self.segment_bits):
-            at = base[live] + place[live]
-            hit = (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
-            out[live[~hit]] = False
-            live = live[hit]
+        """Indexes of the keys whose bits of the level are all set."""
+        base = (keys >> self.shift).view(np.int64) * self.segment_bits if self.shift is not None else np.zeros(len(keys), np.int64)
+        live = None
+        for place in self.places(keys, level, self.segment_bits):
+            at = base + place if live is None else base[live] + place[live]
+            hit = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            live = hit if live is None else live[hit]
             if not len(live):
                 break
-        return out
+        return live
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of every key: the last one of an unbroken run of present levels."""
         out = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         for level in range(1, MAX_LEVEL + 1):
-            live = live[self.has(keys[live], level)]
             if not len(live):
                 break
+            live = live[self.has(keys[live], level)]
             out[live] = level
         return out
 
@@ -135,29 +140,32 @@ class Model:
     def __init__(self, filt: Filter, scale: Scale, total: int, distinct: int, weights: np.ndarray):
         self.filter, self.scale, self.total, self.distinct, self.weights = filt, scale, total, distinct, weights
 
-    def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def parts(self, words: tuple[np.ndarray, np.ndarray, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Tokens per text; unigram probability, bigram and history level and own level per token."""
-        lens, tokens = token_hashes(texts)
-        distinct, code = np.unique(tokens, return_inverse=True)
-        own = self.filter.levels(mix64(distinct))[code]
-        before, pair = bigram_keys(lens, tokens)
+        lens, codes, distinct = words
+        hashes = np.append(word_hashes(distinct), [_END, _BEGIN])
+        level = self.filter.levels(mix64(hashes))
+        own = with_ends(level[codes], lens, level[-2])
+        tokens = with_ends(hashes[codes], lens, _END)
+        lens = lens + 1
+        _, pair = bigram_keys(lens, tokens)
         history = np.empty_like(own)
         history[1:] = own[:-1]
-        history[starts_of(lens)[:-1]] = self.filter.levels(mix64(np.array([_BEGIN])))[0]
+        history[starts_of(lens)[:-1]] = level[-1]
         follows = np.zeros_like(own)
         known = np.flatnonzero((history > 0) & (own > 0))  # a pair is no more frequent than its parts
         follows[known] = np.minimum(self.filter.levels(pair[known]), np.minimum(history, own)[known])
         p1 = (self.scale.low[own] + 1) / (self.total + self.distinct + 1)
         return lens, p1, follows, history, own
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score(self, words: tuple[np.ndarray, np.ndarray, pa.Array]) -> np.ndarray:
         """log10 probability of every text, its end included.
 
         P(w | h) = (1 - a) P1(w) + a c(h, w) / c(h), with a by the level of h;
         c(h, w) is the least and c(h) the largest count of its level, so that
         the probabilities of one history do not exceed 1 in sum.
         """
-        lens, p1, follows, history, _ = self.parts(texts)
+        lens, p1, follows, history, _ = self.parts(words)
         p2 = self.scale.low[follows] / np.maximum(self.scale.high[history], 1)
         a = self.weights[history]
         return sum_by_row(np.log10((1 - a) * p1 + a * p2), lens)
@@ -267,27 +275,26 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 keep = level >= least
                 keys, level = keys[keep], level[keep]
                 bits = np.zeros(segment_bits, bool)
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    keys, level = keys[level >= q], level[level >= q]
-                    for place in Filter.places(keys, np.full(len(keys), q), segment_bits):
+                for now in range(1, int(level.max(initial=0)) + 1):
+                    keys, level = keys[level >= now], level[level >= now]
+                    for place in Filter.places(keys, now, segment_bits):
                         bits[place] = True
                 yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
     built = merged.select("segment", "keys", "levels").mapInArrow(build, "segment int, bits binary").toArrow()
     have = dict(zip(built["segment"].to_pylist(), built["bits"].to_pylist(), strict=True))
     blank = bytes(segment_bits // 8)
-    packed = spark.sparkContext.broadcast([have.get(s, blank) for s in range(segments)])
+    packed = spark.sparkContext.broadcast(b"".join(have.get(s, blank) for s in range(segments)))
     del built, have
 
     def model(weights: np.ndarray) -> Model:
-        # keys lose their last 16 bits on the way, so probes must as well
-        return Model(_Cut(packed.value, segment_bits), scale, total, distinct, weights)
+        return Model(Filter(packed.value, segments, segment_bits), scale, total, distinct, weights)
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(np.zeros(MAX_LEVEL + 1))
         for whole in batches:
             for b in slices(whole, "text"):
-                _, p1, follows, history, own = m.parts(b.column(0))
+                _, p1, follows, history, own = m.parts(lower_words(b.column(0)))
                 pair, past = scale.low[follows] - 1, np.maximum(scale.high[history] - 1, 1)
                 left1 = np.maximum(p1 - 1 / max(total + distinct + 1, 1), 1e-300)
                 seen = (pair > 0) & (own > 0)
@@ -311,16 +318,15 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         logs = np.append(np.log10(counts + 1.0), 0.0)
         end = (np.log10(n_train + 1.0), int(n_train > 0))
         for whole in batches:
-            for b in slices(whole, "text"):
-                texts = b.column(2)
-                lens, codes, words_ = lower_words(texts)
+            for b in slices(whole, "text", 4 << 20):
+                lens, codes, words_ = lower_words(b.column(2))
                 place = head_lookup(words_, names)
                 near = sum_by_row(logs[place][codes], lens) + end[0]
                 n_known = sum_by_row((place >= 0).astype(np.int64)[codes], lens) + end[1]
                 row, term, freq = tail_rows(lens, codes, words_, place)
                 n, k = len(lens), len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), b.column(3), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(near), pa.array(n_known), pa.array(lens + 1), pa.array(m.score(texts))], names=_NAMES)
+                    [b.column(0), b.column(1), b.column(3), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(near), pa.array(n_known), pa.array(lens + 1), pa.array(m.score((lens, codes, words_)))], names=_NAMES)
                 if k:
                     none = pa.nulls(k, pa.int64())
                     yield pa.RecordBatch.from_arrays(
@@ -339,11 +345,4 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-class _Cut(Filter):
-    """A filter whose keys are known by their first 48 bits."""
-
-    def has(self, keys: np.ndarray, level: int) -> np.ndarray:
-        return super().has(keys & ~_U(0xFFFF), level)
-
-
 _NAMES = ["row", "doc_id", "held_out", "term", "freq", "near", "near_known", "n_tokens", "score"]
