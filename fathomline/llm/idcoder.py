@@ -30,8 +30,8 @@ from .tokens import WordEncoder
 
 MAGIC = b"FTID"
 VERSION = 1
-#: magic, version, vocabulary size, documents, ids, lanes, crc32 of the ids, crc32 of the body
-HEADER = struct.Struct("<4sIIIQIII")
+#: magic, version, vocabulary size, documents, ids, lanes, crc32 of the ids; then crc32 of all these and the body
+HEADER, CHECK = struct.Struct("<4sIIIQII"), struct.Struct("<I")
 
 _TOTAL_BITS = 24
 _TOTAL = 1 << _TOTAL_BITS
@@ -244,19 +244,20 @@ def write_block(doc_lens: np.ndarray, ids: np.ndarray, vocab: int, lanes: int =
     """A whole block: header, ids per document, and the coded ids."""
     body = np.asarray(doc_lens, "<u4").tobytes() + encode_ids(ids, vocab, lanes)
     check = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
-    return HEADER.pack(MAGIC, VERSION, vocab, len(doc_lens), len(ids), lanes, check, zlib.crc32(body)) + body
+    head = HEADER.pack(MAGIC, VERSION, vocab, len(doc_lens), len(ids), lanes, check)
+    return head + CHECK.pack(zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids per document and all ids; a damaged block raises ValueError."""
-    if len(data) < HEADER.size:
+    if len(data) < HEADER.size + CHECK.size or data[:4] != MAGIC:
         raise ValueError("not a token block")
-    magic, version, vocab, docs, n, lanes, check, body_check = HEADER.unpack_from(data)
-    if magic != MAGIC or version != VERSION:
-        raise ValueError("not a token block")
-    body = data[HEADER.size :]
-    if zlib.crc32(body) != body_check:
+    magic, version, vocab, docs, n, lanes, check = HEADER.unpack_from(data)
+    body = data[HEADER.size + CHECK.size :]
+    if CHECK.unpack_from(data, HEADER.size)[0] != zlib.crc32(body, zlib.crc32(data[: HEADER.size])):
         raise ValueError("token block is damaged")
+    if version != VERSION:
+        raise ValueError(f"token block of version {version}")
     lens = np.frombuffer(body, "<u4", docs).astype(np.int64)
     ids = decode_ids(body[4 * docs :], n, vocab, lanes).astype("<u4") if n else np.zeros(0, "<u4")
     if zlib.crc32(ids) != check or lens.sum() != n:
