@@ -111,8 +111,8 @@ def redirect_shims(files: DataFrame, source_extensions=None) -> DataFrame:
     Chains are followed by joining until no target is a shim; a circle keeps
     no target.
     """
-    body = F.trim(F.regexp_replace(F.col("text"), r"(?m)^\s*(//.*)?$", ""))
-    one = body.rlike(r"\Aexport\s+(type\s+)?(\*(\s+as\s+\w+)?|\{[^}]*\})\s+from\s+[\"'][^\"']+[\"'];?\s*\z") | (body.rlike(r"\A@forward\s+[\"'][^\"']+[\"'];?\s*\z") & (F.col("ext") == ".scss"))
+    body = F.regexp_replace(F.col("text"), r"(?m)^[ \t]*//.*$", "")
+    one = body.rlike(r"\A\s*export\s+(type\s+)?(\*(\s+as\s+\w+)?|\{[^}]*\})\s+from\s+[\"'][^\"']+[\"'];?\s*\z") | (body.rlike(r"\A\s*@forward\s+[\"'][^\"']+[\"'];?\s*\z") & (F.col("ext") == ".scss"))
     shims = files.filter(one)
     edges = resolve(candidates(specifiers(shims), source_extensions), files).filter("resolved IS NOT NULL").groupBy("path").agg(F.min("resolved").alias("target"))
     hops = edges

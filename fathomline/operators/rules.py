@@ -214,12 +214,17 @@ def remove_empty_folders(dirs: DataFrame, *, exclude_dirs=None) -> DataFrame:
     return violations(dirs.filter((F.col("n_entries") == 0) & (F.col("path") != "")), "remove-empty-folders", F.lit("empty folder should be removed"), {"path": F.col("path")}, fix=True)
 
 
+def _without(ranges: Column, words: str) -> Column:
+    """Ranges whose text does not hold the words."""
+    return F.filter(ranges, lambda r: ~F.contains(F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"]), F.lit(words)))
+
+
 def remove_comments(files: DataFrame, keep: list[str] | None = None, *, exclude_dirs=None) -> DataFrame:
     files = with_features(without_excluded(files, exclude_dirs).filter(F.col("ext").isin(list(DEFAULT_EXTENSIONS))), "comment_ranges")
     ranges = F.col("comment_ranges")
     for k in keep or []:
         if k:
-            ranges = F.filter(ranges, lambda r, k=k: ~F.contains(F.substring(F.col("text"), r["start"] + 1, r["end"] - r["start"]), F.lit(k)))
+            ranges = _without(ranges, k)
     kinds = lambda k: F.size(F.filter(ranges, lambda r: r["kind"] == k))
     hits = files.select("path", kinds("line").alias("a"), kinds("block").alias("b")).withColumn("n", F.col("a") + F.col("b")).filter(F.col("n") > 0)
     message = F.concat(F.lit("file contains "), F.col("n"), F.lit(" removable "), texts.plural(F.col("n"), "comment", "comments"))

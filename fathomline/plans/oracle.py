@@ -102,7 +102,7 @@ _DIR = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') E
 _SLUG = r"CASE WHEN regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') = '' THEN 'module' ELSE regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END"
 
 _GRAMS = "r AS (SELECT conv_id * 1000 + turn AS id, role, length(text) AS n, list_distinct(list_transform(range(1, length(text) + 3), lambda i: substr('  ' || text || '  ', i, 3))) AS g FROM conversations WHERE text IS NOT NULL)"
-_PAIRS = f"{_GRAMS}, pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g))::INTEGER AS common, (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::INTEGER AS whole FROM r a JOIN r b ON a.role = b.role AND a.id < b.id AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.75), near AS (SELECT * FROM pairs WHERE common::DOUBLE / whole >= 0.5)"
+_PAIRS = f"{_GRAMS}, pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g))::INTEGER AS common, (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::INTEGER AS whole FROM r a JOIN r b ON a.role = b.role AND a.id < b.id AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.75), near AS (SELECT * FROM pairs WHERE common::DOUBLE / whole >= 0.55)"
 
 _NAME = "replace(p_name, ' ', '_') || '_' || p_size"
 _SCRIPT = f"s AS (SELECT 'parts/' || p_partkey || '.ts' AS path, {_NAME} AS name, p_name, p_brand, p_size, lower(p_type) AS type FROM part)"

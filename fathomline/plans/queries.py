@@ -133,11 +133,11 @@ def _turns(spark, sf_dir) -> DataFrame:
 
 
 def near_dup_pairs(spark, sf_dir):
-    return similar.exact_pairs(_turns(spark, sf_dir), 0.5).select("a", "b", "common", "whole")
+    return similar.exact_pairs(_turns(spark, sf_dir), 0.55).select("a", "b", "common", "whole")
 
 
 def near_dup_components(spark, sf_dir):
-    return similar.groups(similar.exact_pairs(_turns(spark, sf_dir), 0.5))
+    return similar.groups(similar.exact_pairs(_turns(spark, sf_dir), 0.55))
 
 
 def near_dup_bands(spark, sf_dir):
