@@ -117,7 +117,7 @@ ORACLE_SQL = {
     "path_redundancy": _REDUNDANT,
     "path_scalars": f"WITH {_PAGES} SELECT page_id, path AS normal, {_DIR} AS dir, {_BASE} AS base, {_EXT} AS ext, CASE WHEN {_EXT} <> '' THEN left({_BASE}, length({_BASE}) - length({_EXT})) ELSE {_BASE} END AS stem, CASE WHEN starts_with(path, '.') THEN path ELSE './' || path END AS dotted, {_SLUG.format('path')} AS slug, substr(sha1(path), 1, 12) AS sha1, {_singular(f'split_part({_DIR}, chr(47), -1)')} AS token, true AS valid FROM pg",
     "alias_ids": f"WITH {_PAGES}, d AS (SELECT DISTINCT path FROM pg), b AS (SELECT path, '#' || {_SLUG.format(f'CASE WHEN {_EXT} <> chr(32) THEN left(path, length(path) - length({_EXT})) ELSE path END')} AS base FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS k FROM b) SELECT CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS id, path FROM n",
-    "text_scalars": r"SELECT conv_id, turn, length(text)::INTEGER AS chars, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END)::INTEGER AS physical, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::INTEGER AS full, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - ends_with(text, chr(10))::INTEGER END)::INTEGER AS lines, len(list_distinct(list_transform(range(1, length(role) + 3), lambda i: substr('  ' || role || '  ', i, 3))))::INTEGER AS grams, CASE role WHEN 'user' THEN 1618501362 WHEN 'assistant' THEN 3007765287 WHEN 'system' THEN 1226705564 END AS fnv FROM conversations",
+    "text_scalars": r"SELECT conv_id, turn, length(text)::INTEGER AS chars, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END)::INTEGER AS physical, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::INTEGER AS full_lines, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - ends_with(text, chr(10))::INTEGER END)::INTEGER AS lines, len(list_distinct(list_transform(range(1, length(role) + 3), lambda i: substr('  ' || role || '  ', i, 3))))::INTEGER AS grams, CASE role WHEN 'user' THEN 1618501362 WHEN 'assistant' THEN 3007765287 WHEN 'system' THEN 1226705564 END AS fnv FROM conversations",
     "dup_groups": f"WITH {_DOCS}, q AS (SELECT path, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM docs), g AS (SELECT list(path ORDER BY path) AS ps FROM q WHERE length(t) >= 40 GROUP BY t HAVING count(*) > 1) SELECT " + _row("dry", "'multiple files'", "'duplicate function group'", _json(confidence="'1'", files=_list("list_sort(list_distinct(ps))"), fixable="'false'", functions="'[' || array_to_string(list_transform(ps, lambda p: '{\"classification\":\"standalone\",\"filePath\":\"' || p || '\",\"language\":\"text\",\"line\":1,\"name\":\"text\",\"topLevel\":false}'), ',') || ']'", locations=_list("list_transform(ps, lambda p: p || '#text')"), reason="'\"duplicate function group requires human canonicalization\"'", signals="'[\"exact-normalized\"]'")) + " FROM g",
     "near_dup_pairs": f"WITH {_PAIRS} SELECT * FROM near",
     "near_dup_components": f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM near UNION SELECT b, a FROM near), walk AS (SELECT x AS id, x AS grp FROM e UNION SELECT e.y, w.grp FROM walk w JOIN e ON e.x = w.id) SELECT id, min(grp) AS grp FROM walk GROUP BY id",

@@ -116,7 +116,7 @@ def alias_ids(spark, sf_dir):
 def text_scalars(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     t = F.col("text")
-    return c.select("conv_id", "turn", F.length(t).alias("chars"), texts.physical_lines(t).alias("physical"), texts.code_lines(t).alias("full"), F.size(texts.text_lines(t)).alias("lines"), F.size(texts.trigrams(F.left(F.col("role"), F.lit(20)))).alias("grams"), texts.fnv1a(F.col("role")).alias("fnv"))
+    return c.select("conv_id", "turn", F.length(t).alias("chars"), texts.physical_lines(t).alias("physical"), texts.code_lines(t).alias("full_lines"), F.size(texts.text_lines(t)).alias("lines"), F.size(texts.trigrams(F.left(F.col("role"), F.lit(20)))).alias("grams"), texts.fnv1a(F.col("role")).alias("fnv"))
 
 
 def _squeezed(d: DataFrame) -> DataFrame:
