@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -141,6 +142,94 @@ def manifest_drift(root: str, aliases: dict[str, str], tsconfig: str = "tsconfig
     return out
 
 
+def imports(spark: SparkSession, root: str, *, fix: bool = False, strategy: str | Callable = "relative-path-slug", prefix: str = "#", output: str = "tsconfig", allow_relative: list[str] | None = None, seed: int | None = None) -> Result:
+    """Bring aliases, manifests and imports of a tree in line, or say what is not.
+
+    output: ``tsconfig`` writes the aliases as paths, ``folder`` as files of a
+    map under .fathomline/imports.  A package manifest mirrors them.
+    """
+    from .lex.languages import IMPORT_EXTENSIONS
+    from .operators import imports as rules
+
+    files, _ = tree.read_tree(spark, root, ignore=tree.ignore_patterns(root))
+    inventory = [row[0] for row in files.filter(files.ext.isin(IMPORT_EXTENSIONS)).select("path").orderBy("path").collect()]
+    folder, tsconfig = os.path.join(root, ".fathomline", "imports"), os.path.join(root, "tsconfig.json")
+    current = manifests.read_manifest(tsconfig)
+    paths_now = {k: v[0] for k, v in ((current or {}).get("compilerOptions", {}).get("paths") or {}).items() if v}
+    existing = manifests.read_alias_folder(folder) if output == "folder" else paths_now
+    aliases = sync_aliases(root, inventory, strategy=strategy, prefix=prefix, existing=existing, seed=seed)
+    table = spark.createDataFrame(sorted(aliases.items()), "id string, path string")
+    covered = {g.split("/")[0] for g in (current or {}).get("include") or []}
+    if not fix:
+        found = [row.asDict() for row in rules.imports(files, table, allow_relative=allow_relative).orderBy("file_path", "message").collect()]
+        blank = {"fix": True, "details": "{}", "suggested_path": None, "severity": None, "rule": "imports"}
+        drift = [] if output == "folder" and manifests.read_alias_folder(folder) == aliases else manifest_drift(root, aliases)
+        found += [{**blank, "file_path": name, "message": f"{name} does not match the aliases"} for name in drift]
+        if current is not None and current.get("include"):
+            found += [{**blank, "file_path": "tsconfig.json", "message": f"include does not cover {r[0]}"} for r in rules.uncovered_roots(table, sorted(covered)).orderBy("root").collect()]
+        return Result(not found, len(found), found, ["imports"] if found else [])
+    n = {"manifests": 0}
+    if output == "folder":
+        n["manifests"] += manifests.write_alias_folder(folder, aliases)
+        manifests.add_ignore_entry(root, ".fathomline/reports/")
+    elif current is not None:
+        new = manifests.with_paths(current, aliases)
+        if current.get("include"):
+            new = manifests.with_include(new, [r[0] for r in rules.uncovered_roots(table, sorted(covered)).orderBy("root").collect()])
+        n["manifests"] += manifests.write_manifest(tsconfig, new)
+    package = manifests.read_manifest(os.path.join(root, "package.json"))
+    if package is not None:
+        n["manifests"] += manifests.write_manifest(os.path.join(root, "package.json"), manifests.with_managed_imports(package, aliases, prefix))
+    edits = fixes.alias_edits(files, table, ["./"] if allow_relative is None else allow_relative).unionByName(fixes.removal_edits(files))
+    from .sources.sinks import commit
+
+    n |= commit(root, {row["path"]: row["new_text"] for row in fixes.specifier_rewrites(files, edits).collect()})
+    return Result(True, 0, [], [], {"imports": n})
+
+
+@contextmanager
+def tsconfig_paths(root: str, name: str = "tsconfig.json", restore: bool = True):
+    """While the block runs, path targets of the config start with a dot; then it is as before."""
+    path = os.path.join(root, name)
+    before = open(path).read() if os.path.exists(path) else None
+    value = manifests.read_manifest(path)
+    if value is not None:
+        manifests.write_manifest(path, manifests.with_paths(value, {k: v[0] for k, v in (value.get("compilerOptions", {}).get("paths") or {}).items() if v}))
+    try:
+        yield
+    finally:
+        if restore and before is not None:
+            with open(path, "w") as f:
+                f.write(before)
+
+
+def format_targets(files: DataFrame, targets: list[str] | None = None, ignore: dict | None = None) -> DataFrame:
+    """Files to format: under one of the targets and outside what is ignored, each once.
+
+    ignore: names, name_globs, paths, prefixes and globs.
+    """
+    from pyspark.sql import functions as F
+
+    skip = ignore or {}
+    name = paths.basename(F.col("path"))
+    out = F.lit(False)
+    if skip.get("names"):
+        out = out | name.isin(skip["names"])
+    if skip.get("paths"):
+        out = out | F.col("path").isin(skip["paths"])
+    for g in skip.get("name_globs", []):
+        out = out | paths.glob_matches(name, g)
+    for g in skip.get("globs", []):
+        out = out | paths.glob_matches(F.col("path"), g)
+    for p in skip.get("prefixes", []):
+        out = out | F.startswith("path", F.lit(p))
+    inside = F.lit(not targets)
+    for t in targets or []:
+        t = paths.clean(t).rstrip("/")
+        inside = inside | (F.col("path") == t) | F.startswith("path", F.lit(t + "/"))
+    return files.filter(inside & ~out).dropDuplicates(["path_abs"]).orderBy("path")
+
+
 def render(result: Result, warnings: bool = True) -> str:
     """A line per violation and one in sum; warnings may be left out of sight."""
     shown = [v for v in result.violations if warnings or v["severity"] != "warning"]

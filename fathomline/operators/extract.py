@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..lex import comments, declarations, dry, functions, imports, units
+from ..lex import comments, declarations, dry, fold, functions, imports, units
 
 _INT, _STR, _BOOL = pa.int32(), pa.string(), pa.bool_()
 
@@ -28,6 +28,7 @@ FEATURES = {
     "function_spans": (_structs(kind=_STR, name=_STR, start_line=_INT, end_line=_INT, line_count=_INT, code_line_count=_INT), schema.FUNCTION_SPANS, functions.function_spans),
     "declarations": (_structs(kind=_STR, name=_STR, line=_INT), schema.DECLARATIONS, declarations.declarations),
     "module_specifiers": (_structs(specifier=_STR, start=_INT, end=_INT, removal_start=_INT, removal_end=_INT), schema.SPECIFIERS, imports.module_specifiers),
+    "folded_strings": (pa.list_(_STR), "array<string>", fold.folded_strings),
     "imported_names": (pa.list_(_STR), "array<string>", lambda t, e: imports.imported_names(t)),
     "used_identifiers": (pa.list_(_STR), "array<string>", lambda t, e: imports.used_identifiers(t)),
     "dry_descriptors": (_structs(name=_STR, language=_STR, classification=_STR, start_line=_INT, character_count=_INT, fingerprint=_STR), "array<struct<name:string,language:string,classification:string,start_line:int,character_count:int,fingerprint:string>>", dry.descriptors),

@@ -30,16 +30,21 @@ def searchable_text(files: DataFrame, state_dir: str = STATE_DIR) -> Column:
     return F.regexp_replace(text, texts.java_quote(state_dir.lower()) + "[A-Za-z0-9._/-]*", "")
 
 
-def banned_patterns(files: DataFrame, patterns: list[dict], *, exclude_dirs=None, state_dir: str = STATE_DIR) -> DataFrame:
+def banned_patterns(files: DataFrame, patterns: list[dict], *, exclude_dirs=None, state_dir: str = STATE_DIR, fold: bool = False) -> DataFrame:
     """One row per file and pattern found in it; overlapping occurrences count.
 
+    With fold, strings that scripts put together are searched as well.
+
     patterns: {value, allowed_files}.  They are tested side by side in one
     projection, so the files are read once and nothing is multiplied out.
     """
     files = without_excluded(files, exclude_dirs)
     if any(e in IMPORT_EXTENSIONS for e in DEFAULT_EXTENSIONS) and "module_specifiers" not in files.columns and "_plain" not in files.columns:
         files = _script_specifiers(files)
-    searched = files.select("path", searchable_text(files, state_dir).alias("_t"))
+    if fold:
+        files = with_features(files, "folded_strings")
+    parts = F.transform("folded_strings", lambda x: F.lower(x)) if fold else F.array().cast("array<string>")
+    searched = files.select("path", searchable_text(files, state_dir).alias("_t"), parts.alias("_folded"))
 
     def one(p: dict) -> Column:
         allowed = p.get("allowed_files") or []
@@ -47,11 +52,12 @@ def banned_patterns(files: DataFrame, patterns: list[dict], *, exclude_dirs=None
         if allowed:
             n = F.when(F.col("path").isin(allowed), F.lit(0)).otherwise(n)
         files_ = F.array(*(F.lit(a) for a in allowed)).cast("array<string>")
-        return F.struct(F.lit(p["value"]).alias("pattern"), n.alias("n"), files_.alias("allowed"))
+        put = F.filter("_folded", lambda x: F.contains(x, F.lit(p["value"].lower()))) if not allowed else F.when(~F.col("path").isin(allowed), F.filter("_folded", lambda x: F.contains(x, F.lit(p["value"].lower())))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.lit(p["value"]).alias("pattern"), (n + F.size(put)).alias("n"), F.size(put).alias("folded"), put.alias("matches"), files_.alias("allowed"))
 
     hits = searched.select("path", F.inline(F.filter(F.array(*map(one, patterns)), lambda h: h["n"] > 0)))
     message = F.concat(F.lit('file contains banned pattern "'), "pattern", F.lit('"'), F.when(F.col("n") > 1, F.concat(F.lit(" "), F.col("n"), F.lit(" times"))).otherwise(F.lit("")))
-    details = {"pattern": F.col("pattern"), "occurrences": F.col("n"), "foldedOccurrences": F.lit(0), "foldedMatches": F.array().cast("array<string>"), "allowedFiles": F.col("allowed")}
+    details = {"pattern": F.col("pattern"), "occurrences": F.col("n"), "foldedOccurrences": F.col("folded"), "foldedMatches": F.col("matches"), "allowedFiles": F.col("allowed")}
     return violations(hits, "banned-patterns", message, details)
 
 

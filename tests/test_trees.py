@@ -189,3 +189,43 @@ def test_arrivals(spark, tmp_path):
     q = check_arrivals(spark, str(tmp_path / "in"), "p string, t string", lambda d: from_table(d, F.col("p"), F.col("t"), F.lit(".txt")), config, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [r.file_path for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
+
+
+def test_imports_call_brings_everything_in_line(spark, tmp_path):
+    root = make(tmp_path, **{"src/a/x.ts": "import { y } from '../b/y';\ny();\n", "src/b/y.ts": "export const y = 1;\n", "tsconfig.json": '{"include": ["lib/**/*.ts"], "compilerOptions": {"baseUrl": "."}}', "package.json": '{"imports": {"keep": "k"}}'})
+    before = engine.imports(spark, root)
+    assert {v["message"] for v in before.violations} == {"relative import ../b/y should be rewritten to #src-b-y", "tsconfig.json does not match the aliases", "package.json does not match the aliases", "include does not cover src"}
+    engine.imports(spark, root, fix=True)
+    assert engine.imports(spark, root).ok
+    assert json.loads((tmp_path / "package.json").read_text())["imports"] == {"keep": "k", "#src-a-x": "./src/a/x.ts", "#src-b-y": "./src/b/y.ts"}
+    other = make(tmp_path / "o", **{"a.ts": "x\n"})
+    engine.imports(spark, other, fix=True, output="folder")
+    assert manifests.read_alias_folder(os.path.join(other, ".fathomline", "imports")) == {"#a": "a.ts"}
+
+
+def test_paths_are_put_back(tmp_path):
+    p = tmp_path / "tsconfig.json"
+    p.write_text('{"compilerOptions": {"paths": {"#a": ["src/a.ts"]}}} // c')
+    with engine.tsconfig_paths(str(tmp_path)):
+        assert json.loads(p.read_text())["compilerOptions"]["paths"] == {"#a": ["./src/a.ts"]}
+    assert p.read_text().endswith("// c")
+
+
+def test_format_targets(spark, tmp_path):
+    root = make(tmp_path, **{"src/a.ts": "", "src/gen/b.ts": "", "src/c.min.js": "", "lib/d.ts": "", "src/lock.ts": ""})
+    files, _ = tree.read_tree(spark, root)
+    got = engine.format_targets(files, ["./src"], {"names": ["lock.ts"], "name_globs": ["*.min.*"], "prefixes": ["src/gen/"]})
+    assert [f.path for f in got.collect()] == ["src/a.ts"]
+
+
+def test_folded_strings_are_searched(spark):
+    from fathomline.lex.fold import folded_strings
+    from fathomline.operators import rules
+    from fathomline.schema import FILES
+
+    text = "const a = 'for' + 'bid';\nconst b = `${a}den`;\nconst c = ['x', a].join('-');\nfunction f(d) { const z = d + 'q'; }\nconst e = b + unknown();\n"
+    assert folded_strings(text, ".ts") == ["forbid", "forbidden", "x-forbid"]
+    f = spark.createDataFrame([("a", "a.ts", "a.ts", ".ts", 1, text)], FILES)
+    assert rules.banned_patterns(f, [{"value": "forbidden"}]).count() == 0
+    d = json.loads(rules.banned_patterns(f, [{"value": "forbidden"}], fold=True).first().details)
+    assert d["foldedOccurrences"] == 1 and d["foldedMatches"] == ["forbidden"]
