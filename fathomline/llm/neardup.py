@@ -51,11 +51,10 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Weights:
     """TF-IDF weights, from the exact document frequencies of common shingles.
 
-    A shingle that is not in the table counts as found in one document.  For
-    sampling the inverse frequency counts in full, so that documents with
-    nothing but a common passage in common seldom meet.  For comparison it only
-    goes from 1 to 1 + SPAN, else the many copies of a document would make its
-    own shingles worth little and copies with a few changes unlike.
+    A shingle that is not in the table counts as found in one document.  The
+    inverse frequency is scaled to go from 1 to 1 + SPAN: with more, the many
+    copies of a document would make its own shingles worth little, and copies
+    with a few changes unlike.
     """
 
     SPAN = 0.25
@@ -80,13 +79,8 @@ class Weights:
             df[at[found]] = self.df[place[found]]
         return np.log((self.documents + 1) / (df + 1))
 
-    def sampling(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of one text, in order, and their weights for sampling."""
-        distinct, tf = np.unique(hashes, return_counts=True)
-        return distinct, tf * (self._idf(distinct) + 1)
-
-    def comparing(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same with the weights for comparison."""
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of one text, in order, and their weights."""
         distinct, tf = np.unique(hashes, return_counts=True)
         return distinct, tf * (1 + self.SPAN * self._idf(distinct) / np.log(self.documents + 2))
 
@@ -208,22 +202,32 @@ def _small_side(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node of every component of undirected edges (a, b).
 
-    Labels sink along edges and then along labels until nothing changes; each
-    round is written out, so lineage stays short.
+    Every node hooks on to its least neighbour and the edges are contracted to
+    what they hook on to, until none is left; each round is written out and
+    smaller than the one before.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        sunk = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        over = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = materialize(sunk.join(over, "comp").select("node", "old", F.least("comp", "root").alias("comp")), "labels")
-        if new.filter(F.col("old") != F.col("comp")).isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
-
-
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 10, rows: int = 4,
+    left, hooks = materialize(edges.select("a", "b").distinct(), "edges"), []
+    while not left.isEmpty():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "hooks")
+        hooks.append(hook)
+        at = {k: hook.select(F.col("node").alias(k), F.col("comp").alias(f"to_{k}")) for k in "ab"}
+        moved = left.join(at["a"], "a").join(at["b"], "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        left = materialize(moved.filter(F.col("a") != F.col("b")).distinct(), "edges")
+    if not hooks:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("comp"))
+    labels = hooks[0]
+    for hook in hooks[1:]:
+        labels = relabel(labels, hook)
+    return materialize(labels, "labels")
+
+
+def relabel(labels: DataFrame, hook: DataFrame) -> DataFrame:
+    """labels with each component replaced by what it hooks on to, if it does."""
+    return labels.join(hook.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 14, rows: int = 4,
             common_shingles: int = 1 << 18) -> DataFrame:
     """The class of every document: one row per row of docs.
 
@@ -231,7 +235,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     class; null if none has one), first_node (the node that holds it) and
     class_size.  Two different texts are linked if they share a band and their
     weighted Jaccard similarity is at least ``similarity``; a pair of that
-    similarity shares one of 10 bands of 4 with probability over 0.99, and
+    similarity shares one of 14 bands of 4 with probability over 0.999, and
     within a band no pair of different components is left uncompared.
 
     Null texts count as empty, and all empty texts are one class; so are texts
@@ -249,7 +253,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for b in slices(whole, "text"):
                 n, h = shingles(b.column(1))
                 at = starts_of(n)
-                keys = [sampler.band_keys(*w.sampling(h[x:y])).tolist() if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
+                keys = [sampler.band_keys(*w.of(h[x:y])).tolist() if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
     signed = materialize(source.mapInArrow(sign, "doc_id long, node binary, bands array<long>"), "signed")
@@ -269,7 +273,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = weights.value
-            seen = lru_cache(512)(lambda t: w.comparing(shingles(pa.array([t]))[1]))
+            seen = lru_cache(512)(lambda t: w.of(shingles(pa.array([t]))[1]))
             for whole in batches:
                 for b in slices(whole, "text_b"):
                     keep = [weighted_jaccard(seen(x), seen(y)) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -286,7 +290,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             nodes, comp, leads = (group[c].to_pylist() for c in ("node", "comp", "leads"))
             n, h = shingles(group["text"].combine_chunks())
             at = starts_of(n)
-            sets = [weights.value.comparing(h[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            sets = [weights.value.of(h[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
             owner = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
             keys, w = (np.concatenate(x) for x in zip(*sets, strict=True))
             total = np.array([x.sum() for _, x in sets])
@@ -311,9 +315,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return full.groupBy("band", "chunk").applyInArrow(compare, "a binary, b binary")
 
     # first every node meets one leader of each of its bands
-    links = verify(placed.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    first = verify(placed.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")))
     done = placed.select("band", F.col("leader").alias("node")).distinct()
-    labels, turn = components(links), 0
+    labels, turn = components(first), 0
     while True:
         # nodes that have not met all others of their band, in bands where these are of several components
         comp = placed.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
@@ -333,9 +337,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         new = materialize(meet(rows).distinct(), "links")
         done = materialize(done.union(seated.filter("leads").select("band", "node")), "done")
         turn += 1
-        if not new.isEmpty():
-            links = materialize(links.union(new), "links")
-            labels = components(links)
+        if not new.isEmpty():  # components grow by links between them
+            of = {k: comp.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")).distinct() for k in "ab"}
+            between = new.join(of["a"], "a").join(of["b"], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+            roots = components(between.filter(F.col("a") != F.col("b")))
+            every = comp.select("node", "comp").distinct()
+            labels = materialize(relabel(every, roots), "labels")
 
     named = members.join(labels, "node", "left").select("doc_id", "node", "n", F.coalesce("comp", "node").alias("comp"))
     # no id ranks last
