@@ -52,6 +52,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until df has no column of it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of the size of df; it sets numbers of groups only."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

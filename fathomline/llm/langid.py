@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, crc_mod, slices, starts_of
+from .common import as_text, crc_mod, free_names, materialize, slices, starts_of
 from .terms import head
 
 ORDER = 3
@@ -137,22 +137,23 @@ class Scorer:
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 4, held_out: int = 2,
-             fit_docs: int = 1500, max_grams: int = 1 << 21, keep: bool = False) -> DataFrame:
+             fit_docs: int = 1500, max_grams: int = 1 << 21, keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Predict the language of every whole text.
 
     Learns from labelled documents whose crc32 of the id, modulo held_out_mod,
     is not held_out: of each language about fit_docs documents, chosen by hash,
     and of their byte contexts the most frequent, at most max_grams.  Returns
     doc_id, held_out, lang_pred, score (the posterior of the prediction under
-    equal priors), or, with keep, every column of docs with lang_pred and score.
+    equal priors), or, with keep, every column of docs with those two; names
+    gives them other names, and columns of docs that have them are replaced.
 
     ``und`` with score 0 is predicted for texts that are null or have no
     letter, and for all where nothing could be learned.  Ties go to the first
     language in order.  Every row gives one row, repeated or without id; an
     empty table gives no rows.
     """
-    if keep and (clash := {"lang_pred", "score"} & set(docs.columns)):
-        docs = docs.drop(*clash)
+    if keep:
+        docs = docs.drop(*(c for c in docs.columns if c in names))
     spark = docs.sparkSession
     out_of = F.coalesce(crc_mod(F.col(id_col), held_out_mod) == held_out, F.lit(False))
     train = docs.filter(~out_of & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -174,8 +175,6 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n)], names=["lang_no", "gram", "n"])
 
         rows = chosen.select(number[F.col(lang_col)].alias("lang_no"), F.col(text_col).alias("text")).mapInArrow(count, "lang_no long, gram long, n long")
-        from .common import materialize
-
         table = head(materialize(rows.groupBy("lang_no", "gram").agg(F.sum("n").alias("n")), "contexts"), max_grams)
         present = sorted(set(table["lang_no"].to_pylist()))
         if present:
@@ -191,20 +190,20 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             for b in slices(whole, text_col, 1 << 21):
                 texts = as_text(b.column(place))
                 letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
-                names, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+                best_lang, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
                 if scorer is not None and letters.any():
                     bits = scorer.lengths(texts)
                     best = bits.argmin(axis=1)
                     over = bits - bits.min(axis=1, keepdims=True)
                     score = np.where(letters, 1 / np.exp2(-np.minimum(over, 1000)).sum(axis=1), 0.0)
-                    names[letters] = np.array(scorer.langs, object)[best[letters]]
+                    best_lang[letters] = np.array(scorer.langs, object)[best[letters]]
                 columns = [b.column(i) for i in range(b.num_columns) if keep or i != place]
                 kept = [n for n in b.schema.names if keep or n != text_col]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(best_lang, pa.string()), pa.array(score)], names=[*kept, *names])
 
     source = docs if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), out_of.alias("held_out"), F.col(text_col).cast("string").alias(text_col))
     kinds = [f for f in source.schema.fields if keep or f.name != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + f", `{names[0]}` string, `{names[1]}` double"
     return source.mapInArrow(predict, schema)
 
 
@@ -213,5 +212,6 @@ def keep_identified(docs: DataFrame, *, min_score: float = 0.0, **options) -> Da
 
     Documents without a letter go, and those scored below min_score.
     """
-    told = identify(docs, keep=True, **options)
-    return told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*(told[c] for c in docs.columns))
+    lang, score = free_names(docs, "lang_pred", "score")
+    told = identify(docs, keep=True, names=(lang, score), **options)
+    return told.filter((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).select(*docs.columns)

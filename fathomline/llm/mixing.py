@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes
+from .common import free_names, input_bytes
 
 #: Sources sent to every worker, at most; more are joined by shuffle.
 MOST_BROADCAST = 100_000
@@ -62,15 +62,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     docs = docs.drop(*({"copy_no", "shuffle_key"} & set(docs.columns)))
     spread = rates(docs, source_col, weights, temperature, epochs)
     n_sources = spread.count()
-    spread = spread.select(F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("_source"), F.col("cdf").alias("_cdf"))
+    by, cdf, draw, copies = free_names(docs, "_source", "_cdf", "_draw", "_copies")
+    spread = spread.select(F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias(by), F.col("cdf").alias(cdf))
     side = F.broadcast(spread) if n_sources <= MOST_BROADCAST else spread
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    drawn = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("\x00"))).join(side, "_source")
-    u = uniform(F.lit(str(seed)), F.lit("copies"), name)
-    copies = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
-    each = drawn.withColumn("_u", u).withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    drawn = docs.withColumn(by, F.coalesce(F.col(source_col).cast("string"), F.lit("\x00"))).join(side, by)
+    times = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(draw)))
+    each = drawn.withColumn(draw, uniform(F.lit(str(seed)), F.lit("copies"), name)).withColumn(copies, times).filter(F.col(copies) > 0)
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), name, F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
-    many = each.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).withColumn("shuffle_key", key)
+    many = each.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col(copies) - 1))).withColumn("shuffle_key", key)
     parts = max(1, min(1 << 20, -(-input_bytes(docs) // (16 << 20))))
     order = ["shuffle_key", id_col, "copy_no"]
     return many.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*docs.columns, "copy_no", "shuffle_key")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, coded_words, input_bytes, materialize, mix64, slices, starts_of, word_hashes
+from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, slices, starts_of, word_hashes
 
 _U = np.uint64
 SHINGLE = 5
@@ -355,9 +355,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of every class, the one with the least id, in the columns it came with."""
     found = classes(docs, id_col=id_col, text_col=text_col, **options)
-    first = found.filter((F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    first = materialize(first, "kept")
-    node = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    name, node = free_names(docs, "_id", "_node")
+    first = found.filter((F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = materialize(first.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct(), "kept")
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    numbered = docs.withColumn(name, F.col(id_col).cast("long")).withColumn(node, digest)
     side = _small_side(first)
-    keep = docs.withColumn("_node", node).join(side.withColumnRenamed("_node", "_kept"), (F.col("_node") == F.col("_kept")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return keep.dropDuplicates([id_col, "_node"]).select(*docs.columns)
+    keep = numbered.join(side, (numbered[node] == side["kept_node"]) & numbered[name].eqNullSafe(side["kept_id"]), "left_semi")
+    return keep.dropDuplicates([name, node]).select(*docs.columns)

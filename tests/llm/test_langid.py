@@ -80,4 +80,4 @@ def test_kept_documents_keep_their_columns(docs):
     rows = [(i, EN, "en", "s", 1) for i in range(5)] + [(7, "123 !!!"), (8, None)]
     kept = langid.keep_identified(docs(rows).withColumnRenamed("n_chars", "score"))
     assert kept.columns == ["doc_id", "text", "lang", "source", "score"]
-    assert sorted(r.doc_id for r in kept.collect()) == list(range(5))
+    assert sorted((r.doc_id, r.score) for r in kept.collect()) == [(i, 1) for i in range(5)]

@@ -46,6 +46,8 @@ def test_large_rates_keep_their_mean(docs, epochs):
 
 def test_odd_tables(docs, spark):
     assert mixing.mix(docs([])).count() == 0
-    clash = spark.createDataFrame([(1, "t", "s", 9)], "doc_id long, text string, source string, copy_no int")
-    assert mixing.mix(clash, epochs=5.0).columns == ["doc_id", "text", "source", "copy_no", "shuffle_key"]
+    clash = spark.createDataFrame([(1, "t", "s", 9, "mine", "own")], "doc_id long, text string, source string, copy_no int, _source string, _copies string")
+    got = mixing.mix(clash, epochs=5.0)
+    assert got.columns == ["doc_id", "text", "source", "_source", "_copies", "copy_no", "shuffle_key"]
+    assert {(r._source, r._copies) for r in got.collect()} == {("mine", "own")}
     assert mixing.mix(docs(rows()), weights={}).count() == 0

@@ -102,7 +102,7 @@ def test_odd_rows_and_the_one_that_stays(docs, spark, tmp_path):
     kept = nd.drop_near_duplicates(docs(ODD + corpus()[:4])).collect()
     assert len([r for r in kept if r.text == "one"]) == 1 and len(kept) == len({r.text or "" for r in kept})
     assert nd.classes(docs([])).count() == 0 and nd.drop_near_duplicates(docs([])).count() == 0
-    clash = spark.createDataFrame([(1, "a", b"x", 3), (2, "a", b"y", 4)], "doc_id long, text string, node binary, band int")
+    clash = spark.createDataFrame([(1, "a", b"x", 3, 7), (2, "a", b"y", 4, 8)], "doc_id long, text string, node binary, _node int, _id int")
     assert nd.drop_near_duplicates(clash).collect() == [clash.first()]
 
 
