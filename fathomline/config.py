@@ -35,8 +35,9 @@ OPTIONS: dict[str, dict] = {
 STRICT = ("remove-empty-folders", "structural-blank-lines", "remove-comments", "format")
 _COMMON = ("severity", "exclude_dirs")
 
-# fixed values: what a process boundary keeps to itself
-PROCESS_PATTERNS = ("process.env", "process.argv", "process.exit", "process.cwd", "process.stdin", "process.stdout", "process.stderr", "process.on(", "process.kill", "process.pid", "process.platform", "process.version", "process.memoryusage", "process.hrtime")
+# fixed values: what only a process boundary may touch
+ENV_PATTERNS = ("process.env", 'process["env"]', "process['env']")
+PROCESS_PATTERNS = ("process.argv", "process.cwd(", "process.exit(", "process.pid", "process.platform", "process.arch", "process.memoryUsage(", "process.stdin", "process.stdout", "process.stderr", "process.on(")
 
 
 def find_config(root: str) -> Path | None:
@@ -111,8 +112,10 @@ def resolve(config: dict, presets: dict[str, dict] | None = None) -> dict:
         base = merge(base, presets[name])
     boundary = (config.get("helpers") or {}).get("process_boundary")
     if boundary:
-        allowed = list(boundary.get("allowed_files") or []) if isinstance(boundary, dict) else []
-        base = merge(base, {"rules": {"banned-patterns": {"patterns": [{"value": v, "allowed_files": allowed} for v in PROCESS_PATTERNS]}}})
+        allowed = boundary if isinstance(boundary, dict) else {}
+        groups = ((ENV_PATTERNS, "env_files"), (PROCESS_PATTERNS, "process_files"))
+        patterns = [{"value": v, "allowed_files": list(allowed.get(key) or [])} for values, key in groups for v in values]
+        base = merge(base, {"rules": {"banned-patterns": {"patterns": patterns}}})
     return merge(base, {k: v for k, v in config.items() if k not in ("presets", "helpers")})
 
 

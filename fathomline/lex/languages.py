@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-#: Extensions that are scanned unless the config says otherwise.
+# fixed values: the extensions that are scanned unless the config says otherwise
 FAMILIES = {
-    "script": (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"),
-    "scss": (".scss",), "css": (".css",), "go": (".go",), "rust": (".rs",), "python": (".py", ".pyi"), "shell": (".sh", ".bash", ".zsh"),
-    "cpp": (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx"), "csharp": (".cs",), "qml": (".qml",),
+    "script": (".ts", ".tsx", ".js", ".jsx", ".mjs", ".mts", ".cts", ".cjs"), "go": (".go",), "rust": (".rs",),
+    "cpp": (".cpp", ".cc", ".cxx", ".c++", ".hpp", ".hh", ".hxx", ".h++", ".h"), "csharp": (".cs",), "python": (".py",),
+    "shell": (".sh", ".bash", ".zsh"), "qml": (".qml",), "scss": (".scss",), "css": (".css",),
 }
 DEFAULT_EXTENSIONS = tuple(e for family in FAMILIES.values() for e in family)
 _BY_EXT = {e: name for name, family in FAMILIES.items() for e in family}

@@ -6,6 +6,7 @@ paths, and the first that is a file of the inventory wins.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +29,7 @@ def candidates(found: DataFrame, source_extensions: list[str] | None = None) ->
     exts = list(source_extensions or DEFAULT_EXTENSIONS)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def expand(folder, spec, ext):
-        import pandas as pd
-
+    def expand(folder: pd.Series, spec: pd.Series, ext: pd.Series) -> pd.Series:
         return pd.Series([resolution_candidates(a, b, c, exts) for a, b, c in zip(folder, spec, ext, strict=True)])
 
     relative = found.filter(F.startswith("specifier", F.lit("./")) | F.startswith("specifier", F.lit("../")))

@@ -78,3 +78,32 @@ def groups(pairs: DataFrame) -> DataFrame:
         if new.filter("moved").isEmpty():
             return new.select("id", "grp")
         labels = new.select("id", "grp")
+
+
+def similar_functions(descriptors: DataFrame, min_characters: int = 0, threshold: float = 0.99) -> DataFrame:
+    """Duplicate groups by equal or similar normal forms, as an option beyond the dry rule.
+
+    descriptors as for ``rules.duplicate_groups``.  Equal forms are linked
+    through one of them, similar ones by their bands; a group is a connected
+    component with its least confidence and the signals that made it.
+    """
+    from ..lex.dry import LEAST_CHARACTERS
+    from ..schema import violations
+
+    floor = F.greatest(F.lit(min_characters), F.when(F.col("language") == "shell", 0).otherwise(LEAST_CHARACTERS))
+    rows = descriptors.filter(F.col("character_count") >= floor).withColumn("id", F.concat_ws("#", "path", F.col("start_line").cast("string"), "name"))
+    first = rows.groupBy(F.sha2("fingerprint", 256).alias("digest")).agg(F.min("id").alias("a"))
+    equal = rows.select("id", F.sha2("fingerprint", 256).alias("digest")).join(first, "digest").filter(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("confidence"), F.lit("exact-normalized").alias("signal"))
+    single = rows.join(first.select(F.col("a").alias("id")), "id", "left_semi").select("id", "language", F.col("fingerprint").alias("text"))
+    near = band_pairs(single, threshold).select("a", "b", F.col("similarity").alias("confidence"), F.lit("similar-normalized").alias("signal"))
+    links = equal.union(near)
+    member = groups(links.select("a", "b"))
+    facts = links.join(member, links["a"] == member["id"]).groupBy("grp").agg(F.min("confidence").alias("confidence"), F.array_sort(F.collect_set("signal")).alias("signals"))
+    each = F.struct("path", "start_line", "name", "classification", "language")
+    found = rows.join(member, "id").groupBy("grp").agg(F.sort_array(F.collect_list(each)).alias("g")).join(facts, "grp")
+    functions = F.transform("g", lambda m: F.struct(m["classification"].alias("classification"), m["path"].alias("filePath"), m["language"].alias("language"), m["start_line"].alias("line"), m["name"].alias("name")))
+    details = {
+        "confidence": F.col("confidence"), "files": F.array_sort(F.array_distinct(F.transform("g", lambda m: m["path"]))), "fixable": F.lit(False), "functions": functions,
+        "locations": F.transform("g", lambda m: F.concat(m["path"], F.lit("#"), m["name"])), "signals": F.col("signals"),
+    }
+    return violations(found, "dry", F.lit("duplicate function group"), details, path=F.lit("multiple files"))

@@ -16,14 +16,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.paths import clean, py_excluded, py_glob_matches
 from ..lex.languages import DEFAULT_EXTENSIONS
 
-#: Folders never entered.
-ALWAYS_EXCLUDED = (".git", "node_modules", "dist", "build", "coverage", "target")
+# fixed values: folders never entered, by name or by path
+ALWAYS_EXCLUDED = (".git", "node_modules", "dist", ".vite")
+STATE_EXCLUDED = (".fathomline/generated", ".fathomline/imports", ".fathomline/reports")
 SCHEMA = "kind string, path_abs string, path string, path_src string, ext string, byte_size long, n_entries int, text string"
 
 
 def skip_folder(path: str, name: str, exclude: list[dict], ignore: list[str]) -> bool:
     """Whether a folder is left out: by name, by folder pattern, or by an ignore pattern."""
-    if name in ALWAYS_EXCLUDED:
+    if name in ALWAYS_EXCLUDED or path in STATE_EXCLUDED:
         return True
     for e in exclude:
         if e.get("type", "folder") == "file":
@@ -119,6 +120,14 @@ def read_tree(spark: SparkSession, root: str, *, extensions=None, exclude=None,
     return files, df.filter("kind = 'dir'").select("path", "n_entries")
 
 
+def scan_metrics(files: DataFrame, dirs: DataFrame) -> dict[str, int]:
+    """Folders entered, files kept, and their bytes."""
+    from pyspark.sql import functions as F
+
+    n = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes")).first()
+    return {"directories": dirs.count(), "files": n["files"], "bytes": n["bytes"]}
+
+
 def _ignore_lines(path: Path) -> list[str]:
     try:
         lines = path.read_text().splitlines()

@@ -114,3 +114,12 @@ def test_similar_texts(spark):
     assert sorted(pairs) == [(1, 2), (5, 6)]
     assert {(p.a, p.b) for p in similar.band_pairs(t, 0.8).collect()} <= {(1, 2), (5, 6)}
     assert {(g.id, g.grp) for g in similar.groups(similar.exact_pairs(t, 0.7)).collect()} == {(1, 1), (2, 1), (5, 5), (6, 5)}
+
+
+def test_similar_functions_join_equal_and_near_ones(spark):
+    body = "{{\n  const total = {a} + {b};\n  return other(total, {a}, 'some longer text that both of them share {n}');\n}}\n"
+    f = files(spark, **{"a.ts": "function one(x, y) " + body.format(a="x", b="y", n=""), "b.ts": "function two(p, q) " + body.format(a="p", b="q", n=""), "c.ts": "function three(p, q) " + body.format(a="p", b="q", n="!"), "d.ts": "function far(p) {\n  const other_things = p.map(String).join('-').trim();\n  return other_things;\n}\n"})
+    d = r.exploded(f, "dry_descriptors")
+    groups = [json.loads(v.details) for v in similar.similar_functions(d, threshold=0.9).collect()]
+    assert [g["locations"] for g in groups] == [["a.ts#one", "b.ts#two", "c.ts#three"]]
+    assert groups[0]["signals"] == ["exact-normalized", "similar-normalized"] and 0.9 <= groups[0]["confidence"] < 1

@@ -26,6 +26,7 @@ def test_scan_sees_what_spark_passes_over(spark, tmp_path):
     files, dirs = tree.read_tree(spark, root, exclude=[{"type": "folder", "pattern": "skip"}, {"type": "file", "pattern": "*.min.ts"}], ignore=["out/"])
     assert sorted((f.path, f.ext) for f in files.collect()) == [(".dot/x.ts", ".ts"), ("_d/y.ts", ".ts"), ("_p.scss", ".scss"), ("up.TS", ".ts")]
     assert {d.path for d in dirs.filter("n_entries = 0").collect()} == {"a/empty"}
+    assert tree.scan_metrics(files, dirs) == {"directories": 5, "files": 4, "bytes": 6}
 
 
 def test_ignore_files(tmp_path):
@@ -96,10 +97,10 @@ def test_moves_are_checked_before_anything_moves(tmp_path):
 
 def test_configs_merge_and_are_checked():
     low = {"rules": {"max-file-lines": {"max": 10}, "banned-patterns": {"patterns": [{"value": "Foo", "allowed_files": ["a"]}, "x"]}}}
-    high = {"presets": ["p"], "helpers": {"process_boundary": {"allowed_files": ["env.ts"]}}, "rules": {"max-file-lines": {"max": 20}, "banned-patterns": {"patterns": [{"value": "foo", "allowed_files": ["b"]}]}}}
+    high = {"presets": ["p"], "helpers": {"process_boundary": {"env_files": ["env.ts"]}}, "rules": {"max-file-lines": {"max": 20}, "banned-patterns": {"patterns": [{"value": "foo", "allowed_files": ["b"]}]}}}
     out = cfg.normalize(cfg.resolve(high, {"p": low}))
     patterns = {p["value"]: p["allowed_files"] for p in out["rules"]["banned-patterns"]["patterns"]}
-    assert out["rules"]["max-file-lines"]["max"] == 20 and patterns["Foo"] == ["a", "b"] and patterns["process.env"] == ["env.ts"] and "x" in patterns
+    assert out["rules"]["max-file-lines"]["max"] == 20 and patterns["Foo"] == ["a", "b"] and patterns["process.env"] == ["env.ts"] and patterns["process.argv"] == [] and "x" in patterns
     assert out["selected"] == ["banned-patterns", "max-file-lines"]
 
 
