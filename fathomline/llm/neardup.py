@@ -22,7 +22,7 @@ from .common import as_text, coded_words, free_names, input_bytes, materialize,
 _U = np.uint64
 SHINGLE = 5
 #: Rows of a table sent to every worker, at most; a larger one is joined by shuffle.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 300_000
 #: Nodes of a band in one task, and leaders that they all meet in one round, about.
 CHUNK = 256
 

@@ -108,9 +108,17 @@ def test_odd_rows_and_the_one_that_stays(docs, spark, tmp_path):
 
 def test_large_bands_are_compared_in_rounds(docs, monkeypatch):
     monkeypatch.setattr(nd, "CHUNK", 8)
+    monkeypatch.setattr(nd, "MOST_BROADCAST", 0)
     rows = corpus()
     weights = nd.document_frequencies(docs(rows).select("text"), "text", 1 << 18)
     got = {}
     for r in nd.classes(docs(rows)).collect():
         got.setdefault(r.class_id, set()).add(r.doc_id)
     assert {frozenset(c) for c in got.values()} == {frozenset(rows[k][0] for k in c) for c in brute(rows, weights)}
+
+
+def test_survivors_are_the_same_with_and_without_broadcast(docs, monkeypatch):
+    rows = corpus()[:40] + ODD
+    one = sorted(map(str, nd.drop_near_duplicates(docs(rows)).collect()))
+    monkeypatch.setattr(nd, "MOST_BROADCAST", 0)
+    assert sorted(map(str, nd.drop_near_duplicates(docs(rows)).collect())) == one
