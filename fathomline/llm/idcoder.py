@@ -41,92 +41,107 @@ _TOP, _BOTTOM = _U(1 << 48), _U(1 << 32)
 _LOW32 = _U((1 << 32) - 1)
 _SLOTS2 = 1 << 18
 _CONF = 4
-#: the next confidence after a wrong guess, then after a right one
-_STEP = np.array([0, 0, 1, 2, 1, 2, 3, 3], np.int8)
+#: steps between renewals of the trust in the contexts
+_TRUST_STEPS = 8
+#: the scale of _TOTAL in cells, for finding most ids by one look
+_CELL_BITS = 10
 
 
 class _Model:
-    """Order-0 to order-2 statistics of one block; coder and decoder run it alike."""
+    """Order-0 to order-2 statistics of one block; coder and decoder run it alike.
+
+    A context's slot holds four times the id that it foretells, plus how sure
+    it is of it (0 to 3).
+    """
 
     def __init__(self, vocab: int):
         self.vocab = vocab
         self.counts = np.zeros(vocab, np.int64)
-        self.seen, self.next_renewal = 0, 0
-        self.slots1 = 1 << max(10, min(18, (vocab - 1).bit_length()))
-        self.guess1 = np.zeros(self.slots1, np.int32)
-        self.sure1 = np.zeros(self.slots1, np.int8)
-        self.guess2 = np.zeros(_SLOTS2, np.int32)
-        self.sure2 = np.zeros(_SLOTS2, np.int8)
-        states = 2 * _CONF * _CONF
-        self.hits = np.tile(np.array([[1.0], [1.0], [8.0]]), (1, states))
+        self.seen, self.next_renewal, self.waiting = 0, 0, []
+        self.mask1 = (1 << max(10, min(18, (vocab - 1).bit_length()))) - 1
+        self.slots1 = np.zeros(self.mask1 + 1, np.int32)
+        self.slots2 = np.zeros(_SLOTS2, np.int32)
+        self.states = 2 * _CONF * _CONF
+        self.hits = np.tile(np.array([[1.0], [1.0], [8.0]]), (1, self.states))
+        self.outcomes: list[np.ndarray] = []
         self._share()
         self._renew()
 
     def _renew(self) -> None:
+        if self.waiting:
+            self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.vocab)
+            self.waiting = []
         free = _TOTAL - _FLOOR * self.vocab
         grown = np.concatenate([[0], np.cumsum(self.counts)])
         scaled = grown * free // max(int(grown[-1]), 1) if grown[-1] else np.arange(self.vocab + 1) * free // self.vocab
-        self.cum = scaled + _FLOOR * np.arange(self.vocab + 1)
-        self.cum[-1] = _TOTAL
+        cum = scaled + _FLOOR * np.arange(self.vocab + 1)
+        cum[-1] = _TOTAL
+        self.cum = cum.astype(np.int32)
+        self.cells = None  # made when something is looked up
         self.next_renewal = self.seen + max(4096, self.seen // 4)
 
     def _share(self) -> None:
-        whole = self.hits.sum(axis=0)
-        part = self.hits[:2] / whole * (_TOTAL * 0.86)
+        part = self.hits[:2] / self.hits.sum(axis=0) * (_TOTAL * 0.86)
         self.width2 = part[0].astype(np.int64) + 1
-        self.width1 = part[1].astype(np.int64) + 1
+        self.width12 = self.width2 + part[1].astype(np.int64) + 1
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> None:
         """Look up both contexts of every lane: one id back, and two."""
-        self.at1 = one & (self.slots1 - 1)
+        self.at1 = one & self.mask1
         self.at2 = ((two * 40503 + one) * 2654435761 >> 9) & (_SLOTS2 - 1)
-        self.c1, self.c2 = self.guess1[self.at1], self.guess2[self.at2]
-        self.s1, self.s2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.state = (self.s2 * np.int8(_CONF) + self.s1) * np.int8(2) + (self.c1 == self.c2)
-        self.w2 = self.width2[self.state]
-        self.w12 = self.w2 + self.width1[self.state]
+        self.v1, self.v2 = self.slots1[self.at1], self.slots2[self.at2]
+        self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2
+        self.s1, self.s2 = self.v1 & 3, self.v2 & 3
+        self.state = (self.s2 * _CONF + self.s1) * 2 + (self.c1 == self.c2)
+        self.w2, self.w12 = self.width2[self.state], self.width12[self.state]
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of every lane's id on the scale of _TOTAL."""
         left = _TOTAL - self.w12
-        low = self.w12 + (self.cum[ids] * left >> _TOTAL_BITS)
-        high = self.w12 + (self.cum[ids + 1] * left >> _TOTAL_BITS)
+        low = self.cum[ids] * left >> _TOTAL_BITS
+        width = (self.cum[ids + 1] * left >> _TOTAL_BITS) - low
+        low += self.w12
         self.hit2 = ids == self.c2
-        self.hit1 = (ids == self.c1) & ~self.hit2
-        at = np.flatnonzero(self.hit1)
-        low[at], high[at] = self.w2[at], self.w12[at]
+        self.hit1 = ids == self.c1
+        at = np.flatnonzero(self.hit1 & ~self.hit2)
+        low[at], width[at] = self.w2[at], self.w12[at] - self.w2[at]
         at = np.flatnonzero(self.hit2)
-        low[at], high[at] = 0, self.w2[at]
-        return low, high - low
+        low[at], width[at] = 0, self.w2[at]
+        return low, width
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id of every lane from a value on the scale of _TOTAL."""
-        ids = np.where(value < self.w2, self.c2, self.c1)
+        ids = np.where(value < self.w2, self.c2, self.c1).astype(np.int64)
         miss = np.flatnonzero(value >= self.w12)
         if len(miss):
-            left = _TOTAL - self.w12[miss]
+            w12 = self.w12[miss]
             # the largest cum whose scaled start is at most the rest of value
-            rest = value[miss] - self.w12[miss]
-            goal = (((rest + 1) << _TOTAL_BITS) - 1) // left
-            ids[miss] = np.minimum(np.searchsorted(self.cum, goal, side="right") - 1, self.vocab - 1)
+            goal = (((value[miss] - w12 + 1) << _TOTAL_BITS) - 1) // (_TOTAL - w12)
+            np.minimum(goal, _TOTAL - 1, out=goal)
+            if self.cells is None:
+                edges = np.arange((_TOTAL >> _CELL_BITS) + 1, dtype=np.int32) << _CELL_BITS
+                self.cells = np.searchsorted(self.cum, edges, side="right") - 1
+            cell = goal >> _CELL_BITS
+            got = self.cells[cell]
+            many = np.flatnonzero(self.cells[cell + 1] != got)
+            got[many] = np.searchsorted(self.cum, goal[many].astype(np.int32), side="right") - 1
+            ids[miss] = np.minimum(got, self.vocab - 1)
         return ids
 
     def learn(self, ids: np.ndarray) -> None:
-        states = self.hits.shape[1]
-        kind = np.int8(2 * states) - np.int8(2 * states) * self.hit2 - np.int8(states) * self.hit1
-        self.hits += np.bincount(kind + self.state, minlength=3 * states).reshape(3, states)
-        if self.hits.max() > 1 << 16:
-            self.hits *= 0.5
-        for guess, sure, at, c, s in ((self.guess1, self.sure1, self.at1, self.c1, self.s1), (self.guess2, self.sure2, self.at2, self.c2, self.s2)):
-            right = ids == c
-            sure[at] = _STEP[right.view(np.int8) * np.int8(_CONF) + s]
-            turn = np.flatnonzero(~right & (s == 0))
-            guess[at[turn]] = ids[turn]
-        self.counts += np.bincount(ids, minlength=self.vocab) if len(ids) * 8 > self.vocab else 0
-        if len(ids) * 8 <= self.vocab:
-            np.add.at(self.counts, ids, 1)
+        kind = np.where(self.hit2, 0, np.where(self.hit1, self.states, 2 * self.states))
+        self.outcomes.append(kind + self.state)
+        if len(self.outcomes) == _TRUST_STEPS:
+            self.hits += np.bincount(np.concatenate(self.outcomes), minlength=3 * self.states).reshape(3, self.states)
+            if self.hits.max() > 1 << 16:
+                self.hits *= 0.5
+            self.outcomes = []
+            self._share()
+        fresh = (ids << 2).astype(np.int32)
+        for slots, at, v, s, right in ((self.slots1, self.at1, self.v1, self.s1, self.hit1), (self.slots2, self.at2, self.v2, self.s2, self.hit2)):
+            slots[at] = np.where(right, v + (s < 3), np.where(s > 0, v - 1, fresh))
+        self.waiting.append(ids)
         self.seen += len(ids)
-        self._share()
         if self.seen >= self.next_renewal:
             self._renew()
 
@@ -158,8 +173,8 @@ def encode_ids(ids: np.ndarray, vocab: int, lanes: int) -> bytes:
         start, width = model.span(now)
         lo, r = low[:live], rng[:live]
         r >>= _U(_TOTAL_BITS)
-        lo += start.astype(_U) * r
-        r *= width.astype(_U)
+        lo += start.view(_U) * r
+        r *= width.view(_U)
         who = _unsettled(lo, r)
         while len(who):
             words[who, at[who]] = lo[who] >> _U(48)
@@ -225,8 +240,8 @@ def decode_ids(body: bytes, n: int, vocab: int, lanes: int) -> np.ndarray:
         value = np.minimum((code[:live] - lo) // r, _U(_TOTAL - 1)).astype(np.int64)
         now = model.find(value)
         start, width = model.span(now)
-        lo += start.astype(_U) * r
-        r *= width.astype(_U)
+        lo += start.view(_U) * r
+        r *= width.view(_U)
         who = _unsettled(lo, r)
         while len(who):
             code[who] = (code[who] << _U(16)) | word(who)
@@ -240,7 +255,7 @@ def decode_ids(body: bytes, n: int, vocab: int, lanes: int) -> np.ndarray:
     return out
 
 
-def write_block(doc_lens: np.ndarray, ids: np.ndarray, vocab: int, lanes: int = 2048) -> bytes:
+def write_block(doc_lens: np.ndarray, ids: np.ndarray, vocab: int, lanes: int = 4096) -> bytes:
     """A whole block: header, ids per document, and the coded ids."""
     body = np.asarray(doc_lens, "<u4").tobytes() + encode_ids(ids, vocab, lanes)
     check = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
@@ -266,7 +281,7 @@ def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json",
-          end_id: int = 1, block_ids: int = 1 << 19, lanes: int = 2048, part_bytes: int = 12 << 20) -> None:
+          end_id: int = 1, block_ids: int = 1 << 20, lanes: int = 4096, part_bytes: int = 12 << 20) -> None:
     """Write the ids of all documents, each followed by end_id, in ascending id order.
 
     ``path`` becomes a folder of Parquet containers, one row per block: part,
