@@ -57,9 +57,12 @@ def _pattern(lang: str, strict: bool) -> re.Pattern:
     return re.compile(by[lang], re.S)
 
 
+_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
+
+
 def _regex_end(text: str, at: int) -> int:
     """The end of a regular expression that begins at a slash, or -1."""
-    m = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*").match(text, at)
+    m = _REGEX.match(text, at)
     return m.end() if m else -1
 
 
@@ -73,13 +76,18 @@ def _regex_may_begin(text: str, at: int) -> bool:
     return bool(word) and word.group() in REGEX_WORDS
 
 
-def spans(text: str, ext: str, strict: bool = False) -> list[Span]:
-    """Comments and literals in order; strict ends plain quotes with their line."""
+@lru_cache(64)
+def spans(text: str, ext: str, strict: bool = False) -> tuple[Span, ...]:
+    """Comments and literals in order; strict ends plain quotes with their line.
+
+    The passes over one text ask for the same spans again and again, so the
+    last ones are kept.
+    """
     lang = language(ext)
     if lang == "shell":
-        return _shell(text)
+        return tuple(_shell(text))
     if not lang:
-        return []
+        return ()
     out, at, pattern = [], 0, _pattern(lang, strict)
     while m := pattern.search(text, at):
         kind, start, end = m.lastgroup, m.start(), m.end()
@@ -100,7 +108,7 @@ def spans(text: str, ext: str, strict: bool = False) -> list[Span]:
             kind = "block"
         out.append(Span(start, end, kind))
         at = max(end, start + 1)
-    return out
+    return tuple(out)
 
 
 _HEREDOC = re.compile(r"<<(?P<dash>-?)\s*(?P<q>['\"]?)\\?(?P<word>[A-Za-z_]\w*)(?P=q)")
@@ -153,7 +161,7 @@ def comment_ranges(text: str, ext: str) -> list[Span]:
     return out
 
 
-def _blank(text: str, found: list[Span]) -> str:
+def _blank(text: str, found) -> str:
     parts, at = [], 0
     for s in found:
         parts += [text[at : s.start], re.sub(r"[^\n]", " ", text[s.start : s.end])]
@@ -161,11 +169,13 @@ def _blank(text: str, found: list[Span]) -> str:
     return "".join([*parts, text[at:]])
 
 
+@lru_cache(64)
 def mask_comments(text: str, ext: str) -> str:
     """Comments as blanks, line breaks kept; what counts as code lines."""
     return _blank(text, [s for s in spans(text, ext) if s.kind != "string"])
 
 
+@lru_cache(64)
 def mask_literals(text: str, ext: str) -> str:
     """Literals and comments as blanks."""
     return _blank(text, spans(text, ext, strict=True))
@@ -176,6 +186,7 @@ def mask_code(text: str) -> str:
     return _blank(text, [Span(m.start(), m.end(), "string") for m in re.compile(rf"{_LINE}|{_BLOCK}|{_DOUBLE}|{_SINGLE}|{_BACK}", re.S).finditer(text)])
 
 
+@lru_cache(64)
 def literal_lines(text: str, ext: str) -> list[tuple[bool, bool]]:
     """For every line whether it starts, and whether it ends, inside a literal."""
     breaks = [m.start() for m in re.finditer("\n", text)]

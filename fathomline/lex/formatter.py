@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+
 from .comments import literal_lines, mask_comments, mask_literals, spans
 from .languages import language
 
@@ -309,11 +311,10 @@ def generated_source(path: str) -> bool:
 
 def format_column(width: int = 100):
     """A column function of (text, ext)."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     @F.pandas_udf("string")
-    def run(text, ext):
+    def run(text: pd.Series, ext: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else format_text(t, e or "", width) for t, e in zip(text, ext, strict=True)])
 
     return run
