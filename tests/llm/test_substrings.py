@@ -13,7 +13,7 @@ def sentences(rng, n):
     return " ".join(words(rng, rng.randint(4, 12)).capitalize() + "." for _ in range(n))
 
 
-def brute(rows, least=25):
+def brute(rows, least=20):
     """Spans by looking at all units in order of their documents."""
     seen, out = set(), []
     ranked = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
