@@ -39,7 +39,7 @@ def banned_patterns(files: DataFrame, patterns: list[dict], *, exclude_dirs=None
     projection, so the files are read once and nothing is multiplied out.
     """
     files = without_excluded(files, exclude_dirs)
-    if any(e in IMPORT_EXTENSIONS for e in DEFAULT_EXTENSIONS) and "module_specifiers" not in files.columns and "_plain" not in files.columns:
+    if "module_specifiers" not in files.columns and "_plain" not in files.columns:
         files = _script_specifiers(files)
     if fold:
         files = with_features(files, "folded_strings")
@@ -66,7 +66,7 @@ def _script_specifiers(files: DataFrame) -> DataFrame:
     marked = files.select("path", "ext", "text")
     yes = with_features(marked.filter(F.col("ext").isin(IMPORT_EXTENSIONS)), "module_specifiers")
     no = marked.filter(~F.coalesce(F.col("ext"), F.lit("")).isin(IMPORT_EXTENSIONS))
-    return yes.unionByName(no.withColumn("module_specifiers", F.lit(None).cast(yes.schema["module_specifiers"].dataType)).withColumn("module_specifiers", F.coalesce("module_specifiers", F.array().cast(yes.schema["module_specifiers"].dataType))))
+    return yes.unionByName(no.withColumn("module_specifiers", F.array().cast(yes.schema["module_specifiers"].dataType)))
 
 
 def without_specifiers(files: DataFrame) -> DataFrame:

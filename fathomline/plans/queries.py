@@ -88,8 +88,7 @@ def excluded_paths(spark, sf_dir):
 
 def path_redundancy(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    folder = F.when(F.col("p_size") % 3 == 0, F.substring_index("p_name", " ", 1)).when(F.col("p_size") % 3 == 1, F.concat(F.substring_index("p_name", " ", -1), F.lit("s"))).otherwise(F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
-    )
+    folder = F.when(F.col("p_size") % 3 == 0, F.substring_index("p_name", " ", 1)).when(F.col("p_size") % 3 == 1, F.concat(F.substring_index("p_name", " ", -1), F.lit("s"))).otherwise(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
     path = F.concat(F.lit("catalog/"), folder, F.lit("/"), _name_of("p_name"), F.lit(".ts"))
     files = p.select(path.alias("path"), path.alias("path_src"), F.lit(".ts").alias("ext"))
     return _out(r.redundant_path_segments(files, ["_"]))
