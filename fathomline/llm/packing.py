@@ -141,7 +141,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
         encoder = WordEncoder(vocabulary)
         kind = np.dtype("<u2") if max(encoder.vocab_size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2 << 20):
                 n, ids = encoder.encode(batch.column(1))
                 ids = np.insert(ids.astype(kind), np.cumsum(n), kind.type(end_id))
                 at = starts_of((n + 1) * kind.itemsize)

@@ -33,7 +33,7 @@ class WordEncoder:
     #: Lower-case words of these letters are one pre-token each.
     PLAIN = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
 
-    def __init__(self, file: str, most_words: int = 600_000):
+    def __init__(self, file: str, most_words: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
