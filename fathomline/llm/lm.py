@@ -1,8 +1,10 @@
-"""LM scoring: a log-frequency Bloom filter of n-gram counts, broadcast to workers.
+"""LM scoring: a log-frequency Bloom filter of n-gram counts, in segments.
 
 Counts are quantised on a logarithmic scale; an n-gram of level q is in the
 filter once for each level from 1 to q, and its level is read back by probing
 level after level until one is absent.  Unigrams and bigrams share the filter.
+The filter grows with the corpus and is never whole in one place: n-grams are
+sent to the segment that their hash names, and their levels are sent back.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, coded_words, crc_mod, input_bytes, materialize, mix64, slices, starts_of, sum_by_row, word_hashes
+from .common import as_text, coded_words, crc_mod, materialize, mix64, slices, starts_of, sum_by_row, word_hashes
 from .terms import HEAD_TERMS, head, head_lookup, join_tail, tail_rows, term_counts
 
 _U = np.uint64
@@ -45,23 +47,25 @@ def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded_words(pc.ascii_lower(as_text(texts)))
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens per text (its end included), and the hash of every token."""
-    lens, codes, words = lower_words(texts)
-    return lens + 1, with_ends(word_hashes(words)[codes], lens, _END)
-
-
 def with_ends(values: np.ndarray, lens: np.ndarray, end) -> np.ndarray:
     """A value for every word, and one for the end of every text."""
     return np.insert(values, np.cumsum(lens), end)
 
 
-def bigram_keys(lens: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of the token before every token, and of the pair."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[starts_of(lens)[:-1]] = _BEGIN
-    return before, mix64(before * _BIGRAM + tokens)
+def grams(lens: np.ndarray, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens per text (its end included), word and pair of every token, both words of every pair, and the keys.
+
+    Keys are those of the words, of the end and of the begin, then of the pairs.
+    """
+    hashes = np.append(word_hashes(words), [_END, _BEGIN])
+    own = with_ends(codes, lens, len(words))
+    lens = lens + 1
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[starts_of(lens)[:-1]] = len(words) + 1
+    pairs, pair = np.unique(before * len(hashes) + own, return_inverse=True)
+    history, last = pairs // len(hashes), pairs % len(hashes)
+    return lens, own, pair, history, last, np.append(mix64(hashes), mix64(hashes[history] * _BIGRAM + hashes[last]))
 
 
 class Filter:
@@ -85,6 +89,17 @@ class Filter:
         for i in range(Filter.PROBES):
             yield (((one + two * _U(i)) & _U(0xFFFFFFFF)) * _U(segment_bits) >> _U(32)).view(np.int64)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, level: np.ndarray, bits_per_entry: int) -> Filter:
+        """One segment that holds every key once for each of its levels."""
+        segment_bits = max(1024, int(int(level.sum()) * bits_per_entry * 1.02) + 7) // 8 * 8
+        bits = np.zeros(segment_bits, bool)
+        for now in range(1, int(level.max(initial=0)) + 1):
+            keys, level = keys[level >= now], level[level >= now]
+            for place in cls.places(keys, now, segment_bits):
+                bits[place] = True
+        return cls(np.packbits(bits, bitorder="little").tobytes(), 1, segment_bits)
+
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Indexes of the keys whose bits of the level are all set."""
         base = (keys >> self.shift).view(np.int64) * self.segment_bits if self.shift is not None else np.zeros(len(keys), np.int64)
@@ -135,40 +150,48 @@ def _unpack(keys: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """What workers need to score: the filter, its scale, N, V and the weights."""
-
-    def __init__(self, filt: Filter, scale: Scale, total: int, distinct: int, weights: np.ndarray):
-        self.filter, self.scale, self.total, self.distinct, self.weights = filt, scale, total, distinct, weights
-
-    def parts(self, words: tuple[np.ndarray, np.ndarray, pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens per text; unigram probability, bigram and history level and own level per token."""
-        lens, codes, distinct = words
-        hashes = np.append(word_hashes(distinct), [_END, _BEGIN])
-        level = self.filter.levels(mix64(hashes))
-        own = with_ends(level[codes], lens, level[-2])
-        tokens = with_ends(hashes[codes], lens, _END)
-        lens = lens + 1
-        _, pair = bigram_keys(lens, tokens)
-        history = np.empty_like(own)
-        history[1:] = own[:-1]
-        history[starts_of(lens)[:-1]] = level[-1]
-        follows = np.zeros_like(own)
-        known = np.flatnonzero((history > 0) & (own > 0))  # a pair is no more frequent than its parts
-        follows[known] = np.minimum(self.filter.levels(pair[known]), np.minimum(history, own)[known])
-        p1 = (self.scale.low[own] + 1) / (self.total + self.distinct + 1)
-        return lens, p1, follows, history, own
-
-    def score(self, words: tuple[np.ndarray, np.ndarray, pa.Array]) -> np.ndarray:
-        """log10 probability of every text, its end included.
+    """What turns levels into probabilities: the scale, N, V and the weights."""
+
+    def __init__(self, scale: Scale, total: int, distinct: int, weights: np.ndarray):
+        self.scale, self.total, self.distinct, self.weights = scale, total, distinct, weights
+
+    def p1(self, own: np.ndarray) -> np.ndarray:
+        return (self.scale.low[own] + 1) / (self.total + self.distinct + 1)
+
+    def logs(self) -> np.ndarray:
+        """log10 probability by packed levels of history, word and pair.
 
         P(w | h) = (1 - a) P1(w) + a c(h, w) / c(h), with a by the level of h;
         c(h, w) is the least and c(h) the largest count of its level, so that
         the probabilities of one history do not exceed 1 in sum.
         """
-        lens, p1, follows, history, _ = self.parts(words)
+        history, own, follows = unpacked(np.arange(_RADIX**3))
         p2 = self.scale.low[follows] / np.maximum(self.scale.high[history], 1)
         a = self.weights[history]
-        return sum_by_row(np.log10((1 - a) * p1 + a * p2), lens)
+        return np.log10((1 - a) * self.p1(own) + a * p2)
+
+    def ratios(self, packed: np.ndarray, n: np.ndarray) -> list:
+        """(history level, log2 ratio of pair and word probability, n), each token's own occurrence left out."""
+        history, own, follows = unpacked(packed)
+        pair, past = self.scale.low[follows] - 1, np.maximum(self.scale.high[history] - 1, 1)
+        left1 = np.maximum(self.p1(own) - 1 / max(self.total + self.distinct + 1, 1), 1e-300)
+        seen = (pair > 0) & (own > 0)
+        bins = np.round(2 * np.log2(np.where(seen, pair, 1) / past / left1))
+        return [(h, b if s else None, k) for h, b, s, k in zip(history.tolist(), bins.tolist(), seen.tolist(), n.tolist(), strict=True)]
+
+
+_RADIX = MAX_LEVEL + 1
+
+
+def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels of history, word and pair."""
+    return packed // _RADIX**2, packed // _RADIX % _RADIX, packed % _RADIX
+
+
+def _packed(levels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens per text and packed levels of every token, from three bytes a token."""
+    raw = np.frombuffer(b"".join(levels.to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+    return pc.binary_length(levels).to_numpy(zero_copy_only=False).astype(np.int64) // 3, (raw[:, 0] * _RADIX + raw[:, 1]) * _RADIX + raw[:, 2]
 
 
 def _fit_weights(ratio_counts: list, rounds: int = 20) -> np.ndarray:
@@ -187,18 +210,17 @@ def _fit_weights(ratio_counts: list, rounds: int = 20) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 7, held_out: int = 2, base: float = 1.4,
-                    bits_per_entry: int = 8, max_filter_bytes: int = 1 << 27, fit_docs: int = 4000, head_terms: int = HEAD_TERMS) -> DataFrame:
+                    bits_per_entry: int = 8, segment_bytes: int = 1 << 21, fit_docs: int = 4000, head_terms: int = HEAD_TERMS) -> DataFrame:
     """Score every whole text under unigram counts and under a bigram model.
 
     Learns from documents whose crc32 of the id, modulo held_out_mod, is not
     held_out (documents without id learn too).  Returns doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score, score.  Counts cover every
     training document.  base_score uses exact counts; score uses the filter,
-    whose size is bits_per_entry for each level of each n-gram, at most
-    max_filter_bytes: beyond that, bigrams below the least count that fits are
-    left to the unigram part.  The interpolation weights are fitted with each
-    token's own occurrence left out, on about fit_docs training documents
-    chosen by hash.
+    which holds every n-gram and whose size is bits_per_entry for each level
+    of each n-gram.  It has a segment for about every segment_bytes of text.
+    The interpolation weights are fitted with each token's own occurrence left
+    out, on about fit_docs training documents chosen by hash.
 
     Null or empty text is the end token alone.  Every row gives one row, also
     repeated ones; without any training document the counts are 0 and N = 0.
@@ -212,129 +234,110 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.col(text_col).cast("string").alias("text"),
         F.coalesce(crc_mod(F.col(id_col), held_out_mod) == held_out, F.lit(False)).alias("held_out"),
     )
-    train = source.filter(~F.col("held_out"))
 
-    words = materialize(term_counts(train, "text", lower_words), "words")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(b)
+                n_bytes = pc.sum(pc.binary_length(b.column(2))).as_py() or 0
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b.column(0)[0].as_py(), b.num_rows - b.column(3).true_count, n_bytes, sink.getvalue().to_pybytes())], names=["batch", "n_train", "n_bytes", "docs"])
+
+    # slices of about 8 MB with their row numbers, compressed: they are read once for their n-grams and once for the scores
+    packed_docs = materialize(source.mapInArrow(pack, "batch long, n_train long, n_bytes long, docs binary"), "slices")
+    sizes = packed_docs.agg(F.sum("n_train").alias("n"), F.sum("n_bytes").alias("bytes")).first()
+    n_train, n_bytes = sizes["n"] or 0, sizes["bytes"] or 0
+
+    words = materialize(term_counts(source.filter(~F.col("held_out")), "text", lower_words), "words")
     facts = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_train = train.count()
     total, distinct = (facts["n"] or 0) + n_train, facts["v"] + (n_train > 0)
 
-    segments = 1 << max(4, min(14, (input_bytes(docs) >> 21).bit_length()))
+    segments = 1 << max(4, min(14, (n_bytes // segment_bytes).bit_length()))
 
-    def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = mix64(word_hashes(b.column(0)))
-            order = np.argsort(keys)
-            yield _pieces(keys[order], b.column(1).to_numpy()[order], segments)
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_seen = 0
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
-                lens, tokens = token_hashes(b.column(0))
-                docs_seen += len(lens)
-                keys, n = np.unique(bigram_keys(lens, tokens)[1], return_counts=True)
-                yield _pieces(keys, n, segments)
-        if docs_seen:
-            keys = np.sort(mix64(np.array([_BEGIN, _END])))
-            yield _pieces(keys, np.array([docs_seen, docs_seen]), segments)
-
-    kind = "segment int, keys binary, many binary"
-    chunks = words.mapInArrow(unigrams, kind).union(train.select("text").mapInArrow(bigrams, kind))
-
-    def merge(group: pa.Table) -> pa.Table:
+            for batch, data in zip(whole.column(0), whole.column(1), strict=True):
+                part = pa.ipc.open_stream(data.as_buffer()).read_all()
+                lens, own, pair, history, _, keys = grams(*lower_words(part["text"]))
+                learns = ~part["held_out"].to_numpy()
+                here, n_words = np.repeat(learns, lens), len(keys) - len(history)
+                n = np.append(np.bincount(own[here], minlength=n_words), np.bincount(pair[here], minlength=len(history)))
+                n[n_words - 1] = learns.sum()  # texts that begin
+                order = np.argsort(keys)
+                rows = _pieces(keys[order], n[order], segments)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.as_py()] * rows.num_rows, pa.int64()), *rows.columns], names=["batch", "segment", "keys", "many"])
+
+    def probe(group: pa.Table) -> pa.Table:
         parts = [_unpack(k.as_py(), m.as_py()) for k, m in zip(group["keys"], group["many"], strict=True)]
+        cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
         keys = np.concatenate([p[0] for p in parts])
         n = np.concatenate([p[1] for p in parts])
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = np.flatnonzero(new)
         keys, n = keys[first], np.add.reduceat(n, first)
-        level = scale.level(n)
-        sizes = np.bincount(level, minlength=MAX_LEVEL + 1)
-        segment = group["segment"][0].as_py()
-        return pa.table({"segment": pa.array([segment], pa.int32()), "keys": pa.array([(keys >> _U(16)).astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()], pa.binary()),
-                         "levels": pa.array([level.astype(np.uint8).tobytes()], pa.binary()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64()))})
-
-    merged = materialize(chunks.groupBy("segment").applyInArrow(merge, "segment int, keys binary, levels binary, sizes array<long>"), "ngrams")
-
-    # how many entries each least level would need, and the first that fits
-    sizes = np.zeros(MAX_LEVEL + 1, np.int64)
-    for row in merged.select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
-        sizes[row["level"]] = row["n"]
-    needs = [int((sizes[k:] * np.arange(k, MAX_LEVEL + 1)).sum()) for k in range(1, MAX_LEVEL + 1)]
-    least = next((k + 1 for k, x in enumerate(needs) if x * bits_per_entry <= 8 * max_filter_bytes), MAX_LEVEL)
-    segment_bits = max(1024, -(-int(needs[least - 1] * bits_per_entry * 1.02) // segments + 7) // 8 * 8)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for segment, k, q in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                wide = np.zeros((len(k) // 6, 4), "<u2")
-                wide[:, :3] = np.frombuffer(k, "<u2").reshape(-1, 3)
-                keys, level = wide.view("<u8").ravel() << _U(16), np.frombuffer(q, np.uint8).astype(np.int64)
-                keep = level >= least
-                keys, level = keys[keep], level[keep]
-                bits = np.zeros(segment_bits, bool)
-                for now in range(1, int(level.max(initial=0)) + 1):
-                    keys, level = keys[level >= now], level[level >= now]
-                    for place in Filter.places(keys, now, segment_bits):
-                        bits[place] = True
-                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
-
-    built = merged.select("segment", "keys", "levels").mapInArrow(build, "segment int, bits binary").toArrow()
-    have = dict(zip(built["segment"].to_pylist(), built["bits"].to_pylist(), strict=True))
-    blank = bytes(segment_bits // 8)
-    packed = spark.sparkContext.broadcast(b"".join(have.get(s, blank) for s in range(segments)))
-    del built, have
-
-    def model(weights: np.ndarray) -> Model:
-        return Model(Filter(packed.value, segments, segment_bits), scale, total, distinct, weights)
-
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(np.zeros(MAX_LEVEL + 1))
-        for whole in batches:
-            for b in slices(whole, "text"):
-                _, p1, follows, history, own = m.parts(lower_words(b.column(0)))
-                pair, past = scale.low[follows] - 1, np.maximum(scale.high[history] - 1, 1)
-                left1 = np.maximum(p1 - 1 / max(total + distinct + 1, 1), 1e-300)
-                seen = (pair > 0) & (own > 0)
-                bins = np.where(seen, np.round(2 * np.log2(np.where(seen, pair, 1) / past / left1)), -(10**6)).astype(np.int64)
-                key, n = np.unique(history * 10**7 + bins + 5 * 10**6, return_counts=True)
-                level, bin_ = key // 10**7, key % 10**7 - 5 * 10**6
-                yield pa.RecordBatch.from_arrays([pa.array(level), pa.array([None if x == -(10**6) else x for x in bin_.tolist()], pa.int64()), pa.array(n)], names=["level", "bin", "n"])
-
-    share = min(1.0, fit_docs / max(n_train, 1))
-    chosen = train.filter(F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    fitted = chosen.mapInArrow(ratios, "level long, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
-    weights = _fit_weights([tuple(r) for r in fitted.orderBy("level", "bin").collect()])
+        levels = np.empty(len(order), np.uint8)
+        levels[order] = Filter.of(keys, scale.level(n), bits_per_entry).levels(keys)[np.cumsum(new) - 1]
+        return pa.table([group["batch"], group["segment"], pa.array([x.tobytes() for x in np.split(levels, cuts)], pa.binary())], names=["batch", "segment", "levels"])
 
     top = head(words, head_terms)
     known = spark.sparkContext.broadcast((top["term"].combine_chunks(), top["n"].to_numpy()))
     scale_n = np.log10(total + distinct + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(weights)
+    def combine(slice_: pa.Table, answers: pa.Table) -> pa.Table:
+        group = pa.ipc.open_stream(slice_["docs"][0].as_buffer()).read_all().combine_chunks()
         names, counts = known.value
         logs = np.append(np.log10(counts + 1.0), 0.0)
         end = (np.log10(n_train + 1.0), int(n_train > 0))
+        lens, codes, words_ = lower_words(group["text"])
+        more, _, pair, history, last, keys = grams(lens, codes, words_)
+        level = np.empty(len(keys), np.uint8)
+        level[np.argsort(keys)] = np.frombuffer(b"".join(answers.sort_by("segment")["levels"].to_pylist()), np.uint8)
+        one, two, both = level[history], level[last], level[-len(history) :]
+        both = np.where((one > 0) & (two > 0), np.minimum(both, np.minimum(one, two)), 0)  # a pair is no more frequent than its parts
+        data = np.stack([one, two, both], axis=1).astype(np.uint8)[pair].tobytes()
+        levels = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer((3 * starts_of(more)).astype(np.int32)), pa.py_buffer(data)])
+        place = head_lookup(words_, names)
+        near = sum_by_row(logs[place][codes], lens) + end[0]
+        n_known = sum_by_row((place >= 0).astype(np.int64)[codes], lens) + end[1]
+        row, term, freq = tail_rows(lens, codes, words_, place)
+        n, k = len(lens), len(row)
+        base_rows = pa.table([group["row"], group["doc_id"], group["held_out"], pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(near), pa.array(n_known), pa.array(more), levels], names=_NAMES)
+        none = pa.nulls(k, pa.int64())
+        tail = pa.table([group["row"].take(pa.array(row)), none, pa.nulls(k, pa.bool_()), term.cast(pa.string()), pa.array(freq), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int64)), none, pa.nulls(k, pa.binary())], names=_NAMES)
+        return pa.concat_tables([base_rows, tail])
+
+    sent = packed_docs.select("batch", "docs")
+    answers = sent.mapInArrow(pieces, "batch long, segment int, keys binary, many binary").groupBy("segment").applyInArrow(probe, "batch long, segment int, levels binary")
+    kind = "row long, doc_id long, held_out boolean, term string, freq long, near double, near_known long, n_tokens long"
+    rows = materialize(sent.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(combine, kind + ", levels binary"), "levels")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
-                lens, codes, words_ = lower_words(b.column(2))
-                place = head_lookup(words_, names)
-                near = sum_by_row(logs[place][codes], lens) + end[0]
-                n_known = sum_by_row((place >= 0).astype(np.int64)[codes], lens) + end[1]
-                row, term, freq = tail_rows(lens, codes, words_, place)
-                n, k = len(lens), len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), b.column(3), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(near), pa.array(n_known), pa.array(lens + 1), pa.array(m.score((lens, codes, words_)))], names=_NAMES)
-                if k:
-                    none = pa.nulls(k, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(row)), none, pa.nulls(k, pa.bool_()), term, pa.array(freq), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int64)), none, pa.nulls(k, pa.float64())], names=_NAMES)
-
-    rows = source.mapInArrow(score, "row long, doc_id long, held_out boolean, term string, freq long, near double, near_known long, n_tokens long, score double")
+            for b in slices(whole, "levels"):
+                packed, n = np.unique(_packed(b.column(0))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(n)], names=["packed", "n"])
+
+    share = min(1.0, fit_docs / max(n_train, 1))
+    chosen = rows.filter(F.col("levels").isNotNull() & ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    fitted = chosen.select("levels").mapInArrow(tally, "packed long, n long").groupBy("packed").agg(F.sum("n").alias("n")).orderBy("packed").toArrow()
+    unfitted = Model(scale, total, distinct, np.zeros(_RADIX))
+    weights = _fit_weights(unfitted.ratios(fitted["packed"].to_numpy(), fitted["n"].to_numpy()))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = Model(scale, total, distinct, weights).logs()
+        for whole in batches:
+            for b in slices(whole, "levels"):
+                held = b.column(8).is_valid().to_numpy(zero_copy_only=False)
+                lens, packed = _packed(b.column(8).drop_null())
+                out = np.zeros(len(held))
+                out[held] = sum_by_row(logs[packed], lens)
+                yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(out, mask=~held)], names=[*_NAMES[:8], "score"])
+
     summed = join_tail(
-        rows,
+        rows.mapInArrow(score, kind + ", score double"),
         words,
         {"logs": F.col("near") + F.col("freq") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1.0), "n_known": F.col("near_known") + F.when(F.col("n") > 0, F.col("freq")).otherwise(0)},
         {"doc_id": F.max("doc_id"), "held_out": F.max("held_out"), "n_tokens": F.max("n_tokens"), "score": F.max("score")},
@@ -345,4 +348,4 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-_NAMES = ["row", "doc_id", "held_out", "term", "freq", "near", "near_known", "n_tokens", "score"]
+_NAMES = ["row", "doc_id", "held_out", "term", "freq", "near", "near_known", "n_tokens", "levels"]

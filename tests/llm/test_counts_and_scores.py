@@ -105,3 +105,30 @@ def test_pieces_travel_whole():
     back = [lm._unpack(k.as_py(), m.as_py()) for k, m in zip(batch["keys"], batch["many"], strict=True)]
     assert (np.concatenate([b[0] for b in back]) == keys & ~np.uint64(0xFFFF)).all()
     assert (np.concatenate([b[1] for b in back]) == counts).all()
+
+
+def test_scores_do_not_depend_on_segments_and_count_rare_words(docs):
+    """With segments of a few bytes of text, as for a large corpus, every known word keeps its level and its pairs."""
+    rows = corpus() + [(700 + i, f"rare{i} pair{i} rare{i} pair{i}") for i in range(40)]
+    scores = lambda **k: sorted((r.doc_id or -1, round(r.score, 1)) for r in lm.score_documents(docs(rows), bits_per_entry=64, **k).collect())
+    whole, cut = scores(), scores(segment_bytes=16)
+    assert sum(a == b for a, b in zip(whole, cut, strict=True)) > 0.95 * len(whole)
+    # a reference without a filter: every level exact
+    scale, c, pairs, hist = lm.Scale(), collections.Counter(), collections.Counter(), collections.Counter()
+    tokens = {d: [*WORDS.findall((t or "").translate(LOW)), "\0end"] for d, t in rows}
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            w = [*WORDS.findall((t or "").translate(LOW)), "\0end"]
+            c.update(w)
+            hist.update(["\0begin", *w[:-1]])
+            pairs.update(zip(["\0begin", *w[:-1]], w, strict=True))
+    hist["\0end"] = c["\0end"]
+    lev = lambda n: int(scale.level(np.array([n]))[0])
+    n, v = sum(c.values()), len(c)
+    levels = {d: [(lev(max(hist[a], c[a])), lev(c[b]), min(lev(pairs[a, b]), lev(max(hist[a], c[a])), lev(c[b]))) for a, b in zip(["\0begin", *w[:-1]], w, strict=True)] for d, w in tokens.items()}
+    tally = collections.Counter(x for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2 for x in levels[d])
+    packed = np.array([(a * 65 + b) * 65 + f for a, b, f in tally])
+    weights = lm._fit_weights(lm.Model(scale, n, v, np.zeros(65)).ratios(packed, np.array(list(tally.values()))))
+    logs = lm.Model(scale, n, v, weights).logs()
+    want = sorted((d, round(sum(logs[(a * 65 + b) * 65 + f] for a, b, f in levels[d]), 1)) for d, _ in rows)
+    assert sum(abs(a[1] - b[1]) < 0.15 for a, b in zip(cut, want, strict=True)) > 0.95 * len(want)
