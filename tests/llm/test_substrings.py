@@ -68,3 +68,24 @@ def test_empty_and_clashing(docs, spark):
     assert substrings.repeated_spans(docs([])).count() == 0
     clash = spark.createDataFrame([(1, "a", 5, 6, "x")], "doc_id long, text string, row long, _row int, _spans string")
     assert substrings.remove_repeats(clash).collect() == clash.collect()
+
+
+def test_names_that_never_stood_together_stay(docs):
+    """Every unit has occurred before, the list as such has not."""
+    names = [f"N{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rng = random.Random(3)
+    rows = [(i, f"{names[i]} {words(rng, 3)}") for i in range(60)] + [(100, " ".join(names)), (101, " ".join(reversed(names))), (102, " ".join(names[10:40]))]
+    got = substrings.repeated_spans(docs(rows)).collect()
+    assert [(r.doc_id, r.span_start, r.span_end, r.n_words) for r in got] == [(102, 0, len(rows[-1][1]), 30)]
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(50):
+        found = [(0, 0, words(rng, rng.randint(1, 30))) for _ in range(rng.randint(0, 30))]
+        n = [f[2].count(" ") + 1 for f in found]
+        fits = [(i, j) for j in range(len(n)) for i in range(j + 1) if sum(n[i : j + 1]) >= 20]
+        want = {(i, j) for i, j in fits if (i, j - 1) not in fits or (i + 1, j) not in fits}
+        got = list(substrings.windows(found, 20))
+        assert sorted(x[:2] for x in got) == sorted(want)
+        assert all(t == sum(n[i : j + 1]) and s == " ".join(f[2] for f in found[i : j + 1]) for i, j, s, t in got)
