@@ -89,3 +89,15 @@ def test_windows_equal_brute_force():
         got = list(substrings.windows(found, 20))
         assert sorted(x[:2] for x in got) == sorted(want)
         assert all(t == sum(n[i : j + 1]) and s == " ".join(f[2] for f in found[i : j + 1]) for i, j, s, t in got)
+
+
+def test_repeats_inside_long_sentences_are_found(docs):
+    rng = random.Random(11)
+    rows, n = [], 60
+    for i in range(n):
+        passage = words(rng, 60)
+        rows += [(i, f"{words(rng, 30)} {passage} {words(rng, 30)}"), (100 + i, f"{words(rng, 25)} {passage} {words(rng, 35)}")]
+    got = {r.doc_id: r for r in substrings.repeated_spans(docs(rows)).collect()}
+    assert all(d >= 100 for d in got) and len(got) >= 0.9 * n
+    texts = dict(rows)
+    assert all(texts[d][r.span_start : r.span_end] in texts[d - 100] for d, r in got.items())
