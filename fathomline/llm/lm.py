@@ -210,7 +210,7 @@ def _fit_weights(ratio_counts: list, rounds: int = 20) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 7, held_out: int = 2, base: float = 1.4,
-                    bits_per_entry: int = 8, segment_bytes: int = 1 << 21, fit_docs: int = 4000, head_terms: int = HEAD_TERMS) -> DataFrame:
+                    bits_per_entry: int = 8, segment_bytes: int = 1 << 21, head_terms: int = HEAD_TERMS) -> DataFrame:
     """Score every whole text under unigram counts and under a bigram model.
 
     Learns from documents whose crc32 of the id, modulo held_out_mod, is not
@@ -220,7 +220,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     which holds every n-gram and whose size is bits_per_entry for each level
     of each n-gram.  It has a segment for about every segment_bytes of text.
     The interpolation weights are fitted with each token's own occurrence left
-    out, on about fit_docs training documents chosen by hash.
+    out, on all training documents.
 
     Null or empty text is the end token alone.  Every row gives one row, also
     repeated ones; without any training document the counts are 0 and N = 0.
@@ -320,9 +320,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 packed, n = np.unique(_packed(b.column(0))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(n)], names=["packed", "n"])
 
-    share = min(1.0, fit_docs / max(n_train, 1))
-    chosen = rows.filter(F.col("levels").isNotNull() & ~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    fitted = chosen.select("levels").mapInArrow(tally, "packed long, n long").groupBy("packed").agg(F.sum("n").alias("n")).orderBy("packed").toArrow()
+    learnt = rows.filter(F.col("levels").isNotNull() & ~F.col("held_out"))
+    fitted = learnt.select("levels").mapInArrow(tally, "packed long, n long").groupBy("packed").agg(F.sum("n").alias("n")).orderBy("packed").toArrow()
     unfitted = Model(scale, total, distinct, np.zeros(_RADIX))
     weights = _fit_weights(unfitted.ratios(fitted["packed"].to_numpy(), fitted["n"].to_numpy()))
 

@@ -132,3 +132,12 @@ def test_scores_do_not_depend_on_segments_and_count_rare_words(docs):
     logs = lm.Model(scale, n, v, weights).logs()
     want = sorted((d, round(sum(logs[(a * 65 + b) * 65 + f] for a, b, f in levels[d]), 1)) for d, _ in rows)
     assert sum(abs(a[1] - b[1]) < 0.15 for a, b in zip(cut, want, strict=True)) > 0.95 * len(want)
+
+
+def test_weights_are_fitted_on_every_training_document(docs, monkeypatch):
+    """More documents than the sample of 4000 that once did."""
+    fitted = []
+    monkeypatch.setattr(lm, "_fit_weights", lambda rows: fitted.extend(rows) or np.zeros(lm.MAX_LEVEL + 1))
+    rows = [(i, "a b c") for i in range(6000)]
+    lm.score_documents(docs(rows)).collect()
+    assert sum(n for *_, n in fitted) == 4 * sum(zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows)
