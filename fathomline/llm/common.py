@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -18,13 +20,16 @@ _roots: dict[str, str] = {}
 def scratch(spark: SparkSession) -> str:
     """The session's folder for intermediate tables, under spark.checkpoint.dir.
 
-    Only where that setting is absent (local tests) a temporary folder is made
-    and set as the checkpoint directory.
+    Only where that setting is absent and all runs on this machine (tests) a
+    temporary folder is made and set as the checkpoint directory; on a cluster
+    executors would not see it, so there its absence is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[[\d*,\s]+\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="fathomline-")
             spark.sparkContext.setCheckpointDir(base)
             spark.conf.set("spark.checkpoint.dir", base)
@@ -41,15 +46,41 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df once to shared storage and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver find out which jobs are over, so that executors drop their shuffle files."""
+    spark._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialize made, once nothing reads them any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._scratch_path)
+    tidy(tables[0].sparkSession)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for every row that stays the same however often the result is read.
+
+    A plain scan of files numbers its rows alike each time; anything else is written out once.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project" and plan.deterministic():
+        plan = plan.child()
+    rows = df.withColumn(name, F.monotonically_increasing_id())
+    return rows if plan.nodeName().startswith("Relation ") or plan.nodeName() == "LogicalRelation" else materialize(rows, "numbered")
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -175,7 +206,14 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def release() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch in runs of rows of about ``most`` bytes of the text column."""
     texts = batch.column(batch.schema.get_field_index(column))
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -186,3 +224,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         if end > at:
             yield batch.slice(at, end - at)
         at = end
+    release()
