@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import as_text, coded_words, starts_of
+from .common import as_text, coded_words, starts_of, word_hashes
 
 
 def vocabulary(name_or_path: str) -> str:
@@ -20,59 +21,115 @@ def vocabulary(name_or_path: str) -> str:
     return public_tokenizers.path(name_or_path)
 
 
+def byte_letters() -> dict[int, str]:
+    """The names that byte-level models give to the UTF-8 bytes of the letters above ASCII.
+
+    A byte that prints stands for itself; the others are named from 256 on, in order.
+    """
+    prints = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    odd = [b for b in range(256) if b not in prints]
+    name = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(odd)}
+    return {c: "".join(name[b] for b in chr(c).encode()) for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
+
+
+class Index:
+    """Numbers 64-bit keys in the order they come: an open-addressed table of arrays."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(1 << 14, np.uint64), 0
+        self._spread(15)
+
+    def _spread(self, bits: int) -> None:
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self._place(np.arange(self.n, dtype=np.int32))
+
+    def _place(self, numbers: np.ndarray) -> None:
+        at = (self.keys[numbers] >> self.shift).view(np.int64)
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]
+            lost = self.slots[at] != numbers
+            numbers, at = numbers[lost], (at[lost] + 1) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of every key, -1 where it has none."""
+        at = (keys >> self.shift).view(np.int64)
+        out = self.slots[at]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            got = self.slots[at]
+            out[todo] = got
+            more = (got >= 0) & (self.keys[got] != keys[todo])
+            todo, at = todo[more], at[more]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Number distinct keys that have no number yet."""
+        upto = self.n + len(keys)
+        if upto > len(self.keys):
+            more = np.zeros(1 << upto.bit_length(), np.uint64)
+            more[: self.n] = self.keys[: self.n]
+            self.keys = more
+        self.keys[self.n : upto] = keys
+        old, self.n = self.n, upto
+        if 2 * upto > len(self.slots):
+            self._spread((2 * upto).bit_length())
+        else:
+            self._place(np.arange(old, upto, dtype=np.int32))
+
+
 class WordEncoder:
     """Encodes whole texts by way of their words.
 
     Valid for the tokenizer of word_bpe_49k.json: it lower-cases, its pre-tokens
     never hold white space, and a run of letters never shares a pre-token with
     the punctuation after it (tests compare with the library on whole texts).
-    The library encodes each distinct word once and the ids are gathered.  The
-    cache is emptied at ``most_words`` words, so memory stays bounded.
+    The library encodes each distinct word once and the ids are gathered; plain
+    words go to its model directly, being one pre-token each.  Words are known
+    by 64-bit hashes, so the cache is a few arrays; it is emptied at
+    ``most_words`` words, so memory stays bounded.
     """
 
     #: Lower-case words of these letters are one pre-token each.
     PLAIN = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
 
-    def __init__(self, file: str, most_words: int = 450_000):
+    def __init__(self, file: str, most_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(vocabulary(file))
         self.vocab_size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.kind = np.uint16 if self.vocab_size <= 1 << 16 else np.uint32
+        self.letters = byte_letters()
         self.most = most_words
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 15, np.int64)
-        self.n = np.zeros(1 << 15, np.int64)
-        self.used = 0
-
-    def _keep(self, words: list[str], lens: np.ndarray, ids: np.ndarray) -> None:
-        total, k = len(ids), len(self.slot)
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while k + len(words) > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.n = np.concatenate([self.n, np.zeros_like(self.n)])
-        self.ids[self.used : self.used + total] = ids
-        self.at[k : k + len(words)] = self.used + starts_of(lens)[:-1]
-        self.n[k : k + len(words)] = lens
-        self.used += total
-        self.slot.update(zip(words, range(k, k + len(words)), strict=True))
-
-    def _add(self, words: pa.Array) -> None:
+        self.known = Index()
+        self.ids = np.zeros(1 << 16, self.kind)
+        self.at = np.zeros(1 << 15, np.int32)  # where the ids of every word begin; its last entry is where those of the last end
+
+    def _keep(self, keys: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        k, used = self.known.n, int(self.at[self.known.n])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 1 << (used + len(ids)).bit_length())
+        if k + len(keys) >= len(self.at):
+            self.at = np.resize(self.at, 1 << (k + len(keys) + 1).bit_length())
+        self.ids[used : used + len(ids)] = ids
+        self.at[k : k + len(keys) + 1] = used + starts_of(lens)
+        self.known.add(keys)
+
+    def _add(self, words: pa.Array, keys: np.ndarray) -> None:
         plain = pc.match_substring_regex(words, self.PLAIN)
-        easy, hard = words.filter(plain).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
-        for i in range(0, len(easy), 512):  # many words a call; word_ids tells them apart
-            some = easy[i : i + 512]
-            e = self.tok.encode(" ".join(some), add_special_tokens=False)
-            self._keep(some, np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)), np.array(e.ids, np.uint32))
-        if hard:
-            lists = [e.ids for e in self.tok.encode_batch_fast(hard, add_special_tokens=False)]
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
-            self._keep(hard, lens, np.fromiter((i for x in lists for i in x), np.uint32, int(lens.sum())))
+        easy = plain.to_numpy(zero_copy_only=False)
+        tokenize, letters = self.tok.model.tokenize, self.letters
+        found = [[t.id for t in tokenize(w if w.isascii() else w.translate(letters))] for w in words.filter(plain).to_pylist()]
+        found += [e.ids for e in self.tok.encode_batch_fast(words.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        self._keep(np.concatenate([keys[easy], keys[~easy]]), lens, np.fromiter(chain.from_iterable(found), self.kind, int(lens.sum())))
 
     def _even(self, texts: pa.Array) -> pa.Array:
         """The texts with fewer distinct words and the same ids."""
@@ -83,17 +140,16 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of every text, and all ids one after the other."""
         lens, codes, words = coded_words(self._even(as_text(texts)))
-        names = words.to_pylist()
-        if len(self.slot) > self.most:
+        keys = word_hashes(words)
+        if self.known.n > self.most:
             self._clear()
-        new = np.fromiter((w not in self.slot for w in names), bool, len(names))
+        new = self.known.find(keys) < 0
         if new.any():
-            self._add(words.filter(pa.array(new)))
-        slot = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
-        n = self.n[slot][codes]
-        total = int(n.sum())
-        ends = np.cumsum(n)
-        first = self.at[slot][codes] - (ends - n)
-        ids = self.ids[np.arange(total, dtype=np.int64) + np.repeat(first, n)]
-        at = np.concatenate([[0], ends])[starts_of(lens)]
-        return np.diff(at), ids
+            self._add(words.filter(pa.array(new)), keys[new])
+        place = self.known.find(keys)
+        first, n = self.at[place], (self.at[place + 1] - self.at[place])[codes]
+        ends = np.cumsum(n, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        shift = first[codes] - (ends - n)
+        ids = self.ids[np.repeat(shift, n) + np.arange(total)]
+        return np.diff(np.concatenate([[0], ends])[starts_of(lens)]), ids
