@@ -128,29 +128,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 50, k: int = 5, sample: int = 12_000,
-           part_rows: int = 4_096, most_parts: int = 256, mass: float = 0.97, least_probes: int = 3, block_rows: int = 4_096, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 50, k: int = 5, part_rows: int = 64, most_parts: int = 1024,
+           part_sample: int = 48, least_sample: int = 12_288, mass: float = 0.97, least_probes: int = 3, block_rows: int = 4_096, seed: int = 3) -> DataFrame:
     """The k nearest vectors found for every row whose id is divisible by query_every.
 
     Nearness is the largest cosine in double precision on the original
     vectors; ties go to the smaller id.  Returns query_id, rank (from 1),
-    vec_id, score.  The partition and the router are fitted on about
-    ``sample`` vectors chosen by hash; every vector is indexed.  A query
-    visits its most probable parts until they hold ``mass`` of the
-    probability, and least_probes at least.  A part is searched in blocks of
-    about block_rows vectors and as many queries, so a part of any size spreads.
+    vec_id, score.  n vectors have sqrt(n) / 2 parts, of part_rows vectors at
+    least and most_parts in number.  The partition and the router are fitted on
+    vectors chosen by hash, part_sample a part and least_sample at least (so
+    49,152 at most); every vector is indexed.  A query visits its most probable
+    parts until they hold ``mass`` of the probability, and least_probes at
+    least.  A part is searched in blocks of about block_rows vectors and as
+    many queries, so a part of any size spreads.
 
     Vectors that are null, empty, all zero, or that hold null or non-finite
     components take no part; nor do those of another length than most of the
-    sample.  Rows that repeat an id are each a candidate of the others' queries,
-    and one query.  An empty table gives no rows; other columns are ignored.
+    sample, or without id.  Rows that repeat an id are each a candidate of the
+    others' queries, and one query (the row that comes first in its task).
+    Fewer than two parts' rows are one part.  An empty table gives no rows;
+    other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = _clean(vectors, id_col, vector_col)
+    rows = _clean(vectors, id_col, vector_col).filter("vec_id IS NOT NULL")
     n = rows.count()
     kinds = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], kinds)
+    parts = max(1, min(most_parts, n // part_rows, int(n**0.5 / 2)))
+    sample = max(part_sample * parts, least_sample)
     share = min(1.0, sample / n)
     chosen = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
     if not chosen.num_rows:
@@ -161,7 +167,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     # ties of the sample's order would change the fit, so it is put in order
     order = np.lexsort((np.arange(len(sizes)), chosen["vec_id"].to_numpy()))
     x = _unit(np.array([chosen["v"][int(i)].as_py() for i in order if sizes[i] == dim]))
-    parts = int(min(most_parts, max(1, n // part_rows), max(1, len(x) // 32)))
+    parts = max(1, min(parts, len(x) // (part_rows // 2)))
     router = None
     if parts > 1:
         graph = neighbour_graph(x, 10)
@@ -175,10 +181,10 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, v = b.column(0).to_numpy(zero_copy_only=False).astype(np.float64), _matrix(b.column(1))
-            at = b.column(2).to_numpy()
+            ids, v = b.column(0).to_numpy(), _matrix(b.column(1))
+            at, turn_of = b.column(2).to_numpy(), b.column(3).to_numpy()
             p = net.probabilities(_unit(v)) if net is not None else np.ones((len(v), 1))
-            query = ~np.isnan(ids) & (np.nan_to_num(ids).astype(np.int64) % query_every == 0)
+            query = ids % query_every == 0
             index = np.arange(len(v))
             home = [(index, p.argmax(axis=1), at % blocks, np.zeros(len(v), bool))]
             q = index[query]
@@ -194,20 +200,20 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
             side = np.concatenate([[0], np.cumsum(reps)[:-1]])
             again = np.repeat(np.arange(len(row)), reps)
             turn = np.arange(len(again)) - np.repeat(side, reps)
-            qb = np.where(is_query[again], (at[row[again]] // blocks) % query_blocks, turn)
+            qb = np.where(is_query[again], turn_of[row[again]] % query_blocks, turn)
             take = pa.array(row[again])
             yield pa.RecordBatch.from_arrays([pa.array(part[again], pa.int32()), pa.array(block[again], pa.int64()), pa.array(qb, pa.int64()), pa.array(is_query[again]), b.column(0).take(take), b.column(1).take(take)],
                                              names=["part", "block", "qb", "is_query", "vec_id", "v"])
 
-    spot = F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(1 << 40))
-    routed = rows.select("vec_id", "v", spot.alias("at")).mapInArrow(route, "part int, block long, qb long, is_query boolean, vec_id long, v array<double>")
+    # candidates spread by their place, so that rows of one id do; queries by id, so that such rows meet
+    spot, turn = (F.pmod(F.xxhash64(c, F.lit(seed + 1)), F.lit(1 << 40)) for c in (F.monotonically_increasing_id(), F.col("vec_id")))
+    routed = rows.select("vec_id", "v", spot.alias("at"), turn.alias("turn")).mapInArrow(route, "part int, block long, qb long, is_query boolean, vec_id long, v array<double>")
 
     def rerank(group: pa.Table) -> pa.Table:
         flag = group["is_query"].combine_chunks().to_numpy(zero_copy_only=False)
         v = _unit(_matrix(group["v"].combine_chunks()))
-        ids = group["vec_id"].combine_chunks()
-        ids_np, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-        base, base_ids = v[~flag & known], ids_np[~flag & known]
+        ids_np = group["vec_id"].combine_chunks().to_numpy()
+        base, base_ids = v[~flag], ids_np[~flag]
         out = ([], [], [])
         if len(base):
             sort = np.argsort(base_ids, kind="stable")

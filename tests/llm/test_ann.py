@@ -1,4 +1,8 @@
+import pathlib
+
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from fathomline.llm import ann
 
@@ -45,11 +49,40 @@ def test_one_part_is_exact_with_ties(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=1e-12)
 
 
-def test_recall_of_learned_parts(spark):
-    x = clusters(4000)
-    got, want = found(ann.search(table(spark, x), part_rows=400, block_rows=150)), brute(x, np.arange(len(x)))
-    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
-    assert hits / sum(map(len, want.values())) >= 0.9
+def recall(got, want):
+    return sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("n", [600, 4000, 50_000])
+def test_recall_with_the_defaults(spark, n, monkeypatch):
+    x, fitted = clusters(n), []
+    balanced = ann.balanced_parts
+    monkeypatch.setattr(ann, "balanced_parts", lambda x, graph, parts: fitted.append((len(x), parts)) or balanced(x, graph, parts))
+    vectors = pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    got = found(ann.search(spark.createDataFrame(vectors), block_rows=500))
+    assert fitted[0][1] == min(n // 64, int(n**0.5 / 2)) and fitted[0][0] <= 1.1 * 12_288
+    assert recall(got, brute(x, np.arange(n))) >= 0.9
+
+
+def test_recall_on_the_standard_table(spark):
+    path = pathlib.Path("/root/testdata/sf0.1/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("no standard tables here")
+    table = spark.read.parquet(str(path))
+    got, want = found(ann.search(table)), found(ann.exact_search(table))
+    assert recall(got, want) >= 0.9
+    assert all(abs(s - dict(want[q]).get(v, s)) < 1e-12 for q in got for v, s in got[q])
+
+
+def test_rows_of_one_id(spark):
+    """Candidates of equal id all count; clashing columns do not matter."""
+    x = clusters(300)
+    ids = [0] * 100 + list(range(1, 201))
+    rows = [(i, v.tolist(), 1, 2) for i, v in zip(ids, x, strict=True)]
+    got = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int, part int"), block_rows=20))
+    assert got.keys() == {0, 50, 100, 150, 200}
+    assert all(len(v) == 5 and v == sorted(v, key=lambda r: (-r[1], r[0])) for v in got.values())
+    assert all(i != 0 for i, _ in got[0]) and any(i == 0 for q in got for i, _ in got[q])
 
 
 def test_parts_are_balanced_and_keep_neighbours():
