@@ -18,8 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, crc_mod, free_names, materialize, slices, starts_of
-from .terms import head
+from .common import as_text, crc_mod, free_names, slices, starts_of
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -137,12 +136,13 @@ class Scorer:
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_mod: int = 4, held_out: int = 2,
-             fit_docs: int = 1500, max_grams: int = 1 << 21, keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+             fit_docs: int = 1500, fit_bytes: int = 8 << 20, most_langs: int = 1000, keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Predict the language of every whole text.
 
     Learns from labelled documents whose crc32 of the id, modulo held_out_mod,
-    is not held_out: of each language about fit_docs documents, chosen by hash,
-    and of their byte contexts the most frequent, at most max_grams.  Returns
+    is not held_out: of each language about fit_docs documents and fit_bytes of
+    text, chosen by hash; all their byte contexts count.  More than most_langs
+    labels raise ValueError, since the trees go to every worker.  Returns
     doc_id, held_out, lang_pred, score (the posterior of the prediction under
     equal priors), or, with keep, every column of docs with those two; names
     gives them other names, and columns of docs that have them are replaced.
@@ -157,11 +157,14 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     out_of = F.coalesce(crc_mod(F.col(id_col), held_out_mod) == held_out, F.lit(False))
     train = docs.filter(~out_of & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in train.groupBy(lang_col).count().collect()}
+    sized = train.groupBy(lang_col).agg(F.count("*"), F.sum(F.octet_length(text_col))).limit(most_langs + 1).collect()
+    sizes = {r[0]: min(1.0, fit_docs / r[1], fit_bytes / max(r[2], 1)) for r in sized}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages in {lang_col}")
     langs = sorted(sizes)
     model = None
     if langs:
-        share = F.create_map(*(F.lit(x) for k in langs for x in (k, int(min(1.0, fit_docs / sizes[k]) * (1 << 30)))))
+        share = F.create_map(*(F.lit(x) for k in langs for x in (k, int(sizes[k] * (1 << 30)))))
         number = F.create_map(*(F.lit(x) for i, k in enumerate(langs) for x in (k, i)))
         chosen = train.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < share[F.col(lang_col)])
 
@@ -175,7 +178,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n)], names=["lang_no", "gram", "n"])
 
         rows = chosen.select(number[F.col(lang_col)].alias("lang_no"), F.col(text_col).alias("text")).mapInArrow(count, "lang_no long, gram long, n long")
-        table = head(materialize(rows.groupBy("lang_no", "gram").agg(F.sum("n").alias("n")), "contexts"), max_grams)
+        table = rows.groupBy("lang_no", "gram").agg(F.sum("n").alias("n")).orderBy("lang_no", "gram").toArrow()
         present = sorted(set(table["lang_no"].to_pylist()))
         if present:
             again = np.full(len(langs), -1)
