@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, coded_words, crc_mod, materialize, mix64, slices, starts_of, sum_by_row, word_hashes
+from .common import as_text, coded_words, crc_mod, materialize, mix64, numbered, slices, starts_of, sum_by_row, word_hashes
 from .terms import HEAD_TERMS, head, head_lookup, join_tail, tail_rows, term_counts
 
 _U = np.uint64
@@ -210,7 +210,7 @@ def _fit_weights(ratio_counts: list, rounds: int = 20) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 7, held_out: int = 2, base: float = 1.4,
-                    bits_per_entry: int = 8, segment_bytes: int = 1 << 21, head_terms: int = HEAD_TERMS) -> DataFrame:
+                    bits_per_entry: int = 8, segment_bytes: int = 1 << 21, slice_bytes: int = 4 << 20, head_terms: int = HEAD_TERMS) -> DataFrame:
     """Score every whole text under unigram counts and under a bigram model.
 
     Learns from documents whose crc32 of the id, modulo held_out_mod, is not
@@ -218,55 +218,57 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n_tokens, n_known, train_tokens, base_score, score.  Counts cover every
     training document.  base_score uses exact counts; score uses the filter,
     which holds every n-gram and whose size is bits_per_entry for each level
-    of each n-gram.  It has a segment for about every segment_bytes of text.
+    of each n-gram.  It has a segment for about every segment_bytes of text, so
+    a segment is bounded; n-grams are sent to it and levels back by slices of
+    slice_bytes of text.
     The interpolation weights are fitted with each token's own occurrence left
     out, on all training documents.
 
     Null or empty text is the end token alone.  Every row gives one row, also
     repeated ones; without any training document the counts are 0 and N = 0.
-    An empty table gives no rows; other columns are ignored.
+    A very long text is a slice of its own.  An empty table gives no rows; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     scale = Scale(base)
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+    rows_in = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.coalesce(crc_mod(F.col(id_col), held_out_mod) == held_out, F.lit(False)).alias("held_out"),
     )
+    # read three times: for words, for n-grams by slices, and for the slices themselves; rows and slices are the same each time
+    source = numbered(rows_in, "row").select("row", "doc_id", "text", "held_out")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text"):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(b)
-                n_bytes = pc.sum(pc.binary_length(b.column(2))).as_py() or 0
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b.column(0)[0].as_py(), b.num_rows - b.column(3).true_count, n_bytes, sink.getvalue().to_pybytes())], names=["batch", "n_train", "n_bytes", "docs"])
-
-    # slices of about 8 MB with their row numbers, compressed: they are read once for their n-grams and once for the scores
-    packed_docs = materialize(source.mapInArrow(pack, "batch long, n_train long, n_bytes long, docs binary"), "slices")
-    sizes = packed_docs.agg(F.sum("n_train").alias("n"), F.sum("n_bytes").alias("bytes")).first()
+    sizes = source.agg(F.count_if(~F.col("held_out")).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n_train, n_bytes = sizes["n"] or 0, sizes["bytes"] or 0
 
     words = materialize(term_counts(source.filter(~F.col("held_out")), "text", lower_words), "words")
     facts = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (facts["n"] or 0) + n_train, facts["v"] + (n_train > 0)
 
-    segments = 1 << max(4, min(14, (n_bytes // segment_bytes).bit_length()))
+    # a segment for so many bytes of text, and beyond 2^14 segments for up to 32 times as many
+    bits = (n_bytes // segment_bytes).bit_length()
+    segments = 1 << max(4, min(bits, max(14, bits - 5)))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, data in zip(whole.column(0), whole.column(1), strict=True):
-                part = pa.ipc.open_stream(data.as_buffer()).read_all()
-                lens, own, pair, history, _, keys = grams(*lower_words(part["text"]))
-                learns = ~part["held_out"].to_numpy()
+            for b in slices(whole, "text", slice_bytes):
+                lens, own, pair, history, _, keys = grams(*lower_words(b.column(2)))
+                learns = ~b.column(3).to_numpy(zero_copy_only=False)
                 here, n_words = np.repeat(learns, lens), len(keys) - len(history)
                 n = np.append(np.bincount(own[here], minlength=n_words), np.bincount(pair[here], minlength=len(history)))
                 n[n_words - 1] = learns.sum()  # texts that begin
                 order = np.argsort(keys)
                 rows = _pieces(keys[order], n[order], segments)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.as_py()] * rows.num_rows, pa.int64()), *rows.columns], names=["batch", "segment", "keys", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[0].as_py()] * rows.num_rows, pa.int64()), *rows.columns], names=["batch", "segment", "keys", "many"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", slice_bytes):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(b)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([sink.getvalue().to_pybytes()])], names=["batch", "docs"])
 
     def probe(group: pa.Table) -> pa.Table:
         parts = [_unpack(k.as_py(), m.as_py()) for k, m in zip(group["keys"], group["many"], strict=True)]
@@ -309,10 +311,10 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         tail = pa.table([group["row"].take(pa.array(row)), none, pa.nulls(k, pa.bool_()), term.cast(pa.string()), pa.array(freq), pa.array(np.zeros(k)), pa.array(np.zeros(k, np.int64)), none, pa.nulls(k, pa.binary())], names=_NAMES)
         return pa.concat_tables([base_rows, tail])
 
-    sent = packed_docs.select("batch", "docs")
-    answers = sent.mapInArrow(pieces, "batch long, segment int, keys binary, many binary").groupBy("segment").applyInArrow(probe, "batch long, segment int, levels binary")
+    sent = source.mapInArrow(pack, "batch long, docs binary")
+    answers = source.mapInArrow(pieces, "batch long, segment int, keys binary, many binary").groupBy("segment").applyInArrow(probe, "batch long, segment int, levels binary")
     kind = "row long, doc_id long, held_out boolean, term string, freq long, near double, near_known long, n_tokens long"
-    rows = materialize(sent.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(combine, kind + ", levels binary"), "levels")
+    rows = materialize(sent.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(combine, kind + ", levels binary"), "levels", "zstd")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

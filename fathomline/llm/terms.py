@@ -21,6 +21,8 @@ from .common import doc_codes, slices
 
 #: Terms sent to every worker, at most.
 HEAD_TERMS = 1 << 19
+#: Bytes of all of them, and of one, at most.
+HEAD_BYTES, LONG_TERM = 8 << 20, 64
 
 #: Texts -> (terms per text, code of every term, distinct terms by code)
 Extract = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, pa.Array]]
@@ -40,22 +42,27 @@ def term_counts(docs: DataFrame, text_col: str, extract: Extract) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def head(counts: DataFrame, most: int = HEAD_TERMS) -> pa.Table:
-    """The most frequent rows of a (term, n, ...) table, at most ``most``.
+def head(counts: DataFrame, most: int = HEAD_TERMS, most_bytes: int = HEAD_BYTES) -> pa.Table:
+    """The most frequent rows of a (term, n, ...) table: about ``most``, and most_bytes of terms.
 
-    They are all rows with n at least a border found from the histogram of n,
-    so the choice has no ties to break.
+    Numbers of rows and bytes by n say where the border lies; of the rows that
+    are just on it a share is taken by hash, so however many are equally
+    frequent, the head is neither empty nor larger.  Terms over LONG_TERM bytes
+    never belong to it.
     """
-    bins = counts.groupBy(F.least(F.col("n"), F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).limit(1 << 20).collect()
-    border, total = None, 0
-    for row in bins:
-        total += row["count"]
-        if total > most:
+    key = counts.columns[0]
+    size = F.octet_length(key) if dict(counts.dtypes)[key] == "string" else F.lit(8)
+    short = counts.filter(size <= LONG_TERM).withColumn("_bin", F.least(F.col("n"), F.lit(1 << 20)))
+    bins = short.groupBy("_bin").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).orderBy(F.desc("_bin")).collect()
+    border, share, rows, held = 0, 0, 0, 0
+    for b in bins:
+        border = b["_bin"]
+        share = min(1.0, (most - rows) / b["rows"], (most_bytes - held) / max(b["bytes"], 1))
+        rows, held = rows + b["rows"], held + b["bytes"]
+        if share < 1:
             break
-        border = row["n"]
-    if border is None:
-        return counts.limit(0).toArrow()
-    return counts.filter(F.col("n") >= border).toArrow()
+    drawn = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))
+    return short.filter((F.col("_bin") > border) | ((F.col("_bin") == border) & drawn)).drop("_bin").toArrow()
 
 
 def head_lookup(terms: pa.Array, known: pa.Array) -> np.ndarray:

@@ -39,11 +39,17 @@ def test_counts_equal_the_library_with_head_and_tail(docs):
     assert count_tokens(docs([])).count() == 0
 
 
-def test_head_has_no_ties_to_break(spark):
+def test_head_is_bounded_and_never_empty(spark):
     t = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 1)], "term string, n long")
-    assert sorted(terms.head(t, 2)["term"].to_pylist()) == ["a"]
     assert sorted(terms.head(t, 3)["term"].to_pylist()) == ["a", "b", "c"]
-    assert terms.head(t, 0).num_rows == 0
+    assert terms.head(t, 1)["term"].to_pylist() == ["a"]
+    assert terms.head(t, 0).num_rows == 0 and terms.head(t.limit(0), 5).num_rows == 0
+    ties = spark.createDataFrame([(f"t{i}", 1 << 22) for i in range(5000)] + [("x" * 200, 1 << 30), ("", 9)], "term string, n long")
+    some = terms.head(ties, 1000)
+    assert 850 < some.num_rows < 1150 and "x" * 200 not in some["term"].to_pylist()
+    assert 0 < terms.head(ties, 5000, most_bytes=1000).num_rows < 300
+    keys = spark.createDataFrame([(i, 2) for i in range(5000)], "key long, n long")
+    assert 850 < terms.head(keys, 1000).num_rows < 1150
 
 
 def corpus():
