@@ -3,7 +3,8 @@
 A document has two histograms, of character classes and of its language's
 common words.  The reference of a language holds, for every bin, the median
 share over its documents, so a large part of poor documents does not move it.
-Both are compared by the Jensen-Shannon divergence (base 2).
+Both are compared by the Jensen-Shannon distance, the root of the divergence
+(base 2), less what the length of the document alone would make.
 """
 
 from __future__ import annotations
@@ -104,6 +105,16 @@ def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.maximum((a + b) / 2, 0)
 
 
+def distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of every row of counts from a distribution.
+
+    n draws from a reference of k bins have a divergence of about (k - 1) / (8 n ln 2)
+    from it; that much is taken off first, so texts of all lengths compare.
+    """
+    chance = (counts.shape[1] - 1) / (8 * np.log(2) * np.maximum(counts.sum(axis=1), 1))
+    return np.sqrt(np.maximum(divergence(counts, reference) - chance, 0))
+
+
 def _word_counts(lens, codes, words: pa.Array, common: list[str]) -> np.ndarray:
     """Occurrences of every common word, then of all others, in every text."""
     place = pc.fill_null(pc.index_in(stems(words), value_set=pa.array(common, pa.string())), len(common)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -112,8 +123,10 @@ def _word_counts(lens, codes, words: pa.Array, common: list[str]) -> np.ndarray:
     return np.bincount(owner * k + place[codes], minlength=len(lens) * k).reshape(len(lens), k)
 
 
-def references(docs: DataFrame, text_col: str, lang_col: str, common_words: int, min_words: int) -> dict[str, tuple[np.ndarray, list[str], np.ndarray]]:
+def references(docs: DataFrame, text_col: str, lang_col: str, common_words: int, min_words: int, most_langs: int) -> dict[str, tuple[np.ndarray, list[str], np.ndarray]]:
     """Of every language: class shares, its common words, and their shares."""
+    if docs.filter(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(most_langs + 1).count() > most_langs:
+        raise ValueError(f"more than {most_langs} languages in {lang_col}")
     source = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,39 +166,38 @@ def references(docs: DataFrame, text_col: str, lang_col: str, common_words: int,
                 yield from out
 
     bins = source.mapInArrow(shares, "lang string, bin long, level long, n long").groupBy("lang", "bin", "level").agg(F.sum("n").alias("n"))
-    found: dict[str, dict[int, list]] = {}
-    for row in bins.orderBy("lang", "bin", "level").collect():
-        found.setdefault(row["lang"], {}).setdefault(row["bin"], []).append((row["level"], row["n"]))
+    medians: dict[str, np.ndarray] = {}
+    for row in bins.groupBy("lang", "bin").agg(F.percentile("level", 0.5, F.col("n")).alias("level")).collect():
+        middle = medians.setdefault(row["lang"], np.zeros(len(CLASSES) + len(top[row["lang"]])))
+        middle[row["bin"]] = (row["level"] + (0.5 if row["level"] else 0)) / _LEVELS
     out = {}
-    for lang, by in found.items():
-        middle = np.zeros(len(CLASSES) + len(top[lang]))
-        for k, rows in by.items():
-            level, n = np.array(rows).T
-            at = int(np.searchsorted(np.cumsum(n), n.sum() / 2))
-            middle[k] = (level[at] + (0.5 if level[at] else 0)) / _LEVELS
+    for lang, middle in sorted(medians.items()):
         classes, words = middle[: len(CLASSES)], middle[len(CLASSES) :]
         if classes.sum():
             out[lang] = (classes / classes.sum(), top[lang], np.append(words, max(1 - words.sum(), 0)) / max(words.sum(), 1))
     return out
 
 
-def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 24, reference_words: int = 100,
-           min_words: int = 50, word_weight: float = 0.3, limit: float = 0.035, slack: float = 1.2) -> DataFrame:
+def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common_words: int = 24,
+           min_words: int = 50, class_limit: float = 0.17, word_limit: float = 0.25, most_langs: int = 1000) -> DataFrame:
     """Counts of the base rules and the verdict of the divergence for every text.
 
     A document is kept unless base_failed (fewer than min_words words, or over
-    half of them in repeated 3-word windows) or its divergence is over the
-    limit: class_js + word_weight * word_js > limit + slack / n_words, against
-    the nearest language's reference.  The slack allows for the noise of short
-    texts, and texts below min_words are not judged by divergence at all.
-    References cover every document with a language and reference_words words;
-    where there is none, divergences are null and only the base rules judge.
-
-    Null text has no words.  Every row gives one row, repeated or without id.
-    An empty table gives no rows; other columns are ignored.
+    half of them in repeated 3-word windows) or it is too far from the nearest
+    language's reference: the distance of its character classes is over
+    class_limit or that of its common words over word_limit.  The nearest is
+    the one with the least sum of both distances.  Texts below min_words are
+    not judged by distance at all.  References cover every document of a
+    language with min_words words; where there is none, distances are null and
+    only the base rules judge.  More than most_langs languages raise
+    ValueError, since their references go to every worker.
+
+    Null text has no words.  A very long text is judged whole.  Every row gives
+    one row, repeated or without id.  An empty table gives no rows; other
+    columns are ignored.
     """
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(references(docs, text_col, lang_col, common_words, reference_words))
+    known = spark.sparkContext.broadcast(references(docs, text_col, lang_col, common_words, min_words, most_langs))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -195,16 +207,16 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
                 c, classes = base_counts(texts, lens, codes, words), class_counts(texts)
                 best = np.full((3, len(lens)), np.inf)
                 for class_ref, common, word_ref in known.value.values():
-                    one, two = divergence(classes, class_ref), divergence(_word_counts(lens, codes, words, common), word_ref)
-                    total = one + word_weight * two
+                    one, two = distance(classes, class_ref), distance(_word_counts(lens, codes, words, common), word_ref)
+                    total = one + two
                     best = np.where(total < best[0], [total, one, two], best)
                 failed = (lens < min_words) | (100 * c["n_repeat_words"] > 50 * lens)
-                far = np.isfinite(best[0]) & (lens >= min_words) & (best[0] > limit + slack / np.maximum(lens, 1))
+                far = np.isfinite(best[0]) & (lens >= min_words) & ((best[1] > class_limit) | (best[2] > word_limit))
                 none = ~np.isfinite(best[0])
                 columns = [b.column(0), *(pa.array(c[k]) for k in ("n_words", "word_chars")), pa.array(classes[:, CLASSES.index("symbol")]), *(pa.array(c[k]) for k in ("n_dup_lines", "n_repeat_words")),
                            pa.array(failed), pa.array(~failed & ~far), pa.array(best[1], mask=none), pa.array(best[2], mask=none)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_js double, word_js double"
+    kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
     names = [k.split()[0] for k in kinds.split(", ")]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, kinds)
