@@ -8,8 +8,8 @@ from .comments import mask_comments
 from .functions import function_spans
 from .languages import language
 
-#: Words that keep their place in the normal form.
-KEYWORDS = frozenset("async class const def fn func function if let local pub return static struct type var void".split())
+# fixed values: words that keep their place in the normal form, and what stands for the function's name
+KEYWORDS = ("async", "class", "const", "def", "fn", "func", "function", "if", "let", "local", "pub", "return", "static", "struct", "type", "var", "void")
 PLACEHOLDER = "__dry_function"
 #: Shortest normal form that counts as a duplicate, by language.
 LEAST_CHARACTERS = 40

@@ -22,7 +22,7 @@ _QML = (
     (re.compile(r"^\s*(?:property\s+\w+\s+)?([A-Za-z_$][\w$]*)\s*:\s*(?:async\s+)?function\b"), "function"),
     (re.compile(r"^\s*(?:[A-Za-z_][\w]*\.)?(on[A-Z]\w*)\s*:\s*(?:(?:function\s*)?\([^)]*\)\s*(?:=>\s*)?)?\{"), "signal-handler"),
 )
-_PYTHON = re.compile(r"^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>[A-Za-z_]\w*)")
+_PYTHON = re.compile(r"^[ \t]*(?P<late>async[ \t]+)?def[ \t]+(?P<name>[A-Za-z_]\w*)")
 
 
 def function_spans(text: str, ext: str) -> list[dict]:
@@ -135,15 +135,14 @@ def _python(lines: list[str], lang: str, raw: list[str]) -> list[tuple]:
         if s and not continued and not literal:
             width = _width(line[: len(line) - len(line.lstrip())])
             while open_ and width <= open_[-1][0]:
-                w, name, start = open_.pop()
-                out.append(("method" if any(w > o[0] for o in open_ if o[1] is None) else "function", name, start, i))
+                out.append((*open_.pop()[1:], i))
             if m := _PYTHON.match(line):
-                open_.append((width, m.group("name"), i + 1))
+                open_.append((width, "async-function" if m.group("late") else "function", m.group("name"), i + 1))
         continued = max(0, continued + sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}"))
     n = len(lines)
     if n > 1 and not lines[-1]:
         n -= 1
-    out += [("function", name, start, n) for _, name, start in reversed(open_)]
+    out += [(*o[1:], n) for o in reversed(open_)]
     return sorted(out, key=lambda x: x[2])
 
 

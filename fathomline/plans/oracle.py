@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import EXCLUDED, GLOBS, MAX_LINES, MAX_WIDTH, MIN_LINES, PATTERNS
+from .queries import EXCLUDED, GLOBS, MAX_LINES, MAX_WIDTH, MIN_LINES, MODULES, PATTERNS
 
 _NONE = "NULL::VARCHAR AS suggested_path, NULL::VARCHAR AS severity"
 _DOCS = "docs AS (SELECT concat_ws('/', source, doc_id::VARCHAR || '.txt') AS path, text FROM documents WHERE text IS NOT NULL)"
@@ -105,7 +105,56 @@ _GRAMS = "r AS (SELECT conv_id * 1000 + turn AS id, role, length(text) AS n, lis
 _PAIRS = f"{_GRAMS}, pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g))::INTEGER AS common, (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::INTEGER AS whole FROM r a JOIN r b ON a.role = b.role AND a.id < b.id AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.75), near AS (SELECT * FROM pairs WHERE common::DOUBLE / whole >= 0.55)"
 
 _NAME = "replace(p_name, ' ', '_') || '_' || p_size"
-_SCRIPT = f"s AS (SELECT 'parts/' || p_partkey || '.ts' AS path, {_NAME} AS name, p_name, p_brand, p_size, lower(p_type) AS type FROM part)"
+_SCRIPT = f"s AS (SELECT 'parts/' || p_partkey || '.ts' AS path, {_NAME} AS name, p_name, p_brand, p_size, p_partkey + p_size AS goal, 'n_' || split_part(p_name, ' ', 1) AS one, 'k_' || lower(p_type) AS two FROM part)"
+#: Names that a script imports and does not use.
+_DEAD = "dead AS (SELECT path, unnest(list_filter([CASE WHEN p_size % 2 <> 0 THEN one END, two, CASE WHEN p_size % 3 <> 0 THEN 'total' END], lambda x: x IS NOT NULL)) AS name FROM s)"
+
+
+def _modules(kind: str) -> str:
+    """The text of every module: raw, without comments, or with comments (and literals) as blanks."""
+
+    def comment(signs: tuple[str, str], inner: str) -> str:
+        whole = f"{_quote(signs[0])} || {inner} || {_quote(signs[1])}"
+        return whole if kind == "raw" else f"repeat(' ', length({whole}))"
+
+    out = []
+    for i, (_, short, long, header, (before, literal, after), last, end, tail) in enumerate(MODULES):
+        header_sql = f"replace(replace({_quote(header)}, 'NAME', name), 'ASYNC ', CASE WHEN p_size % 2 = 1 THEN 'async ' ELSE '' END)"
+        kept = _quote(" " * len(literal) if kind == "literals" else literal)
+        if kind == "stripped":
+            note, block, trail = "''", "''", "'  '" if short[1] else "''"
+        else:
+            note = f"repeat({comment(short, chr(39) + 'note of ' + chr(39) + ' || p_brand')} || chr(10), a)"
+            block = f"repeat('  ' || {comment((long[0], ''), _quote('part'))} || chr(10) || '  ' || {comment(('', long[1]), 'p_type')} || chr(10), b)" if long else f"repeat('  ' || {comment(short, 'p_type')} || chr(10), b)"
+            trail = f"' ' || {comment(short, _quote('end'))}"
+        ends = f"{_quote(end)} || chr(10) || " if end else ""
+        out.append(
+            f"WHEN {i} THEN {note} || repeat(chr(10), e) || {header_sql} || chr(10) || repeat({_quote(before)} || {kept} || {_quote(after)} || chr(10), c) || {block} || repeat(chr(10), g)"
+            f" || {_quote(last)} || CASE WHEN t = 1 THEN {trail} ELSE '' END || chr(10) || {ends}chr(10) || {_quote(tail)} || chr(10)"
+        )
+    return "CASE turn " + " ".join(out) + " END"
+
+
+def _by_turn(*values: str) -> str:
+    return f"[{', '.join(values)}][turn + 1]"
+
+
+_HASH = "turn IN (5, 6)"  # languages that have no comment but the short one
+#: a notes, b long comments, c statements, e and g blank lines, t a comment behind the last statement; h the header's line, f the line of the end (in Python the blank line)
+_MODULE = (
+    f"m0 AS (SELECT *, {_NAME} AS name, (p_partkey % {len(MODULES)})::INTEGER AS turn, p_size % 4 AS a, length(p_type) % 3 AS b, p_size % 5 AS c, (p_partkey // 10) % 3 AS e, p_size % 2 AS g, (p_size % 3 = 0)::INTEGER AS t FROM part),"
+    f"m AS (SELECT *, 'modules/' || p_partkey || {_by_turn(*(_quote(m[0]) for m in MODULES))} AS path, 1 + a + e AS h, 3 + a + e + c + (CASE WHEN {_HASH} THEN 1 ELSE 2 END) * b + g AS f FROM m0)"
+)
+_MODULE_SPANS = (
+    f"{_MODULE}, sp AS (SELECT path, CASE WHEN turn = 5 AND p_size % 2 = 1 THEN 'async-function' ELSE 'function' END AS kind, name, h::INTEGER AS start_line, f::INTEGER AS end_line,"
+    " (f - h + 1)::INTEGER AS line_count, (c + CASE WHEN turn = 5 THEN 2 ELSE 3 END)::INTEGER AS code_line_count FROM m WHERE turn < 8)"
+)
+_COMMENTS = f"{_MODULE}, n AS (SELECT path, CASE WHEN turn = 8 THEN 0 WHEN {_HASH} THEN a + b + t ELSE a + t END AS l, CASE WHEN turn = 8 THEN a + b + t WHEN {_HASH} THEN 0 ELSE b END AS bl FROM m)"
+_DECLARED = (
+    f"{_MODULE}, d AS (SELECT path, CASE turn WHEN 8 THEN 'class' WHEN 9 THEN 'mixin' WHEN 5 THEN CASE WHEN p_size % 2 = 1 THEN 'async-function' ELSE 'function' END ELSE 'function' END AS kind, name, h AS line, length(name) AS n FROM m"
+    f" UNION ALL SELECT path, {_by_turn(*map(_quote, ('const', 'const', 'const', 'using', 'namespace', 'assignment', 'assignment', 'property', 'custom-property', 'variable')))},"
+    f" CASE turn WHEN 8 THEN '--LIMIT' WHEN 9 THEN '$LIMIT' ELSE 'LIMIT' END, f + CASE turn WHEN 5 THEN 1 WHEN 1 THEN 3 ELSE 2 END, 5 FROM m)"
+)
 _UNION = f"{_DOCS}, {_SPLIT}, {_LINES}, {_SIZES}, {_banned()}, u AS ({_LONG} UNION ALL {_MAX} UNION ALL SELECT * REPLACE ('warning' AS severity) FROM ({_MIN}) UNION ALL SELECT * FROM found UNION ALL SELECT " + _row("banned-files", "path", "'file path matches banned glob \"src1/*\"'", "'{\"glob\":\"src1/*\"}'", fix=True, severity="'warning'") + " FROM docs WHERE regexp_full_match('/' || path, '/src1/[^/]*')), v AS (SELECT *, CASE rule WHEN 'banned-patterns' THEN 0 WHEN 'banned-files' THEN 1 WHEN 'min-file-lines' THEN 2 WHEN 'max-file-lines' THEN 5 ELSE 6 END AS rule_order FROM u)"
 
 ORACLE_SQL = {
@@ -123,16 +172,16 @@ ORACLE_SQL = {
     "near_dup_components": f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM near UNION SELECT b, a FROM near), walk AS (SELECT x AS id, x AS grp FROM e UNION SELECT e.y, w.grp FROM walk w JOIN e ON e.x = w.id) SELECT id, min(grp) AS grp FROM walk GROUP BY id",
     "link_unresolved": rf"""WITH {_PAGES}, h AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), t AS (SELECT page_id, CASE WHEN starts_with(href, '/') THEN host || href ELSE regexp_replace(regexp_replace(href, '^https?://', ''), '[?#].*$', '') END AS target FROM h) SELECT page_id, target, count(*) AS n FROM t WHERE target NOT IN (SELECT path FROM pg) GROUP BY ALL""",
     "path_resolution": rf"""WITH {_PAGES}, known AS (SELECT DISTINCT path FROM pg WHERE NOT ends_with(path, '/')), u AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS raw FROM pages), f AS (SELECT page_id, raw, [raw, regexp_replace(raw, '#.*$', ''), regexp_replace(raw, '[?#].*$', ''), regexp_replace(regexp_replace(raw, '[?#].*$', ''), '/$', ''), regexp_replace(regexp_replace(raw, '[?#].*$', ''), '/$', '') || '.html'] AS forms FROM u), c AS (SELECT page_id, raw, unnest(range(0, 5)) AS rank, unnest(forms) AS candidate FROM f) SELECT page_id, raw, arg_min(k.path, rank) FILTER (WHERE k.path IS NOT NULL) AS resolved FROM c LEFT JOIN known k ON k.path = candidate GROUP BY page_id, raw""",
-    "dead_names": f"WITH {_SCRIPT} SELECT path, 'unused' AS name FROM s",
-    "unresolved_imports": f"WITH {_SCRIPT} SELECT " + _row("imports", "path", "'unresolved import ./' || type || ' should be removed'", _json(specifier=_text("'./' || type"))) + " FROM s UNION ALL SELECT " + _row("imports", "path", "'unused import unused should be removed'", "'{\"name\":\"unused\"}'", fix=True) + " FROM s",
-    "comment_counts": f"WITH {_SCRIPT} SELECT " + _row("remove-comments", "path", "'file contains 2 removable comments'", "'{\"commentCount\":2,\"lineComments\":1,\"blockComments\":1}'", fix=True) + " FROM s",
-    "function_spans": f"WITH {_SCRIPT} SELECT path, 'function' AS kind, name, 2::INTEGER AS start_line, 7::INTEGER AS end_line, 6::INTEGER AS line_count, 4::INTEGER AS code_line_count FROM s",
-    "function_limits": f"WITH {_SCRIPT} SELECT " + _row("max-function-lines", "path", "'function ' || name || ' has 6 physical lines, but only 4 code lines count toward the limit of 4'", _json(functionKind="'\"function\"'", functionName=_text("name"), lineCount="'6'", codeLineCount="'4'", max="'4'", startLine="'2'", endLine="'7'"), severity="'warning'") + " FROM s",
-    "declaration_names": f"WITH {_SCRIPT}, d AS (SELECT *, length(name) AS n FROM s) SELECT " + _row("max-declaration-name", "path", "'function ' || name || ' has ' || n || ' characters and exceeds the maximum name length of 12'", _json(declarationKind="'\"function\"'", declarationName=_text("name"), line="'2'", length="n", max="'12'")) + " FROM d WHERE n > 12 UNION ALL SELECT " + _row("min-declaration-name", "path", "'function ' || name || ' has ' || n || CASE WHEN n = 1 THEN ' character' ELSE ' characters' END || ' and below the minimum name length of 11'", _json(declarationKind="'\"function\"'", declarationName=_text("name"), line="'2'", length="n", min="'11'")) + " FROM d WHERE n < 11",
-    "script_duplicates": f"WITH {_SCRIPT}, g AS (SELECT list({{'p': path, 'n': name}} ORDER BY path, name) AS m FROM s GROUP BY p_name, p_size HAVING count(*) > 1) SELECT " + _row("dry", "'multiple files'", "'duplicate function group'", _json(confidence="'1'", files=_list("list_sort(list_distinct(list_transform(m, lambda x: x.p)))"), fixable="'false'", functions="'[' || array_to_string(list_transform(m, lambda x: '{\"classification\":\"standalone\",\"filePath\":\"' || x.p || '\",\"language\":\"typescript\",\"line\":2,\"name\":\"' || x.n || '\",\"topLevel\":false}'), ',') || ']'", locations=_list("list_transform(m, lambda x: x.p || '#' || x.n)"), reason="'\"duplicate function group requires human canonicalization\"'", signals="'[\"exact-normalized\"]'")) + " FROM g",
-    "script_spacing": f"WITH {_SCRIPT} SELECT " + _row("structural-blank-lines", "path", "'file has 1 structural boundary with incorrect blank line spacing'", "'{\"boundaryCount\":1,\"insertedBlankLines\":1,\"removedBlankLines\":0}'", fix=True) + " FROM s",
-    "stripped_scripts": f"WITH {_SCRIPT} SELECT path, 'import {{ unused, total }} from ''./' || type || ''';' || chr(10) || 'export function ' || name || '(alpha, beta) {{' || chr(10) || '  const text = \"// ' || p_name || '\";' || chr(10) || chr(10) || '  return total + alpha + beta + text + ' || p_size || ';' || chr(10) || '}}' || chr(10) AS new_text FROM s",
-    "masked_documents": "SELECT doc_id::VARCHAR AS path, true AS masked_text, true AS masked_literals, true AS masked_code FROM documents WHERE text IS NOT NULL",
+    "dead_names": f"WITH {_SCRIPT}, {_DEAD} SELECT path, name FROM dead",
+    "unresolved_imports": f"WITH {_SCRIPT}, {_DEAD} SELECT " + _row("imports", "path", "'unresolved import ./' || goal || ' should be removed'", _json(specifier=_text("'./' || goal"))) + " FROM s WHERE goal NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT " + _row("imports", "path", "'unused import ' || name || ' should be removed'", _json(name=_text("name")), fix=True) + " FROM dead",
+    "comment_counts": f"WITH {_COMMENTS} SELECT " + _row("remove-comments", "path", "'file contains ' || (l + bl) || CASE WHEN l + bl = 1 THEN ' removable comment' ELSE ' removable comments' END", _json(commentCount="l + bl", lineComments="l", blockComments="bl"), fix=True) + " FROM n WHERE l + bl > 0",
+    "function_spans": f"WITH {_MODULE_SPANS} SELECT * FROM sp",
+    "function_limits": f"WITH {_MODULE_SPANS} SELECT " + _row("max-function-lines", "path", "kind || ' ' || name || CASE WHEN code_line_count > 5 THEN ' has ' || code_line_count || ' lines and exceeds the limit of 5' ELSE ' has ' || line_count || ' physical lines, but only ' || code_line_count || ' code lines count toward the limit of 5' END", "CASE WHEN code_line_count > 5 THEN " + _json(functionKind=_text("kind"), functionName=_text("name"), lineCount="code_line_count", max="'5'", startLine="start_line", endLine="end_line") + " ELSE " + _json(functionKind=_text("kind"), functionName=_text("name"), lineCount="line_count", codeLineCount="code_line_count", max="'5'", startLine="start_line", endLine="end_line") + " END", severity="CASE WHEN code_line_count > 5 THEN NULL ELSE 'warning' END") + " FROM sp WHERE line_count > 5",
+    "declaration_names": f"WITH {_DECLARED} SELECT " + _row("max-declaration-name", "path", "kind || ' ' || name || ' has ' || n || ' characters and exceeds the maximum name length of 12'", _json(declarationKind=_text("kind"), declarationName=_text("name"), line="line", length="n", max="'12'")) + " FROM d WHERE n > 12 UNION ALL SELECT " + _row("min-declaration-name", "path", "kind || ' ' || name || ' has ' || n || CASE WHEN n = 1 THEN ' character' ELSE ' characters' END || ' and below the minimum name length of 11'", _json(declarationKind=_text("kind"), declarationName=_text("name"), line="line", length="n", min="'11'")) + " FROM d WHERE n < 11",
+    "script_duplicates": f"WITH {_SCRIPT}, g AS (SELECT list({{'p': path, 'n': name}} ORDER BY path, name) AS m, p_size % 4 + 2 AS line_no FROM s GROUP BY p_name, p_size HAVING count(*) > 1) SELECT " + _row("dry", "'multiple files'", "'duplicate function group'", _json(confidence="'1'", files=_list("list_sort(list_distinct(list_transform(m, lambda x: x.p)))"), fixable="'false'", functions="'[' || array_to_string(list_transform(m, lambda x: '{\"classification\":\"standalone\",\"filePath\":\"' || x.p || '\",\"language\":\"typescript\",\"line\":' || line_no || ',\"name\":\"' || x.n || '\",\"topLevel\":false}'), ',') || ']'", locations=_list("list_transform(m, lambda x: x.p || '#' || x.n)"), reason="'\"duplicate function group requires human canonicalization\"'", signals="'[\"exact-normalized\"]'")) + " FROM g",
+    "script_spacing": f"WITH {_SCRIPT}, x AS (SELECT path, (p_size % 4 = 0)::INTEGER AS more, greatest(p_size % 4 - 1, 0) AS less FROM s) SELECT " + _row("structural-blank-lines", "path", "'file has 1 structural boundary with incorrect blank line spacing'", _json(boundaryCount="'1'", insertedBlankLines="more", removedBlankLines="less"), fix=True) + " FROM x WHERE more + less > 0",
+    "stripped_modules": f"WITH {_MODULE}, r AS (SELECT path, {_modules('raw')} AS text, {_modules('stripped')} AS new_text FROM m) SELECT path, new_text FROM r WHERE text <> new_text",
+    "masked_modules": f"WITH {_MODULE} SELECT path, {_modules('comments')} AS masked_text, {_modules('literals')} AS masked_literals FROM m",
     "blank_runs": rf"WITH {_DOCS}, {_SPLIT}, {_LINES}, w AS (SELECT path, line, lag(line) OVER (PARTITION BY path ORDER BY line) AS prior FROM kept WHERE regexp_matches(line_text, '\S')) SELECT path, count(*) AS boundaries, sum(line - prior - 1)::BIGINT AS blank_lines, sum((line - prior = 2)::INTEGER)::BIGINT AS single FROM w WHERE prior IS NOT NULL GROUP BY path",
     "prefix_line_counts": rf"WITH {_DOCS}, {_SPLIT}, {_LINES} SELECT path, line::INTEGER AS line, sum(regexp_matches(line_text, '\S')::INTEGER) OVER (PARTITION BY path ORDER BY line)::BIGINT AS full_lines FROM kept",
     "violations_union": f"WITH {_UNION} SELECT * FROM v",

@@ -51,16 +51,59 @@ def _name() -> Column:
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part as a script of one import, one comment and one function."""
+    """Every part as a script of one import, one comment and one function.
+
+    Which imported names are used, how many lines lie between, and whether the
+    import leads anywhere hang on the part's columns.
+    """
+    one, two = F.concat(F.lit("n_"), F.substring_index("p_name", " ", 1)), F.concat(F.lit("k_"), F.lower("p_type"))
     text = F.concat(
-        F.lit("import { unused, total } from './"), F.lower("p_type"), F.lit("'; // from "), "p_brand",
-        F.lit("\nexport function "), _name(), F.lit("(alpha, beta) {\n  const text = \"// "), "p_name", F.lit("\";\n  /* size */\n\n  return total + alpha + beta + text + "),
-        F.col("p_size").cast("string"), F.lit(";\n}\n"),
+        F.lit("import { "), one, F.lit(", "), two, F.lit(", total } from './"), (F.col("p_partkey") + F.col("p_size")).cast("string"), F.lit("'; // from "), "p_brand",
+        F.repeat(F.lit("\n"), F.col("p_size") % 4 + 1), F.lit("export function "), _name(), F.lit("(alpha, beta) {\n  const text = \"// "), "p_name", F.lit("\";\n  /* size */\n\n  return alpha + beta + text + "),
+        F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" + "), one)).otherwise(""), F.when(F.col("p_size") % 3 == 0, " + total").otherwise(""), F.lit(";\n}\n"),
     )
     p = table(spark, sf_dir, "part")
     return from_table(p, F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".ts")), text, F.lit(".ts"))
 
 
+#: A module of every language: extension, signs around a short and a long comment, header, statement (before, literal, after), last statement, end, what follows.
+MODULES = [
+    (".ts", ("// ", ""), ("/* ", " */"), "export function NAME(alpha, beta) {", ("  total(alpha, ", '"// not"', ");"), "  return beta;", "}", "  const LIMIT = 5;"),
+    (".go", ("// ", ""), ("/* ", " */"), "func NAME(alpha int, beta int) int {", ("  total(alpha, ", '"// not"', ")"), "  return beta", "}", "const (\n  LIMIT = 5\n)"),
+    (".rs", ("// ", ""), ("/* ", " */"), "pub fn NAME(alpha: i32, beta: i32) -> i32 {", ("  total(alpha, ", '"/* not"', ");"), "  return beta;", "}", "const LIMIT: i32 = 5;"),
+    (".cpp", ("// ", ""), ("/* ", " */"), "int NAME(int alpha, int beta) {", ("  total(alpha, ", '"// not"', ");"), "  return beta;", "}", "using LIMIT = int;"),
+    (".cs", ("// ", ""), ("/* ", " */"), "public static int NAME(int alpha, int beta) {", ("  Total(alpha, ", '@"// not"', ");"), "  return beta;", "}", "namespace LIMIT;"),
+    (".py", ("# ", ""), None, "ASYNC def NAME(alpha, beta):", ("  total(alpha, ", "'# not'", ")"), "  return beta", None, "LIMIT = 5"),
+    (".sh", ("# ", ""), None, "NAME() {", ("  total ", '"# not"', ""), "  echo beta", "}", "LIMIT=5"),
+    (".qml", ("// ", ""), ("/* ", " */"), "function NAME(alpha, beta) {", ("  total(alpha, ", "'// not'", ");"), "  return beta;", "}", "property int LIMIT: 5"),
+    (".css", ("/* ", " */"), ("/* ", " */"), ".NAME {", ("  content: ", '"/* not"', ";"), "  margin: 0;", "}", ":root { --LIMIT: 5; }"),
+    (".scss", ("// ", ""), ("/* ", " */"), "@mixin NAME {", ("  content: ", '"// not"', ";"), "  margin: 0;", "}", "$LIMIT: 5;"),
+]
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a source file, in ten languages by turns.
+
+    The numbers of comments, statements and blank lines hang on its columns.
+    """
+    size, line = F.col("p_size"), lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts), F.lit("\n"))
+
+    def text(ext, short, long, header, literal, last, end, after) -> Column:
+        block = line("  ", long[0], "part\n  ", F.col("p_type"), long[1]) if long else line("  ", short[0], F.col("p_type"))
+        named = F.replace(F.replace(F.lit(header), F.lit("NAME"), _name()), F.lit("ASYNC "), F.when(size % 2 == 1, "async ").otherwise(""))
+        return F.concat(
+            F.repeat(line(short[0], "note of ", F.col("p_brand"), short[1]), size % 4), F.repeat(F.lit("\n"), (F.floor(F.col("p_partkey") / 10) % 3).cast("int")), line(named),
+            F.repeat(line("".join(literal)), size % 5), F.repeat(block, F.length("p_type") % 3), F.repeat(F.lit("\n"), size % 2),
+            F.lit(last), F.when(size % 3 == 0, f" {short[0]}end{short[1]}").otherwise(""), F.lit("\n" + (end + "\n" if end else "") + "\n"), line(after),
+        )
+
+    turn = F.col("p_partkey") % len(MODULES)
+    pick = lambda f: F.coalesce(*(F.when(turn == i, f(m)) for i, m in enumerate(MODULES)))
+    ext = pick(lambda m: F.lit(m[0]))
+    p = table(spark, sf_dir, "part")
+    return from_table(p, F.concat(F.lit("modules/"), F.col("p_partkey").cast("string"), ext), pick(lambda m: text(*m)), ext)
+
+
 def _out(df: DataFrame) -> DataFrame:
     return df.select(*_COLUMNS)
 
@@ -174,20 +217,20 @@ def unresolved_imports(spark, sf_dir):
 
 
 def comment_counts(spark, sf_dir):
-    return _out(r.remove_comments(scripts(spark, sf_dir)))
+    return _out(r.remove_comments(modules(spark, sf_dir)))
 
 
 def function_spans(spark, sf_dir):
-    return exploded(scripts(spark, sf_dir), "function_spans").select("path", "kind", "name", "start_line", "end_line", "line_count", "code_line_count")
+    return exploded(modules(spark, sf_dir), "function_spans").select("path", "kind", "name", "start_line", "end_line", "line_count", "code_line_count")
 
 
 def function_limits(spark, sf_dir):
-    return _out(r.max_function_lines(scripts(spark, sf_dir), 4))
+    return _out(r.max_function_lines(modules(spark, sf_dir), 5))
 
 
 def declaration_names(spark, sf_dir):
-    s = scripts(spark, sf_dir)
-    return _out(r.declaration_names(s, maximum=12).unionByName(r.declaration_names(s, minimum=11)))
+    m = modules(spark, sf_dir)
+    return _out(r.declaration_names(m, maximum=12).unionByName(r.declaration_names(m, minimum=11)))
 
 
 def script_duplicates(spark, sf_dir):
@@ -198,10 +241,10 @@ def script_spacing(spark, sf_dir):
     return _out(r.structural_blank_lines(scripts(spark, sf_dir)))
 
 
-def stripped_scripts(spark, sf_dir):
+def stripped_modules(spark, sf_dir):
     from .fix import comment_rewrites
 
-    return comment_rewrites(scripts(spark, sf_dir), [])
+    return comment_rewrites(modules(spark, sf_dir), [])
 
 
 def formatted_scripts(spark, sf_dir):
@@ -210,12 +253,9 @@ def formatted_scripts(spark, sf_dir):
     return format_rewrites(scripts(spark, sf_dir), 60)
 
 
-def masked_documents(spark, sf_dir):
-    """The masks over documents read as C++: lengths and line breaks must not change."""
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), F.lit(".cpp").alias("ext"), "text")
-    m = with_features(d, "masked_text", "masked_literals", "masked_code")
-    same = lambda c: (F.length(c) == F.length("text")) & (F.regexp_count(c, F.lit("\n")) == F.regexp_count("text", F.lit("\n")))
-    return m.select("path", *(same(c).alias(c) for c in ("masked_text", "masked_literals", "masked_code")))
+def masked_modules(spark, sf_dir):
+    """Modules with their comments, then also their literals, as blanks."""
+    return with_features(modules(spark, sf_dir), "masked_text", "masked_literals").select("path", "masked_text", "masked_literals")
 
 
 def blank_runs(spark, sf_dir):
@@ -264,6 +304,6 @@ def blocking_paths(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     long_lines, file_line_limits, banned_patterns, banned_paths, excluded_paths, path_redundancy, path_scalars, alias_ids, text_scalars, dup_groups, near_dup_pairs, near_dup_components, near_dup_bands, link_unresolved,
-    path_resolution, dead_names, unresolved_imports, comment_counts, function_spans, function_limits, declaration_names, script_duplicates, script_spacing, stripped_scripts, formatted_scripts, masked_documents,
+    path_resolution, dead_names, unresolved_imports, comment_counts, function_spans, function_limits, declaration_names, script_duplicates, script_spacing, stripped_modules, formatted_scripts, masked_modules,
     blank_runs, prefix_line_counts, violations_union, violations_summary, violations_by_rule, rule_file_topn, blocking_paths,
 )}

@@ -64,7 +64,8 @@ def test_function_spans(ext, text, want):
 
 
 @pytest.mark.parametrize("ext,text,want", [
-    (".ts", "export const a = 1\nfunction bb() {}\n  const inner = 2\n", ["a", "bb"]), (".go", "type T struct{}\nvar v = 1\nconst c = 2\nfunc f() {}\nfunc (t T) m() {}\n", ["T", "v", "c", "f", "m"]),
+    (".ts", "export const a = 1\nfunction bb() {}\n  const inner = 2\n  function deep() {}\n", ["a", "bb", "inner", "deep"]), (".go", "type T struct{}\nvar v = 1\nconst c = 2\nfunc f() {}\nfunc (t T) m() {}\n", ["T", "v", "c", "f", "m"]),
+    (".go", "const (\n\tA = 1\n\n\tB\n)\nvar (\n\tx, y int\n)\ntype (\n\tT struct{}\n)\nfunc f() {}\nconst (C = 3)\nvar z int\n", ["A", "B", "x", "T", "f", "z"]), (".py", "async def a():\n    def b(): pass\n    c = 1\nif c == 2: pass\n", ["a", "b", "c"]),
     (".rs", "pub struct S;\nenum E {}\nmod m {}\nstatic X: i32 = 1;\n", ["S", "E", "m", "X"]), (".py", "x = 1\nclass C:\n    def m(self): pass\nx == 2\n", ["x", "C", "m"]),
     (".sh", "a=1\nf() {\n}\n", ["a", "f"]), (".scss", "$v: 1;\n@mixin mm {}\n%p {}\n.c { --d: 1 }\n", ["v", "mm", "p", "c", "d"]), (".qml", "id: me\nproperty int n: 1\nsignal done\n", ["me", "n", "done"]),
     (".cpp", "namespace n {\nclass C {};\nusing U = int;\n}\n", ["n", "C", "U"]), (".cs", "interface I {}\npublic sealed class K {}\n", ["I", "K"]),
