@@ -8,8 +8,7 @@ tokens is dropped.
 from __future__ import annotations
 
 import re
-
-import pandas as pd
+from functools import lru_cache
 
 from .comments import literal_lines, mask_comments, mask_literals, spans
 from .languages import language
@@ -17,6 +16,7 @@ from .languages import language
 LARGE = 2 << 20
 _UNIT = {"go": 4, "rust": 4, "python": 4, "csharp": 4}
 _JSX = (".tsx", ".jsx")
+_TAG = re.compile(r"<[A-Za-z][\w.:-]*(?=\s|$)")
 _BINARY = r"===|!==|==|!=|<=|>=|&&=|\|\|=|\?\?=|\+=|-=|\*=|/=|%=|=>|&&|\|\||\?\?|="
 
 
@@ -74,9 +74,10 @@ def _ends(text: str, ext: str) -> str:
 def _indent(text: str, ext: str, unit: int) -> str:
     lines, masked, locked = text.split("\n"), mask_literals(text, ext).split("\n"), _locked(text, ext)
     flags = literal_lines(text, ext)
-    out, depth, goes_on = [], 0, False
+    out, depth, goes_on, in_tag = [], 0, False, False
     for line, m, keep, (inside, _) in zip(lines, masked, locked, flags, strict=True):
         code = m.strip()
+        attribute = in_tag and not code.startswith((">", "/>"))
         opens = sum(code.count(c) for c in "{[(")
         closes = sum(code.count(c) for c in "}])")
         leading = len(re.match(r"[}\])]*", code).group())
@@ -85,10 +86,11 @@ def _indent(text: str, ext: str, unit: int) -> str:
         elif keep:  # begins here, ends in a later line: only its indent may move
             out.append(" " * (unit * max(0, depth - leading)) + line.lstrip())
         else:
-            level = max(0, depth - leading + (1 if goes_on else 0))
+            level = max(0, depth - leading + (1 if goes_on or attribute else 0))
             out.append(" " * (unit * level) + line.strip())
         depth = max(0, depth + opens - closes)
         goes_on = code.endswith(("+", "&&", "||")) and not code.endswith("++")
+        in_tag = ext in _JSX and (in_tag or bool(_TAG.match(code))) and not re.search(r"(?<!=)>", code)
     return "\n".join(out)
 
 
@@ -140,6 +142,7 @@ def _space_code(code: str) -> str:
     return "\n".join(out)
 
 
+@lru_cache(64)
 def _tokens(text: str, ext: str) -> list[str]:
     """Code without white space, literals whole, in order."""
     out, at = [], 0
@@ -150,6 +153,7 @@ def _tokens(text: str, ext: str) -> list[str]:
     return out + re.findall(r"\w+|[^\w\s]", text[at:])
 
 
+@lru_cache(64)
 def _literals(text: str, ext: str) -> str:
     """All literal content run together, quotes and joins aside."""
     return "".join(re.sub(r"^[\w#@$]*[\"'`]+|[\"'`]+#*$", "", text[s.start : s.end]) for s in spans(text, ext, strict=True) if s.kind == "string")
@@ -181,7 +185,7 @@ def _wrap(text: str, ext: str, width: int) -> str:
         elif expand:
             new = _expand(line, code)
         else:
-            new = _wrap_delimited(line, code, lang) or _wrap_string(line, code, lang, width)
+            new = _wrap_delimited(line, code, lang) or _wrap_sum(line, code, plain, lang) or _wrap_string(line, code, lang, width) or _wrap_tag(line, width)
         if new and new != [line]:
             changed = True
             out += new
@@ -232,6 +236,57 @@ def _wrap_delimited(line: str, code: str, lang: str) -> list[str] | None:
     return [line[: a + 1].rstrip(), *inner, lead + line[b:].strip()]
 
 
+def _wrap_sum(line: str, code: str, plain: str, lang: str) -> list[str] | None:
+    """A sum with one term a line, cut at every ``+`` outside of brackets and literals."""
+    if lang not in ("script", "qml", "cpp", "csharp") or "+=" in code or "++" in code or plain != line or re.match(r"\s*(?:import\b|export\b.*\bfrom\b|#include\b)", code):
+        return None
+    depth, cuts = 0, []
+    for k, c in enumerate(code):
+        depth += (c in "([{") - (c in ")]}")
+        if c == "+" and depth <= 0 and not re.search(r"\d[eE]$", code[:k]):
+            cuts.append(k)
+    lead = re.match(r"\s*", line).group()
+    terms = [line[a + 1 : b].strip() for a, b in zip([-1, *cuts], [*cuts, len(line)], strict=True)]
+    if len(terms) < 2 or not all(terms):
+        return None
+    return [lead + ("  " if i else "") + t + (" +" if i < len(terms) - 1 else "") for i, t in enumerate(terms)]
+
+
+def _tag_parts(text: str) -> list[str] | None:
+    """The name and the attributes of the tag a text begins with; what follows the tag stays with the last."""
+    parts, at, depth, quote, start = [], 0, 0, "", 0
+    while at < len(text):
+        c = text[at]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" or c == "`" and depth:
+            quote = c
+        elif c == ">" and not depth:
+            return [*parts, text[start:]]
+        elif c.isspace() and not depth:
+            parts.append(text[start:at])
+            start = at + 1
+        if not quote:
+            depth += (c == "{") - (c == "}")
+        at += 1
+    return None
+
+
+def _wrap_tag(line: str, width: int) -> list[str] | None:
+    """A long tag with its attributes on lines of their own, as many on one as fit."""
+    lead, text = re.match(r"(\s*)(.*)", line).groups()
+    parts = [p for p in _tag_parts(text) or [] if p] if _TAG.match(text) else []
+    if len(parts) < 2:
+        return None
+    out = [lead + parts[0]]
+    for p in parts[1:]:
+        if len(out) > 1 and len(out[-1]) + 1 + len(p) <= width:
+            out[-1] += " " + p
+        else:
+            out.append(f"{lead}  {p}")
+    return out if all(len(x) <= width for x in out) else None
+
+
 def _expand(line: str, code: str) -> list[str] | None:
     a, b = code.find("{"), code.rfind("}")
     if a < 0 or b < a or code.count("{") != 1:
@@ -307,14 +362,3 @@ def split_long_strings(text: str, ext: str, width: int) -> str:
 def generated_source(path: str) -> bool:
     parts = path.split("/")
     return "generated" in parts or ".min." in parts[-1]
-
-
-def format_column(width: int = 100):
-    """A column function of (text, ext)."""
-    from pyspark.sql import functions as F
-
-    @F.pandas_udf("string")
-    def run(text: pd.Series, ext: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else format_text(t, e or "", width) for t, e in zip(text, ext, strict=True)])
-
-    return run

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..lex import comments, declarations, dry, fold, functions, imports, units
 
+#: Bytes a core for which a table counts as small.
+SMALL_BYTES = 8 << 20
+
 _INT, _STR, _BOOL = pa.int32(), pa.string(), pa.bool_()
 
 
@@ -32,10 +35,21 @@ FEATURES = {
     "imported_names": (pa.list_(_STR), "array<string>", lambda t, e: imports.imported_names(t)),
     "used_identifiers": (pa.list_(_STR), "array<string>", lambda t, e: imports.used_identifiers(t)),
     "dry_descriptors": (_structs(name=_STR, language=_STR, classification=_STR, start_line=_INT, character_count=_INT, fingerprint=_STR), "array<struct<name:string,language:string,classification:string,start_line:int,character_count:int,fingerprint:string>>", dry.descriptors),
+    "boundary_edits": (_structs(at_line=_INT, remove_count=_INT, insert_count=_INT), "array<struct<at_line:int,remove_count:int,insert_count:int>>", units.boundary_edits),
     "structural_units": (_structs(scope=_STR, group=_STR, name=_STR, start_line=_INT, end_line=_INT), schema.UNITS, units.structural_units),
 }
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """files over all cores, where they are few bytes and so in few partitions.
+
+    Lexing costs far more than moving a small table; a large one has its partitions from the scan.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.repartition(cores) if size < cores * SMALL_BYTES else files
+
+
 def with_features(files: DataFrame, *names: str) -> DataFrame:
     """files with a column per feature; texts that are null have null features.
 
@@ -54,7 +68,7 @@ def with_features(files: DataFrame, *names: str) -> DataFrame:
             columns = [pa.array([None if t is None else FEATURES[n][2](t, e or "") for t, e in zip(texts, exts, strict=True)], k) for n, k in zip(names, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *names])
 
-    return files.mapInArrow(run, out)
+    return spread(files).mapInArrow(run, out)
 
 
 def exploded(files: DataFrame, feature: str) -> DataFrame:
@@ -64,3 +78,18 @@ def exploded(files: DataFrame, feature: str) -> DataFrame:
     kind = f.schema[feature].dataType.elementType
     rows = f.select("path", "ext", element)
     return rows.select("path", "ext", "ordinal", "e.*") if hasattr(kind, "fields") else rows.withColumnRenamed("e", "value")
+
+
+def rewritten(files: DataFrame, change: Callable[[str, str, str], str], exts: Iterable[str]) -> DataFrame:
+    """(path, new_text) of the files of those extensions that change(path, text, ext) alters.
+
+    Unchanged texts do not leave the worker.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, new) for p, t, e in zip(*(c.to_pylist() for c in b.columns), strict=True) if (new := change(p, t, e)) != t]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _STR) for i in (0, 1)], names=["path", "new_text"])
+
+    chosen = files.filter(F.col("ext").isin(list(exts)) & F.col("text").isNotNull()).select("path", "text", "ext")
+    return spread(chosen).mapInArrow(run, "path string, new_text string")

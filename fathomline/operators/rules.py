@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, texts
 from ..lex.languages import DEFAULT_EXTENSIONS, FUNCTION_EXTENSIONS, IMPORT_EXTENSIONS, extensions
 from ..schema import violations
-from .extract import exploded, with_features
+from .extract import exploded, rewritten, with_features
 
 STATE_DIR = ".fathomline"
 
@@ -247,19 +247,8 @@ def structural_blank_lines(files: DataFrame, *, exclude_dirs=None) -> DataFrame:
 
 
 def boundary_edits(files: DataFrame) -> DataFrame:
-    """(path, at_line, remove_count, insert_count): the gap of each unit to the one before."""
-    from ..lex.units import COMPACT
-
-    units = exploded(files, "structural_units")
-    order = Window.partitionBy("path", "scope").orderBy("start_line", "ordinal")
-    prior = units.select("path", "start_line", *(F.lag(c).over(order).alias(f"last_{c}") for c in ("end_line", "group", "name")), "group", "name")
-    gaps = prior.filter(F.col("last_end_line").isNotNull()).withColumn("gap", F.col("start_line") - F.col("last_end_line") - 1).filter((F.col("gap") >= 0) & (F.col("gap") != 1))
-    same = (F.col("group") == F.col("last_group")) & (F.col("group").isin(sorted(COMPACT)) | (F.col("name") == F.col("last_name")))
-    wrong = gaps.filter(~((F.col("gap") == 0) & F.coalesce(same, F.lit(False))))
-    lines = wrong.join(files.select("path", "text"), "path")
-    between = texts.line_slice(F.col("text"), F.col("last_end_line") + 1, F.col("start_line") - 1)
-    blank = (F.col("gap") == 0) | ~between.rlike(r"\S")
-    return lines.filter(blank).select("path", F.col("start_line").alias("at_line"), F.greatest(F.col("gap") - 1, F.lit(0)).alias("remove_count"), F.when(F.col("gap") == 0, 1).otherwise(0).alias("insert_count"))
+    """(path, at_line, remove_count, insert_count): what brings the gaps between units to one blank line."""
+    return exploded(files, "boundary_edits").select("path", "at_line", "remove_count", "insert_count")
 
 
 def dry(files: DataFrame, min_duplicate_characters: int = 0, *, exclude_dirs=None) -> DataFrame:
@@ -289,8 +278,8 @@ def duplicate_groups(descriptors: DataFrame, min_characters: int = 0) -> DataFra
 
 
 def format_files(files: DataFrame, width: int = 100, *, exclude_dirs=None) -> DataFrame:
-    from ..lex.formatter import format_column
+    from ..lex.formatter import format_text
 
     files = without_excluded(files, exclude_dirs).filter(F.col("ext").isin(list(DEFAULT_EXTENSIONS)))
-    hits = files.select("path", (format_column(width)("text", "ext") != F.col("text")).alias("differs")).filter("differs")
+    hits = rewritten(files, lambda path, text, ext: format_text(text, ext, width), DEFAULT_EXTENSIONS)
     return violations(hits, "format", F.lit("needs formatting"), {"formatter": F.lit("builtin"), "backend": F.lit("builtin")}, fix=True)

@@ -12,7 +12,7 @@ from ..schema import RULES
 
 _NEEDS = {
     "banned-patterns": ("module_specifiers",), "min-file-lines": ("masked_text",), "max-file-lines": ("masked_text",), "min-declaration-name": ("declarations",), "max-declaration-name": ("declarations",),
-    "max-function-lines": ("function_spans",), "imports": ("module_specifiers", "imported_names", "used_identifiers"), "remove-comments": ("comment_ranges",), "structural-blank-lines": ("structural_units",), "dry": ("dry_descriptors",),
+    "max-function-lines": ("function_spans",), "imports": ("module_specifiers", "imported_names", "used_identifiers"), "remove-comments": ("comment_ranges",), "structural-blank-lines": ("boundary_edits",), "dry": ("dry_descriptors",),
 }
 
 

@@ -15,34 +15,25 @@ from ..lex import comments, formatter, imports, units
 from ..lex.languages import DEFAULT_EXTENSIONS, IMPORT_EXTENSIONS, extensions
 from ..operators import imports as import_rules
 from ..operators import rules as r
+from ..operators.extract import rewritten
 from ..sources import sinks, tree
 
 
-def _mapped(files: DataFrame, change, exts) -> DataFrame:
-    """(path, new_text) of the files that change(path, text, ext) alters."""
-    @F.pandas_udf("string")
-    def run(path: pd.Series, text: pd.Series, ext: pd.Series) -> pd.Series:
-        return pd.Series([change(p, t, e) for p, t, e in zip(path, text, ext, strict=True)])
-
-    rows = files.filter(F.col("ext").isin(list(exts))).select("path", "text", run("path", "text", "ext").alias("new_text"))
-    return rows.filter(F.col("new_text") != F.col("text")).select("path", "new_text")
-
-
 def comment_rewrites(files: DataFrame, keep: list[str]) -> DataFrame:
     kept = tuple(keep)
-    return _mapped(files, lambda p, t, e: comments.strip_comments(t, e, kept)[0], DEFAULT_EXTENSIONS)
+    return rewritten(files, lambda p, t, e: comments.strip_comments(t, e, kept)[0], DEFAULT_EXTENSIONS)
 
 
 def spacing_rewrites(files: DataFrame) -> DataFrame:
-    return _mapped(files, lambda p, t, e: units.apply_edits(t, units.boundary_edits(t, e)), DEFAULT_EXTENSIONS)
+    return rewritten(files, lambda p, t, e: units.apply_edits(t, units.boundary_edits(t, e)), DEFAULT_EXTENSIONS)
 
 
 def format_rewrites(files: DataFrame, width: int) -> DataFrame:
-    return _mapped(files, lambda p, t, e: formatter.format_text(t, e, width), DEFAULT_EXTENSIONS)
+    return rewritten(files, lambda p, t, e: formatter.format_text(t, e, width), DEFAULT_EXTENSIONS)
 
 
 def string_rewrites(files: DataFrame, width: int) -> DataFrame:
-    return _mapped(files, lambda p, t, e: t if formatter.generated_source(p) else formatter.split_long_strings(t, e, width), extensions("script"))
+    return rewritten(files, lambda p, t, e: t if formatter.generated_source(p) else formatter.split_long_strings(t, e, width), extensions("script"))
 
 
 def specifier_rewrites(files: DataFrame, edits: DataFrame) -> DataFrame:
@@ -162,7 +153,7 @@ def fix(spark: SparkSession, root: str, config: dict, aliases: DataFrame | None
             n = write(specifier_rewrites(mine, edits))
             if options["remove_dead_imports"]:
                 fresh = r.without_excluded(read()[0], options["exclude_dirs"])
-                n["rewritten"] += write(_mapped(fresh, lambda p, t, e: without_dead_names(t, e), extensions("script")))["rewritten"]
+                n["rewritten"] += write(rewritten(fresh, lambda p, t, e: without_dead_names(t, e), extensions("script")))["rewritten"]
             done[rule] = n
         elif rule == "remove-comments":
             done[rule] = write(comment_rewrites(mine, options["exclude"]))
