@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+import math
 import os
 import random
+import sys
+import time
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -28,8 +32,53 @@ class Result:
     counters: dict = field(default_factory=dict)
 
 
+def format_duration(milliseconds: float) -> str:
+    """Seconds from a second on, whole milliseconds from 100, tenths below."""
+    if milliseconds >= 1000:
+        return f"{milliseconds / 1000:.{1 if milliseconds >= 10_000 else 2}f}s"
+    return f"{math.floor(milliseconds + 0.5)}ms" if milliseconds >= 100 else f"{milliseconds:.1f}ms"
+
+
+def format_bytes(n: int) -> str:
+    for unit, size in (("MiB", 1 << 20), ("KiB", 1 << 10)):
+        if n >= size:
+            return f"{n / size:.1f}{unit}"
+    return f"{n}B"
+
+
+LEVELS = ("debug", "info", "warn", "error")
+
+
+class EventLog:
+    """An on_event that passes events on from a level up, and counts them by level.
+
+    The adapter is "console", a logger of the logging module, or a function of
+    (level, message, facts); without one events are only counted.
+    """
+
+    _LEVEL = {"scan": "debug", "rule": "info", "checked": "info", "fixed": "info", "blocked": "error"}
+
+    def __init__(self, adapter: str | logging.Logger | Callable[[str, str, dict], None] | None = None, level: str = "info"):
+        self.adapter, self.least, self.counts = adapter, LEVELS.index(level), dict.fromkeys(LEVELS, 0)
+
+    def __call__(self, kind: str, facts: dict) -> None:
+        level = self._LEVEL.get(kind, "info")
+        if kind == "rule" and facts.get("blocking"):
+            level = "warn"
+        self.counts[level] += 1
+        if LEVELS.index(level) < self.least or self.adapter is None:
+            return
+        message = f"{kind} " + " ".join(f"{k}={format_duration(v) if k == 'elapsed_ms' else v}" for k, v in facts.items())
+        if self.adapter == "console":
+            print(f"[{level}] {message}", file=sys.stderr)
+        elif isinstance(self.adapter, logging.Logger):
+            getattr(self.adapter, "warning" if level == "warn" else level)(message)
+        else:
+            self.adapter(level, message, facts)
+
+
 class Runner:
-    """Runs with hooks: before_run, before_mode, after_mode, after_run, and on_event for progress."""
+    """Runs with hooks: before_run, before_mode, after_mode, after_run, and on_event for progress (see EventLog)."""
 
     def __init__(self, spark: SparkSession, root: str, config: dict, *, presets: dict | None = None, on_event: Callable[[str, dict], None] | None = None):
         if not os.path.isdir(root):
@@ -55,6 +104,7 @@ class Runner:
         config = cfg.normalize(self.raw, only=only)
         self._hook("before_mode", state)
         self.on_event("scan", {"root": self.root})
+        began = time.monotonic()
         files, dirs = self._read(config)
         shared = plans.lexed(files, config["selected"]).cache()
         try:
@@ -64,7 +114,12 @@ class Runner:
             shared.unpersist()
         blocking = [v for v in rows if v["severity"] != "warning"]
         result = Result(not blocking, len(rows), rows, sorted({v["rule"] for v in rows}))
-        self.on_event("checked", {"violations": len(rows)})
+        for rule in result.rules:
+            own = [v for v in rows if v["rule"] == rule]
+            self.on_event("rule", {"rule": rule, "violations": len(own), "blocking": sum(v["severity"] != "warning" for v in own)})
+        self.on_event("checked", {"violations": len(rows), "elapsed_ms": 1000 * (time.monotonic() - began)})
+        if blocking:
+            self.on_event("blocked", {"violations": len(blocking)})
         self._hook("after_mode", state)
         self._hook("after_run", state)
         return result
@@ -77,7 +132,9 @@ class Runner:
         files, _ = self._read(config)
         aliases = self._aliases(config, files)
         aliases = None if aliases is None else self.spark.createDataFrame(aliases.collect(), "id string, path string")
+        began = time.monotonic()
         counters = fixes.fix(self.spark, self.root, config, aliases)
+        self.on_event("fixed", {**counters, "elapsed_ms": 1000 * (time.monotonic() - began)})
         left = Runner(self.spark, self.root, self.raw).check_selected(config["selected"])
         self._hook("after_mode", state)
         self._hook("after_run", state)
@@ -142,7 +199,7 @@ def manifest_drift(root: str, aliases: dict[str, str], tsconfig: str = "tsconfig
     return out
 
 
-def imports(spark: SparkSession, root: str, *, fix: bool = False, strategy: str | Callable = "relative-path-slug", prefix: str = "#", output: str = "tsconfig", allow_relative: list[str] | None = None, seed: int | None = None) -> Result:
+def imports(spark: SparkSession, root: str, *, fix: bool = False, strategy: str | Callable = "relative-path-slug", prefix: str = "#", output: str = "tsconfig", allow_relative: list[str] | Callable[[str, dict], bool] | None = None, seed: int | None = None) -> Result:
     """Bring aliases, manifests and imports of a tree in line, or say what is not.
 
     output: ``tsconfig`` writes the aliases as paths, ``folder`` as files of a
@@ -180,7 +237,7 @@ def imports(spark: SparkSession, root: str, *, fix: bool = False, strategy: str
     package = manifests.read_manifest(os.path.join(root, "package.json"))
     if package is not None:
         n["manifests"] += manifests.write_manifest(os.path.join(root, "package.json"), manifests.with_managed_imports(package, aliases, prefix))
-    edits = fixes.alias_edits(files, table, ["./"] if allow_relative is None else allow_relative).unionByName(fixes.removal_edits(files))
+    edits = fixes.alias_edits(files, table, allow_relative).unionByName(fixes.removal_edits(files))
     from .sources.sinks import commit
 
     n |= commit(root, {row["path"]: row["new_text"] for row in fixes.specifier_rewrites(files, edits).collect()})

@@ -6,13 +6,12 @@ paths, and the first that is a file of the inventory wins.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import paths
-from ..lex.imports import resolution_candidates
 from ..lex.languages import DEFAULT_EXTENSIONS, IMPORT_EXTENSIONS, extensions
 from ..schema import violations
 from .extract import exploded, with_features
@@ -26,15 +25,42 @@ def specifiers(files: DataFrame) -> DataFrame:
 
 def candidates(found: DataFrame, source_extensions: list[str] | None = None) -> DataFrame:
     """Relative specifiers with one row per candidate path and its rank; none if they leave the root."""
-    exts = list(source_extensions or DEFAULT_EXTENSIONS)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def expand(folder: pd.Series, spec: pd.Series, ext: pd.Series) -> pd.Series:
-        return pd.Series([resolution_candidates(a, b, c, exts) for a, b, c in zip(folder, spec, ext, strict=True)])
-
+    exts = F.array(*map(F.lit, source_extensions or DEFAULT_EXTENSIONS))
     relative = found.filter(F.startswith("specifier", F.lit("./")) | F.startswith("specifier", F.lit("../")))
-    listed = relative.withColumn("_c", expand(paths.dirname(F.col("path")), "specifier", "ext"))
-    return listed.select(*found.columns, F.posexplode_outer("_c").alias("rank", "candidate"))
+    segments = F.filter(F.split(F.concat(paths.dirname(F.col("path")), F.lit("/"), F.col("specifier")), "/"), lambda s: ~s.isin("", "."))
+    root = F.array().cast("array<string>")
+
+    def step(walked, s):
+        """Null once a step has left the root."""
+        up = F.when(F.size(walked) > 0, F.slice(walked, 1, F.size(walked) - 1))
+        return F.when(s == "..", up).otherwise(F.concat(walked, F.array(s)))
+
+    rows = relative.withColumn("_at", F.aggregate(segments, root, step)).withColumn("_base", F.array_join("_at", "/"))
+    base, below = F.col("_base"), F.when(F.col("_base") == "", "").otherwise(F.concat("_base", F.lit("/")))
+    above = F.array_join(F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))), "/")
+    partial = F.concat(F.when(above == "", "").otherwise(F.concat(above, F.lit("/"))), F.lit("_"), F.coalesce(F.try_element_at("_at", F.lit(-1)), F.lit("")), F.lit(".scss"))
+    styles = F.array(F.concat(base, F.lit(".scss")), partial, F.concat(below, F.lit("index.scss")), F.concat(below, F.lit("_index.scss")))
+    stem = F.regexp_replace(base, r"(?i)\.(?:js|jsx|mjs|cjs)$", "")
+    scripts = F.concat(
+        F.array(base), F.when(stem != base, F.transform(exts, lambda e: F.concat(stem, e))).otherwise(root),
+        F.transform(exts, lambda e: F.concat(base, e)), F.transform(exts, lambda e: F.concat(below, F.lit("index"), e)),
+    )
+    listed = F.when(F.col("_at").isNotNull(), F.when(F.col("ext").isin(extensions("scss")), styles).otherwise(scripts))
+    return rows.withColumn("_c", listed).select(*found.columns, F.posexplode_outer("_c").alias("rank", "candidate"))
+
+
+def may_stay_relative(allowed: list[str] | Callable[[str, dict], bool] | None) -> Column:
+    """Whether a resolved specifier may stay relative: by prefixes, or by a function of the specifier and its context.
+
+    The context names source_file and resolved_file; the function sees batches of rows in the workers.
+    """
+    if callable(allowed):
+        decide = F.udf(lambda specifier, source, target: bool(allowed(specifier, {"source_file": source, "resolved_file": target})), "boolean", useArrow=True)
+        return decide("specifier", "path", "resolved")
+    out = F.lit(False)
+    for prefix in ["./"] if allowed is None else allowed:
+        out = out | F.startswith("specifier", F.lit(prefix))
+    return out
 
 
 def resolve(ranked: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -53,12 +79,12 @@ def import_edges(files: DataFrame, source_extensions: list[str] | None = None) -
     return resolve(candidates(specifiers(files), source_extensions), files).filter("resolved IS NOT NULL").select("path", F.col("resolved").alias("target"), "specifier", "start", "end")
 
 
-def imports(files: DataFrame, aliases: DataFrame | None = None, *, allow_relative: list[str] | None = None, remove_dead: bool = False, source_extensions=None, exclude_dirs=None) -> DataFrame:
+def imports(files: DataFrame, aliases: DataFrame | None = None, *, allow_relative: list[str] | Callable[[str, dict], bool] | None = None, remove_dead: bool = False, source_extensions=None, exclude_dirs=None) -> DataFrame:
     """Unresolved imports, relative imports that have an alias, and names never used.
 
-    aliases: (id, path).  allow_relative: prefixes that may stay relative.
+    aliases: (id, path).  allow_relative: prefixes that may stay relative, or a
+    function of a specifier and its context.
     """
-    allowed = ["./"] if allow_relative is None else list(allow_relative)
     mine = without_excluded(files, exclude_dirs)
     found = resolve(candidates(specifiers(mine), source_extensions), files)
     lost = found.filter(F.col("resolved").isNull())
@@ -66,10 +92,7 @@ def imports(files: DataFrame, aliases: DataFrame | None = None, *, allow_relativ
     removable = violations(lost.filter(F.col("removal_start").isNotNull()), "imports", message, {"specifier": F.col("specifier")}, fix=True)
     out = violations(lost.filter(F.col("removal_start").isNull()), "imports", message, {"specifier": F.col("specifier")}).unionByName(removable)
     if aliases is not None:
-        may_stay = F.lit(False)
-        for prefix in allowed:
-            may_stay = may_stay | F.startswith("specifier", F.lit(prefix))
-        named = found.filter(F.col("resolved").isNotNull() & ~may_stay).join(aliases.select("id", F.col("path").alias("resolved")), "resolved")
+        named = found.filter(F.col("resolved").isNotNull()).filter(~may_stay_relative(allow_relative)).join(aliases.select("id", F.col("path").alias("resolved")), "resolved")
         message = F.concat(F.lit("relative import "), "specifier", F.lit(" should be rewritten to "), "id")
         out = out.unionByName(violations(named, "imports", message, {"specifier": F.col("specifier"), "aliasId": F.col("id"), "resolvedFile": F.col("resolved")}, fix=True))
     if remove_dead:

@@ -78,12 +78,10 @@ def move_rewrites(files: DataFrame, moves: DataFrame) -> DataFrame:
     return touched.select("path", "start", "end", name(F.coalesce("new_source", "path"), F.coalesce("new_target", "target"), F.col("specifier")).alias("replacement"))
 
 
-def alias_edits(files: DataFrame, aliases: DataFrame, allow_relative: list[str]) -> DataFrame:
-    edges = import_rules.import_edges(files)
-    stays = F.lit(False)
-    for p in allow_relative:
-        stays = stays | F.startswith("specifier", F.lit(p))
-    return edges.filter(~stays).join(aliases.select("id", F.col("path").alias("target")), "target").select("path", "start", "end", F.col("id").alias("replacement"))
+def alias_edits(files: DataFrame, aliases: DataFrame, allow_relative) -> DataFrame:
+    """Relative imports whose target has an alias; allow_relative as in imports()."""
+    edges = import_rules.import_edges(files).withColumnRenamed("target", "resolved").filter(~import_rules.may_stay_relative(allow_relative))
+    return edges.join(aliases.select("id", F.col("path").alias("resolved")), "resolved").select("path", "start", "end", F.col("id").alias("replacement"))
 
 
 def removal_edits(files: DataFrame) -> DataFrame:

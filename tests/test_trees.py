@@ -230,3 +230,41 @@ def test_folded_strings_are_searched(spark):
     assert rules.banned_patterns(f, [{"value": "forbidden"}]).count() == 0
     d = json.loads(rules.banned_patterns(f, [{"value": "forbidden"}], fold=True).first().details)
     assert d["foldedOccurrences"] == 1 and d["foldedMatches"] == ["forbidden"]
+
+
+def test_duration_and_bytes_read_well():
+    assert [engine.format_duration(x) for x in (0, 5.26, 99.94, 100, 150.5, 999.4, 1000, 9990, 12345)] == ["0.0ms", "5.3ms", "99.9ms", "100ms", "151ms", "999ms", "1.00s", "9.99s", "12.3s"]
+    assert [engine.format_bytes(x) for x in (0, 1023, 1024, 1536, 1 << 20, 5 << 19)] == ["0B", "1023B", "1.0KiB", "1.5KiB", "1.0MiB", "2.5MiB"]
+
+
+def test_events_pass_by_level(spark, tmp_path, capsys):
+    root = make(tmp_path, **{"a.ts": "// one\nx();\n"})
+    seen = []
+    log = engine.EventLog(lambda level, message, facts: seen.append((level, message.split()[0])), "info")
+    engine.Runner(spark, root, {"rules": {"remove-comments": {}}}, on_event=log).check()
+    assert seen == [("warn", "rule"), ("info", "checked"), ("error", "blocked")]
+    assert log.counts == {"debug": 1, "info": 1, "warn": 1, "error": 1}
+    loud = engine.EventLog("console", "debug")
+    loud("scan", {"root": "r"})
+    assert capsys.readouterr().err == "[debug] scan root=r\n"
+
+
+def test_relative_imports_allowed_by_a_function(spark, tmp_path):
+    root = make(tmp_path, **{"src/a.ts": "import { b } from './b';\nimport { c } from '../lib/c';\nb(c);\n", "src/b.ts": "export const b = 1;\n", "lib/c.ts": "export const c = 1;\n"})
+    folder = lambda p: p.rpartition("/")[0]
+    within = lambda specifier, context: folder(context["source_file"]) == folder(context["resolved_file"])
+    result = engine.imports(spark, root, strategy="relative-path-slug", allow_relative=within)
+    assert [v["message"] for v in result.violations if v["message"].startswith("relative")] == ["relative import ../lib/c should be rewritten to #lib-c"]
+
+
+def test_candidates_are_worked_out_in_the_engine(spark):
+    from fathomline.lex.imports import resolution_candidates
+    from fathomline.operators.imports import candidates
+
+    cases = [("src/a/m.ts", "../b.js"), ("m.ts", "./x"), ("m.ts", "../x"), ("a/m.ts", ".././../x"), ("a/b/m.scss", "./x"), ("a/m.scss", "../y/z"), ("a/m.tsx", "./"), ("a/m.ts", "../"), ("a/m.ts", "./q.JSX"), ("m.scss", "./")]
+    rows = [(p, "." + p.rsplit(".", 1)[1], i, s, 0, 0, None, None) for i, (p, s) in enumerate(cases)]
+    found = spark.createDataFrame(rows, "path string, ext string, ordinal int, specifier string, start int, end int, removal_start int, removal_end int")
+    got = {}
+    for r in sorted(candidates(found, [".ts", ".tsx"]).collect(), key=lambda r: r["rank"] or 0):
+        got.setdefault(r["ordinal"], []).extend([r["candidate"]] if r["candidate"] is not None else [])
+    assert got == {i: resolution_candidates(p.rpartition("/")[0], s, e, [".ts", ".tsx"]) for i, (p, e, *_) in enumerate(rows) for s in [rows[i][3]]}
