@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, slices, starts_of, word_hashes
+from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, numbered, slices, starts_of, tidy, word_hashes
 
 _U = np.uint64
 SHINGLE = 5
@@ -25,6 +26,8 @@ SHINGLE = 5
 MOST_BROADCAST = 300_000
 #: Nodes of a band in one task, and leaders that they all meet in one round, about.
 CHUNK = 256
+#: Bytes of text of a slice, whose shingles travel together.
+SLICE = 4 << 20
 
 # fixed odd multipliers, one for every place in a shingle
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
@@ -49,40 +52,29 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """TF-IDF weights, from the exact document frequencies of common shingles.
+    """TF-IDF weights from the document frequencies of all shingles.
 
-    A shingle that is not in the table counts as found in one document.  The
-    inverse frequency is scaled to go from 1 to 1 + SPAN: with more, the many
-    copies of a document would make its own shingles worth little, and copies
-    with a few changes unlike.
+    Frequencies come as levels, one byte a shingle: level q stands for
+    2^(q / 2) documents.  The inverse frequency is scaled to go from 1 to
+    1 + SPAN: with more, the many copies of a document would make its own
+    shingles worth little, and copies with a few changes unlike.
     """
 
     SPAN = 0.25
 
-    def __init__(self, keys: np.ndarray, df: np.ndarray, documents: int):
-        self.keys, self.df, self.documents = keys, df, documents
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(keys >> _U(42)).astype(np.int64)] = True
+    def __init__(self, documents: int):
+        idf = np.log((documents + 1) / (np.exp2(np.arange(256) / 2) + 1)) / np.log(documents + 2)
+        self.factor = 1 + self.SPAN * np.clip(idf, 0, 1)
 
-    def __getstate__(self):
-        return self.keys, self.df, self.documents
+    @staticmethod
+    def level(df: np.ndarray) -> np.ndarray:
+        """The level of every document frequency, the nearest on the scale."""
+        return np.round(2 * np.log2(df)).astype(np.uint8)
 
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def _idf(self, distinct: np.ndarray) -> np.ndarray:
-        df = np.ones(len(distinct))
-        at = np.flatnonzero(self.maybe[(distinct >> _U(42)).view(np.int64)])
-        if len(at):
-            place = np.minimum(np.searchsorted(self.keys, distinct[at]), len(self.keys) - 1)
-            found = self.keys[place] == distinct[at]
-            df[at[found]] = self.df[place[found]]
-        return np.log((self.documents + 1) / (df + 1))
-
-    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of one text, in order, and their weights."""
+    def of(self, hashes: np.ndarray, levels: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of one text, in order, and their weights; levels has one byte for each."""
         distinct, tf = np.unique(hashes, return_counts=True)
-        return distinct, tf * (1 + self.SPAN * self._idf(distinct) / np.log(self.documents + 2))
+        return distinct, tf * self.factor[np.frombuffer(levels, np.uint8)]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -142,57 +134,72 @@ class Sampler:
         return out.view(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text_col: str, most: int) -> Weights:
-    """Weights from all documents; at most ``most`` shingles keep their frequency.
+def _thin(keys: np.ndarray) -> bytes:
+    """The low 48 bits of every hash; the bucket names at least 5 of the 16 others."""
+    return keys.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(data, "<u2").reshape(-1, 3)
+    return out.view("<u8").ravel()
+
+
+def _distinct(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Distinct shingles of a slice; then, text by text and in order, the shingles of every text: how many, which, how often."""
+    n, h = shingles(texts)
+    keys, code = np.unique(h, return_inverse=True)
+    owner = np.repeat(np.arange(len(n), dtype=np.int64), n)
+    pair, tf = np.unique(owner * max(len(keys), 1) + code, return_counts=True)
+    owner, code = np.divmod(pair, max(len(keys), 1))
+    return keys, np.bincount(owner, minlength=len(n)), code, tf
+
 
-    These are the shingles found in at least d documents, d being the least
-    number (2 or more) that so few reach.  Sorted hashes travel in chunks by
-    their first bits and are merged per chunk, so no shingle is hot.
+def frequency_levels(source: DataFrame, buckets: int) -> DataFrame:
+    """(batch, bucket, levels): of every slice of source (row, .., text) the levels of its distinct shingles, in order.
+
+    Hashes travel by slices and their first bits to a bucket, each once a slice
+    with the number of its documents, so no shingle is hot; levels travel back.
     """
-    buckets = 1 << max(5, min(20, (input_bytes(docs) >> 21).bit_length()))
     shift = _U(64 - (buckets - 1).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
-                n, h = shingles(b.column(0))
-                owner = np.repeat(np.arange(len(n)), n)
-                order = np.argsort(h, kind="stable")
-                h, owner = h[order], owner[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                h = h[once]
-                cuts = np.searchsorted(h >> shift, np.arange(buckets + 1).astype(_U))
-                rows = [(k, h[x:y].astype("<u8").tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([_thin(r[1]) for r in rows], pa.binary())], names=["bucket", "hashes"])
+            for b in slices(whole, "text", SLICE):
+                keys, _, code, _ = _distinct(b.column(b.schema.get_field_index("text")))
+                df = np.bincount(code, minlength=len(keys))
+                cuts = np.searchsorted(keys >> shift, np.arange(buckets + 1).astype(_U))
+                rows = [(k, x, y) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+                small = np.minimum(df, 255).astype(np.uint8)
+                many = [df[x:y][small[x:y] == 255].astype("<i8").tobytes() for _, x, y in rows]
+                columns = [[b.column(0)[0].as_py()] * len(rows), [r[0] for r in rows], [_thin(keys[x:y]) for _, x, y in rows], [small[x:y].tobytes() for _, x, y in rows], many]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["batch", "bucket", "keys", "df", "many"])
 
     def merge(group: pa.Table) -> pa.Table:
-        top = _U(group["bucket"][0].as_py()) << shift
-        h = np.sort(np.concatenate([_wide(x.as_py()) for x in group["hashes"]]))
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        df = np.diff(np.append(first, len(h)))
-        many = df > 1
-        keys = h[first][many] | (top & ~_U(0xFFFFFFFFFFFF))
-        return pa.table({"key": pa.array(keys.view(np.int64)), "n": pa.array(df[many].astype(np.int64))})
-
-    chunks = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "bucket int, hashes binary")
-    from .terms import head
+        counts = [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group["df"]]
+        for n, more in zip(counts, group["many"], strict=True):
+            n[n == 255] = np.frombuffer(more.as_py(), "<i8")
+        keys, place = np.unique(np.concatenate([_wide(x.as_py()) for x in group["keys"]]), return_inverse=True)
+        level = Weights.level(np.bincount(place, np.concatenate(counts)))[place]
+        parts = np.split(level, np.cumsum([len(n) for n in counts])[:-1])
+        return pa.table([group["batch"], group["bucket"], pa.array([x.tobytes() for x in parts], pa.binary())], names=["batch", "bucket", "levels"])
 
-    common = head(materialize(chunks.groupBy("bucket").applyInArrow(merge, "key long, n long"), "common"), most)
-    keys = common["key"].to_numpy().view(_U) if len(common) else np.zeros(0, _U)
-    order = np.argsort(keys)
-    return Weights(keys[order], common["n"].to_numpy()[order].astype(float) if len(common) else np.zeros(0), docs.count())
+    chunks = source.mapInArrow(count, "batch long, bucket int, keys binary, df binary, many binary")
+    return chunks.groupBy("bucket").applyInArrow(merge, "batch long, bucket int, levels binary")
 
 
-def _thin(hashes: bytes) -> bytes:
-    """The low 48 bits of every hash; the bucket names at least 5 of the 16 others."""
-    return np.frombuffer(hashes, "<u2").reshape(-1, 4)[:, :3].tobytes()
+def packed_slices(source: DataFrame) -> DataFrame:
+    """(batch, docs): the slices themselves, compressed."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", SLICE):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(b)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([sink.getvalue().to_pybytes()])], names=["batch", "docs"])
 
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 4), "<u2")
-    out[:, :3] = np.frombuffer(data, "<u2").reshape(-1, 3)
-    return out.view("<u8").ravel()
+    return source.mapInArrow(pack, "batch long, docs binary")
 
 
 def _small_side(df: DataFrame) -> DataFrame:
@@ -227,8 +234,7 @@ def relabel(labels: DataFrame, hook: DataFrame) -> DataFrame:
     return labels.join(hook.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 14, rows: int = 4,
-            common_shingles: int = 1 << 18) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, bands: int = 14, rows: int = 4) -> DataFrame:
     """The class of every document: one row per row of docs.
 
     Returns doc_id, node (md5 of the text), class_id (the least doc_id of the
@@ -244,19 +250,25 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("node"))
-    weights = spark.sparkContext.broadcast(document_frequencies(source, "text", common_shingles))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, w = Sampler(bands, rows), weights.value
-        for whole in batches:
-            for b in slices(whole, "text"):
-                n, h = shingles(b.column(1))
-                at = starts_of(n)
-                keys = [sampler.band_keys(*w.of(h[x:y])).tolist() if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+    # read several times; rows and slices are the same each time
+    source = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), "row").select("row", "doc_id", "text")
+    weights = Weights(docs.count())
+    buckets = 1 << max(5, min(20, (input_bytes(docs) >> 21).bit_length()))
 
-    signed = materialize(source.mapInArrow(sign, "doc_id long, node binary, bands array<long>"), "signed")
+    def sign(slice_: pa.Table, answers: pa.Table) -> pa.Table:
+        sampler = Sampler(bands, rows)
+        part = pa.ipc.open_stream(slice_["docs"][0].as_buffer()).read_all().combine_chunks()
+        keys, n, code, tf = _distinct(part["text"].combine_chunks())
+        level = np.frombuffer(b"".join(answers.sort_by("bucket")["levels"].to_pylist()), np.uint8)[code]
+        hashes, weight, at = keys[code], tf * weights.factor[level], starts_of(n)
+        found = [(x, y) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        signed = [sampler.band_keys(hashes[x:y], weight[x:y]).tolist() if y > x else None for x, y in found]
+        node = [md5(t.encode()).digest() for t in part["text"].to_pylist()]
+        return pa.table([part["doc_id"], pa.array(node), pa.array(signed, pa.list_(pa.int64())), pa.array([level[x:y].tobytes() for x, y in found])], names=["doc_id", "node", "bands", "levels"])
+
+    both = packed_slices(source).groupBy("batch").cogroup(frequency_levels(source, buckets).groupBy("batch"))
+    signed = materialize(both.applyInArrow(sign, "doc_id long, node binary, bands array<long>, levels binary"), "signed")
+    tidy(spark)
     # every member once; copies of one text are combined before the shuffle
     members = materialize(signed.groupBy("node", "doc_id").agg(F.count("*").alias("n")), "members")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
@@ -266,21 +278,25 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     involved = placed.select("node").distinct()
     wanted = materialize(involved, "involved")
-    texts = materialize(source.select("node", "text").join(_small_side(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    texts, levels = (
+        rows.join(_small_side(wanted), "node", "left_semi").groupBy("node").agg(F.first(c).alias(c))
+        for rows, c in ((source.select(digest.alias("node"), "text"), "text"), (signed.select("node", "levels"), "levels"))
+    )
+    texts = materialize(texts.join(levels, "node"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w = weights.value
-            seen = lru_cache(512)(lambda t: w.of(shingles(pa.array([t]))[1]))
+            seen = lru_cache(512)(lambda t, levels: weights.of(shingles(pa.array([t]))[1], levels))
             for whole in batches:
                 for b in slices(whole, "text_b"):
-                    keep = [weighted_jaccard(seen(x), seen(y)) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                    keep = [weighted_jaccard(seen(t, p), seen(u, q)) >= similarity for t, u, p, q in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        one, two = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        full = pairs.select("a", "b").distinct().join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
+        one, two = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"), F.col("levels").alias(f"levels_{k}")) for k in "ab")
+        full = pairs.select("a", "b").distinct().join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b", "levels_a", "levels_b")
         return materialize(full.mapInArrow(compare, "a binary, b binary"), "links")
 
     def meet(rows: DataFrame) -> DataFrame:
@@ -290,7 +306,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             nodes, comp, leads = (group[c].to_pylist() for c in ("node", "comp", "leads"))
             n, h = shingles(group["text"].combine_chunks())
             at = starts_of(n)
-            sets = [weights.value.of(h[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            sets = [weights.of(h[x:y], levels.as_py()) for x, y, levels in zip(at[:-1], at[1:], group["levels"], strict=True)]
             owner = np.repeat(np.arange(len(sets)), [len(k) for k, _ in sets])
             keys, w = (np.concatenate(x) for x in zip(*sets, strict=True))
             total = np.array([x.sum() for _, x in sets])

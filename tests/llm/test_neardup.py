@@ -1,4 +1,6 @@
+import collections
 import itertools
+import math
 import random
 
 import numpy as np
@@ -35,34 +37,55 @@ def corpus():
     return rows
 
 
-def brute(rows, weights, similarity=0.8):
-    sets = [weights.of(nd.shingles(pa.array([t or ""]))[1]) for _, t in rows]
-    label = list(range(len(rows)))
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        alike = (rows[i][1] or "") == (rows[j][1] or "") or nd.weighted_jaccard(sets[i], sets[j]) >= similarity
+def brute(rows, similarity=0.8):
+    """Classes by comparing all pairs, with weights of their own working out."""
+    bags = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        bags.append(collections.Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))))
+    df = collections.Counter(s for b in bags for s in b)
+    n = len(rows)
+    near = {s: 2 ** (round(2 * math.log2(k)) / 2) for s, k in df.items()}
+    weigh = [{s: k * (1 + 0.25 * min(max(math.log((n + 1) / (near[s] + 1)) / math.log(n + 2), 0), 1)) for s, k in b.items()} for b in bags]
+    label = list(range(n))
+    for i, j in itertools.combinations(range(n), 2):
+        a, b = weigh[i], weigh[j]
+        low = sum(min(a[s], b[s]) for s in a.keys() & b.keys())
+        whole = sum(a.values()) + sum(b.values()) - low
+        alike = (rows[i][1] or "") == (rows[j][1] or "") or (whole > 0 and low / whole >= similarity)
         if alike and label[i] != label[j]:
             old, new = label[j], label[i]
             label = [new if x == old else x for x in label]
-    return {frozenset(k for k in range(len(rows)) if label[k] == x) for x in set(label)}
+    return {frozenset(k for k in range(n) if label[k] == x) for x in set(label)}
 
 
 def test_classes_equal_all_pairs(docs):
     rows = corpus()
-    weights = nd.document_frequencies(docs(rows).select("text"), "text", 1 << 18)
     got = {}
     for r in nd.classes(docs(rows)).collect():
         got.setdefault(r.class_id, set()).add(r.doc_id)
         assert r.class_size >= 1
-    want = {frozenset(rows[k][0] for k in c) for c in brute(rows, weights)}
+    want = {frozenset(rows[k][0] for k in c) for c in brute(rows)}
     assert {frozenset(c) for c in got.values()} == want
     assert all(k == min(c) for k, c in got.items())
 
 
-def test_document_frequencies_are_exact(docs):
-    rows = [(1, "a b c d e f"), (2, "a b c d e g"), (3, "A b c d E"), (3, "a b c d e a b c d e"), (4, None), (5, "x y")]
-    w = nd.document_frequencies(docs(rows).select("text"), "text", 100)
-    h = nd.shingles(pa.array(["a b c d e"]))[1]
-    assert w.documents == 6 and dict(zip(w.keys.tolist(), w.df.tolist(), strict=True)) == {int(h[0]): 4}
+def test_levels_of_all_document_frequencies(docs, monkeypatch):
+    """Every shingle has its level, however the rows are cut into slices."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e g"), (3, "A b c d E"), (3, "a b c d e a b c d e"), (5, "x y"), (6, "")] + [(10 + i, "q r s t u v") for i in range(300)]
+    h = {t: int(nd.shingles(pa.array([t]))[1][0]) for t in ("a b c d e", "b c d e f", "x y", "q r s t u")}
+    for size in (10, 1 << 20):
+        monkeypatch.setattr(nd, "SLICE", size)
+        source = docs(rows).coalesce(1).selectExpr("monotonically_increasing_id() AS row", "doc_id", "text")
+        found = {}
+        keys = {r["batch"]: nd._distinct(pa.ipc.open_stream(r["docs"]).read_all()["text"].combine_chunks())[0] for r in nd.packed_slices(source).collect()}
+        answers = {}
+        for r in sorted(nd.frequency_levels(source, 32).collect(), key=lambda r: r["bucket"]):
+            answers[r["batch"]] = answers.get(r["batch"], b"") + bytes(r["levels"])
+        for batch, levels in answers.items():
+            assert len(levels) == len(keys[batch])
+            found |= dict(zip(keys[batch].tolist(), levels, strict=True))
+        assert [found[h[t]] for t in h] == [4, 0, 0, round(2 * math.log2(300))]
 
 
 @pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
@@ -110,11 +133,10 @@ def test_large_bands_are_compared_in_rounds(docs, monkeypatch):
     monkeypatch.setattr(nd, "CHUNK", 8)
     monkeypatch.setattr(nd, "MOST_BROADCAST", 0)
     rows = corpus()
-    weights = nd.document_frequencies(docs(rows).select("text"), "text", 1 << 18)
     got = {}
     for r in nd.classes(docs(rows)).collect():
         got.setdefault(r.class_id, set()).add(r.doc_id)
-    assert {frozenset(c) for c in got.values()} == {frozenset(rows[k][0] for k in c) for c in brute(rows, weights)}
+    assert {frozenset(c) for c in got.values()} == {frozenset(rows[k][0] for k in c) for c in brute(rows)}
 
 
 def test_survivors_are_the_same_with_and_without_broadcast(docs, monkeypatch):
