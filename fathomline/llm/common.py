@@ -105,16 +105,6 @@ def crc_mod(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
-def row_hash(key: Column, seed: int) -> Column:
-    """A uniform 64-bit hash of a key.
-
-    Rows without a key are told apart by their place in the input, so that any
-    number of them spreads over all groups.
-    """
-    place = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
-    return F.xxhash64(F.coalesce(key.cast("string"), place), F.lit(seed))
-
-
 def as_text(array: pa.Array) -> pa.Array:
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()

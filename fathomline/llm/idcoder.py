@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import input_bytes, slices, starts_of
+from .common import input_bytes, numbered, slices, starts_of
 from .tokens import WordEncoder
 
 MAGIC = b"FTID"
@@ -288,16 +288,12 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     block, n_docs, n_ids, doc_ids and ``data`` (see write_block).  Parts are
     ranges of the id; a block takes whole documents up to about block_ids ids.
     Null or empty texts are the end id alone; rows of equal id follow each
-    other in a fixed order; null ids come first; further columns are ignored.
-    An empty table writes an empty folder.
+    other in a fixed order; null ids come first; a very long text is a block of
+    its own; further columns are ignored.  An empty table writes an empty folder.
     """
     # ties are dealt by content and place, so that no key is too large for a part
-    keyed = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("tie"),
-        F.monotonically_increasing_id().alias("place"),
-    )
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "place")
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), "place")
     parts = max(1, min(1 << 20, -(-input_bytes(docs) // part_bytes)))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("place")]
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import free_names, input_bytes
 
-#: Sources sent to every worker, at most; more are joined by shuffle.
-MOST_BROADCAST = 100_000
+#: Numbers in the distribution functions sent to every worker, at most (8 bytes each); more are joined by shuffle.
+MOST_BROADCAST = 1 << 20
 
 
 def uniform(*key: Column) -> Column:
@@ -61,10 +61,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     docs = docs.drop(*({"copy_no", "shuffle_key"} & set(docs.columns)))
     spread = rates(docs, source_col, weights, temperature, epochs)
-    n_sources = spread.count()
+    held = spread.agg(F.sum(F.size("cdf") + 8)).first()[0] or 0
     by, cdf, draw, copies = free_names(docs, "_source", "_cdf", "_draw", "_copies")
     spread = spread.select(F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias(by), F.col("cdf").alias(cdf))
-    side = F.broadcast(spread) if n_sources <= MOST_BROADCAST else spread
+    side = F.broadcast(spread) if held <= MOST_BROADCAST else spread
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     drawn = docs.withColumn(by, F.coalesce(F.col(source_col).cast("string"), F.lit("\x00"))).join(side, by)
     times = F.size(F.filter(F.col(cdf), lambda c: c <= F.col(draw)))

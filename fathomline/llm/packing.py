@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, slices, starts_of
+from .common import numbered, slices, starts_of
 from .tokens import WordEncoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -122,20 +122,20 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     ids_crc32 of the piece (unsigned, over little-endian unsigned 32-bit ids),
     doc_tokens, sequence_id and offset in the sequence; with_ids adds ``ids``,
     the piece itself as such bytes.  Groups of about group_docs documents are
-    drawn by a seeded hash and packed independently, so memory is bounded by a
-    group and a lost task repacks one group only.  Only ids travel between
-    executors, once.
-
-    A null or empty text is the end id alone.  Rows that repeat are packed as
-    often as they occur; rows without id are spread like others.  An empty
-    table gives no rows.  Further columns are ignored.
+    drawn by a seeded hash of the row's place and packed independently, so
+    memory is bounded by a group and a lost task repacks one group only.  Only
+    ids travel between executors, once.
+
+    A null or empty text is the end id alone.  Rows that repeat, or that have
+    an id in common or none, are spread like others and packed as often as they
+    occur; within a group documents go by id, then by place.  A very long text
+    fills windows of its own.  An empty table gives no rows.  Further columns
+    are ignored.
     """
     groups = max(1, -(-docs.count() // group_docs))
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
-        F.pmod(row_hash(F.col(id_col), seed), F.lit(groups)).cast("long").alias("part"),
-    )
+    rows_in = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "row")
+    part = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)).cast("long")
+    source = rows_in.select("doc_id", "text", part.alias("part"), "row")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(vocabulary)
@@ -147,10 +147,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
                 at = starts_of((n + 1) * kind.itemsize)
                 data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(ids)])
                 width = pa.array(np.full(len(n), kind.itemsize, np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), width, data.cast(pa.binary())], ["doc_id", "part", "width", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), width, data.cast(pa.binary())], ["doc_id", "part", "row", "width", "ids"])
 
     def place(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending")])
+        group = group.sort_by([("doc_id", "ascending"), ("row", "ascending")])
         part, width = group["part"][0].as_py(), group["width"][0].as_py()
         doc_ids = group["doc_id"].to_pylist()
         ids = [np.frombuffer(x.as_buffer(), f"<u{width}") for x in group["ids"]]
@@ -166,5 +166,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
         columns = list(zip(*rows, strict=True))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    coded = source.mapInArrow(encode, "doc_id long, part long, width int, ids binary")
+    coded = source.mapInArrow(encode, "doc_id long, part long, row long, width int, ids binary")
     return coded.groupBy("part").applyInArrow(place, PIECES + ", ids binary" * with_ids)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, materialize, slices, sum_by_row
+from .common import as_text, materialize, numbered, slices, sum_by_row
 from .terms import HEAD_TERMS, head, head_lookup, join_tail, tail_rows, term_counts
 from .tokens import vocabulary
 
@@ -91,7 +91,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     none = pa.nulls(len(row), pa.int64())
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), none, term, pa.array(freq), pa.array(np.zeros(len(row), np.int64)), none], names=_NAMES)
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "row").select("row", "doc_id", "text")
     rows = source.mapInArrow(look, "row long, doc_id long, term string, freq long, near long, n_bytes long")
     summed = join_tail(
         rows,
