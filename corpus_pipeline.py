@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.  All but the last return
-the columns of documents.  SQL cannot express the stages; tests compare them
-with brute force on small tables.
+the columns of documents, further ones included.  SQL cannot express the
+stages; tests compare them with brute force on small tables.  An empty table
+stays empty in every stage, and texts of any length are worked on whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from fathomline.llm import common, langid, mixing, neardup, packing, substrings
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay.
 
-    Null texts and texts without a letter go.  An empty table stays empty.
+    Null texts and texts without a letter go; rows that repeat are told alike.
     """
     return langid.keep_identified(docs)
 
@@ -32,17 +33,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out of the later ones."""
+    """Passages that an earlier document holds are cut out of the later ones.
+
+    Null and empty texts stay as they are; a text that was all repeats stays as
+    an empty one.  Of repeated rows the first keeps its text.
+    """
     return substrings.remove_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated so that sources near their target weights, and shuffled."""
+    """Documents are repeated so that sources near their target weights, and shuffled.
+
+    A null source is a source.  Rows of equal id share their number of copies;
+    rows without id draw by their text.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence of at most 2048 tokens."""
+    """One row per piece of a document in a sequence of at most 2048 tokens.
+
+    Null and empty texts are the end id alone; rows that repeat are packed as
+    often as they occur.
+    """
     return packing.pack(docs)
 
 
