@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from .comments import mask_literals, spans
 from .languages import language
 
 _QUOTED = r"\s*(?P<q>[\"'])(?P<s>(?:[^\"'\\]|\\.|(?!(?P=q))[\"'])*?)(?P=q)"
@@ -38,6 +39,51 @@ def module_specifiers(text: str, ext: str) -> list[dict]:
     return out
 
 
+#: Over a text whose literals and comments are blanks: a statement's first word, and what may stand between it and a specifier.
+_KEYWORD = re.compile(r"(?<![\w$.])(?:import|export)(?![\w$])")
+_CLAUSE = {
+    "import": re.compile(r"(?:(?!\b(?:import|export)\b)[\s\w$,{}*])+?(?<=[\s}*])from(?![\w$])"),
+    "export": re.compile(r"\s*(?:type\b\s*)?(?:\*(?:\s*as\s+[\w$]+)?|\{[\s\w$,]*\})\s*from(?![\w$])"),
+}
+_CALL_OPENS = re.compile(r"\s*\(")
+_STATEMENT_END = re.compile(r"[ \t]*;?[ \t]*")
+
+
+def statement_specifiers(text: str, ext: str) -> list[dict]:
+    """Specifiers of whole statements: several on a line, over several lines, calls and types of ``import("...")`` too.
+
+    A bare import that has its lines to itself has their range as well.  Style
+    texts are read line by line.
+    """
+    if language(ext) != "script":
+        return module_specifiers(text, ext)
+    literals = {s.start: s.end for s in spans(text, ext, strict=True) if s.kind == "string"}
+    masked, out = mask_literals(text, ext), []
+
+    def literal(at: int, quotes: str) -> tuple[int, int] | None:
+        """The whole literal that begins here, after blanks and comments."""
+        while at < len(masked) and masked[at].isspace() and at not in literals:
+            at += 1
+        end = literals.get(at, -1)
+        return (at, end) if end - at > 1 and text[at] in quotes and text[end - 1] == text[at] and "${" not in text[at:end] else None
+
+    for m in _KEYWORD.finditer(masked):
+        first = last = None
+        if m.group() == "import" and (found := literal(m.end(), "\"'")):
+            stop, left = _STATEMENT_END.match(text, found[1]).end(), text.rfind("\n", 0, m.start()) + 1
+            if not text[left : m.start()].strip() and (stop == len(text) or text[stop] in "\r\n"):
+                line = text.find("\n", stop)
+                first, last = left, len(text) if line < 0 else line + 1
+        elif m.group() == "import" and (call := _CALL_OPENS.match(masked, m.end())):
+            found = literal(call.end(), "\"'`")
+        else:
+            clause = _CLAUSE[m.group()].match(masked, m.end())
+            found = literal(clause.end(), "\"'") if clause else None
+        if found:
+            out.append({"specifier": text[found[0] + 1 : found[1] - 1], "start": found[0] + 1, "end": found[1] - 1, "removal_start": first, "removal_end": last})
+    return out
+
+
 def imported_names(text: str) -> list[str]:
     """Local names bound by import statements, those over several lines included."""
     out, pending = [], ""

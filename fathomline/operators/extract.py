@@ -31,6 +31,7 @@ FEATURES = {
     "function_spans": (_structs(kind=_STR, name=_STR, start_line=_INT, end_line=_INT, line_count=_INT, code_line_count=_INT), schema.FUNCTION_SPANS, functions.function_spans),
     "declarations": (_structs(kind=_STR, name=_STR, line=_INT), schema.DECLARATIONS, declarations.declarations),
     "module_specifiers": (_structs(specifier=_STR, start=_INT, end=_INT, removal_start=_INT, removal_end=_INT), schema.SPECIFIERS, imports.module_specifiers),
+    "statement_specifiers": (_structs(specifier=_STR, start=_INT, end=_INT, removal_start=_INT, removal_end=_INT), schema.SPECIFIERS, imports.statement_specifiers),
     "folded_strings": (pa.list_(_STR), "array<string>", fold.folded_strings),
     "imported_names": (pa.list_(_STR), "array<string>", lambda t, e: imports.imported_names(t)),
     "used_identifiers": (pa.list_(_STR), "array<string>", lambda t, e: imports.used_identifiers(t)),

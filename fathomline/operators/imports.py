@@ -18,9 +18,9 @@ from .extract import exploded, with_features
 from .rules import without_excluded
 
 
-def specifiers(files: DataFrame) -> DataFrame:
-    """(path, ext, ordinal, specifier, start, end, removal_start, removal_end)."""
-    return exploded(files.filter(F.col("ext").isin(IMPORT_EXTENSIONS)), "module_specifiers")
+def specifiers(files: DataFrame, statements: bool = False) -> DataFrame:
+    """(path, ext, ordinal, specifier, start, end, removal_start, removal_end), by lines as check reads them or by statements as fix does."""
+    return exploded(files.filter(F.col("ext").isin(IMPORT_EXTENSIONS)), "statement_specifiers" if statements else "module_specifiers")
 
 
 def candidates(found: DataFrame, source_extensions: list[str] | None = None) -> DataFrame:
@@ -74,9 +74,9 @@ def resolve(ranked: DataFrame, inventory: DataFrame) -> DataFrame:
     return ranked.join(known, "candidate", "left").groupBy(*keys).agg(hit.alias("_hit")).select(*keys, F.col("_hit.candidate").alias("resolved"))
 
 
-def import_edges(files: DataFrame, source_extensions: list[str] | None = None) -> DataFrame:
+def import_edges(files: DataFrame, source_extensions: list[str] | None = None, statements: bool = False) -> DataFrame:
     """(path, target) of every relative import that resolves."""
-    return resolve(candidates(specifiers(files), source_extensions), files).filter("resolved IS NOT NULL").select("path", F.col("resolved").alias("target"), "specifier", "start", "end")
+    return resolve(candidates(specifiers(files, statements), source_extensions), files).filter("resolved IS NOT NULL").select("path", F.col("resolved").alias("target"), "specifier", "start", "end")
 
 
 def imports(files: DataFrame, aliases: DataFrame | None = None, *, allow_relative: list[str] | Callable[[str, dict], bool] | None = None, remove_dead: bool = False, source_extensions=None, exclude_dirs=None) -> DataFrame:

@@ -71,7 +71,7 @@ def relative_specifier(source: str, target: str, like: str) -> str:
 def move_rewrites(files: DataFrame, moves: DataFrame) -> DataFrame:
     """Edits for every import whose file, or whose target, moves.  moves: (path, suggested_path)."""
     to = moves.select(F.col("path").alias("_p"), F.col("suggested_path").alias("_to"))
-    edges = import_rules.import_edges(files)
+    edges = import_rules.import_edges(files, statements=True)
     both = edges.join(to.select(F.col("_p").alias("path"), F.col("_to").alias("new_source")), "path", "left").join(to.select(F.col("_p").alias("target"), F.col("_to").alias("new_target")), "target", "left")
     touched = both.filter(F.col("new_source").isNotNull() | F.col("new_target").isNotNull())
     name = F.udf(relative_specifier, "string")
@@ -80,13 +80,13 @@ def move_rewrites(files: DataFrame, moves: DataFrame) -> DataFrame:
 
 def alias_edits(files: DataFrame, aliases: DataFrame, allow_relative) -> DataFrame:
     """Relative imports whose target has an alias; allow_relative as in imports()."""
-    edges = import_rules.import_edges(files).withColumnRenamed("target", "resolved").filter(~import_rules.may_stay_relative(allow_relative))
+    edges = import_rules.import_edges(files, statements=True).withColumnRenamed("target", "resolved").filter(~import_rules.may_stay_relative(allow_relative))
     return edges.join(aliases.select("id", F.col("path").alias("resolved")), "resolved").select("path", "start", "end", F.col("id").alias("replacement"))
 
 
 def removal_edits(files: DataFrame) -> DataFrame:
     """Whole-line removal of bare imports that resolve to nothing."""
-    found = import_rules.resolve(import_rules.candidates(import_rules.specifiers(files)), files)
+    found = import_rules.resolve(import_rules.candidates(import_rules.specifiers(files, True)), files)
     lost = found.filter(F.col("resolved").isNull() & F.col("removal_start").isNotNull())
     return lost.select("path", F.col("removal_start").alias("start"), F.col("removal_end").alias("end"), F.lit("").alias("replacement"))
 
@@ -172,7 +172,7 @@ def _collapse(root: str, files: DataFrame, mine: DataFrame, minimum: int) -> dic
     short = r.min_file_lines(mine, minimum).select(F.col("file_path").alias("path"))
     shims = import_rules.redirect_shims(files.filter(F.col("ext").isin(IMPORT_EXTENSIONS))).join(short, "path", "left_semi")
     to = shims.select(F.col("path").alias("target"), F.col("target").alias("final"))
-    edges = import_rules.import_edges(files).join(to, "target").join(shims.select("path"), "path", "left_anti")
+    edges = import_rules.import_edges(files, statements=True).join(to, "target").join(shims.select("path"), "path", "left_anti")
     name = F.udf(relative_specifier, "string")
     edits = edges.select("path", "start", "end", name("path", "final", "specifier").alias("replacement"))
     gone = [row[0] for row in shims.select("path").orderBy("path").collect()]

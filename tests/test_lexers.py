@@ -157,3 +157,28 @@ def test_long_strings_split_where_it_is_safe():
 def test_long_tags_and_sums_are_wrapped(ext, text, want):
     assert formatter.format_text(text, ext, 44) == want
     assert formatter.format_text(want, ext, 44) == want
+
+
+STATEMENTS = """import a from './a'; import b, { c } from "./b"; // import x from './no'
+import {
+  d, // note
+  e as f,
+} from '../d';
+import './side'
+import type { T } from './t'; import './two'
+export * as g from './g'; export { h } from './h';
+const m = await import('./dyn'), n = import(`./tpl`), o: import("./type").O = x;
+const s = "import z from './str'"; myimport('./nope'); x.import('./nope2'); import(`./${v}`);
+import{i}from'./i';
+export const from = './not';
+import.meta.url; import("./last")
+"""
+
+
+def test_specifiers_of_statements():
+    found = imports.statement_specifiers(STATEMENTS, ".ts")
+    assert [f["specifier"] for f in found] == ["./a", "./b", "../d", "./side", "./t", "./two", "./g", "./h", "./dyn", "./tpl", "./type", "./i", "./last"]
+    assert all(STATEMENTS[f["start"] : f["end"]] == f["specifier"] for f in found)
+    assert [STATEMENTS[f["removal_start"] : f["removal_end"]] for f in found if f["removal_start"] is not None] == ["import './side'\n"]
+    assert imports.statement_specifiers("@use 'a';", ".scss") == imports.module_specifiers("@use 'a';", ".scss")
+    assert imports.statement_specifiers("", ".ts") == [] and imports.statement_specifiers("import", ".ts") == []

@@ -268,3 +268,9 @@ def test_candidates_are_worked_out_in_the_engine(spark):
     for r in sorted(candidates(found, [".ts", ".tsx"]).collect(), key=lambda r: r["rank"] or 0):
         got.setdefault(r["ordinal"], []).extend([r["candidate"]] if r["candidate"] is not None else [])
     assert got == {i: resolution_candidates(p.rpartition("/")[0], s, e, [".ts", ".tsx"]) for i, (p, e, *_) in enumerate(rows) for s in [rows[i][3]]}
+
+
+def test_every_import_of_a_statement_line_is_rewritten(spark, tmp_path):
+    root = make(tmp_path, **{"src/a.ts": "import { b } from './b'; import {\n  c,\n} from '../lib/c';\nconst d = import('./b');\nd(b, c);\n", "src/b.ts": "export const b = 1;\n", "lib/c.ts": "export const c = 1;\n"})
+    engine.imports(spark, root, fix=True, strategy="relative-path-slug", allow_relative=[])
+    assert (tmp_path / "src/a.ts").read_text() == "import { b } from '#src-b'; import {\n  c,\n} from '#lib-c';\nconst d = import('#src-b');\nd(b, c);\n"
