@@ -111,25 +111,33 @@ _DEAD = "dead AS (SELECT path, unnest(list_filter([CASE WHEN p_size % 2 <> 0 THE
 
 
 def _modules(kind: str) -> str:
-    """The text of every module: raw, without comments, or with comments (and literals) as blanks."""
+    """The text of every module: raw, without comments, with comments (and literals) as blanks, or formatted.
+
+    Formatting here sets the indent (four blanks in Go, Rust and C#) and leaves one blank line of several, none at the top.
+    """
 
     def comment(signs: tuple[str, str], inner: str) -> str:
         whole = f"{_quote(signs[0])} || {inner} || {_quote(signs[1])}"
-        return whole if kind == "raw" else f"repeat(' ', length({whole}))"
+        return whole if kind in ("raw", "formatted") else f"repeat(' ', length({whole}))"
 
     out = []
-    for i, (_, short, long, header, (before, literal, after), last, end, tail) in enumerate(MODULES):
+    for i, (ext, short, long, header, (before, literal, after), last, end, tail) in enumerate(MODULES):
+        blanks, indent = "repeat(chr(10), e)", "  "
+        if kind == "formatted":
+            blanks, indent = "repeat(chr(10), CASE WHEN a = 0 THEN 0 ELSE least(e, 1) END)", "    " if ext in (".go", ".rs", ".cs") else "  "
+            before, last = indent + before.lstrip(), indent + last.lstrip()
+            tail = tail.replace("\n  ", "\n" + indent).lstrip()
         header_sql = f"replace(replace({_quote(header)}, 'NAME', name), 'ASYNC ', CASE WHEN p_size % 2 = 1 THEN 'async ' ELSE '' END)"
         kept = _quote(" " * len(literal) if kind == "literals" else literal)
         if kind == "stripped":
             note, block, trail = "''", "''", "'  '" if short[1] else "''"
         else:
             note = f"repeat({comment(short, chr(39) + 'note of ' + chr(39) + ' || p_brand')} || chr(10), a)"
-            block = f"repeat('  ' || {comment((long[0], ''), _quote('part'))} || chr(10) || '  ' || {comment(('', long[1]), 'p_type')} || chr(10), b)" if long else f"repeat('  ' || {comment(short, 'p_type')} || chr(10), b)"
+            block = f"repeat('{indent}' || {comment((long[0], ''), _quote('part'))} || chr(10) || '{indent}' || {comment(('', long[1]), 'p_type')} || chr(10), b)" if long else f"repeat('{indent}' || {comment(short, 'p_type')} || chr(10), b)"
             trail = f"' ' || {comment(short, _quote('end'))}"
         ends = f"{_quote(end)} || chr(10) || " if end else ""
         out.append(
-            f"WHEN {i} THEN {note} || repeat(chr(10), e) || {header_sql} || chr(10) || repeat({_quote(before)} || {kept} || {_quote(after)} || chr(10), c) || {block} || repeat(chr(10), g)"
+            f"WHEN {i} THEN {note} || {blanks} || {header_sql} || chr(10) || repeat({_quote(before)} || {kept} || {_quote(after)} || chr(10), c) || {block} || repeat(chr(10), g)"
             f" || {_quote(last)} || CASE WHEN t = 1 THEN {trail} ELSE '' END || chr(10) || {ends}chr(10) || {_quote(tail)} || chr(10)"
         )
     return "CASE turn " + " ".join(out) + " END"
@@ -166,7 +174,9 @@ ORACLE_SQL = {
     "path_redundancy": _REDUNDANT,
     "path_scalars": f"WITH {_PAGES} SELECT page_id, path AS normal, {_DIR} AS dir, {_BASE} AS base, {_EXT} AS ext, CASE WHEN {_EXT} <> '' THEN left({_BASE}, length({_BASE}) - length({_EXT})) ELSE {_BASE} END AS stem, CASE WHEN starts_with(path, '.') THEN path ELSE './' || path END AS dotted, {_SLUG.format('path')} AS slug, substr(sha1(path), 1, 12) AS sha1, {_singular(f'split_part({_DIR}, chr(47), -1)')} AS token, true AS valid FROM pg",
     "alias_ids": f"WITH {_PAGES}, d AS (SELECT DISTINCT path FROM pg), b AS (SELECT path, '#' || {_SLUG.format(f'CASE WHEN {_EXT} <> chr(32) THEN left(path, length(path) - length({_EXT})) ELSE path END')} AS base FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS k FROM b) SELECT CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS id, path FROM n",
-    "text_scalars": r"SELECT conv_id, turn, length(text)::INTEGER AS chars, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END)::INTEGER AS physical, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::INTEGER AS full_lines, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - ends_with(text, chr(10))::INTEGER END)::INTEGER AS lines, len(list_distinct(list_transform(range(1, length(role) + 3), lambda i: substr('  ' || role || '  ', i, 3))))::INTEGER AS grams, CASE role WHEN 'user' THEN 1618501362 WHEN 'assistant' THEN 3007765287 WHEN 'system' THEN 1226705564 END AS fnv FROM conversations",
+    "text_scalars": rf"WITH u AS (SELECT *, CASE WHEN text = '' THEN []::BIGINT[] ELSE flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + ((unicode(c) - 65536)::BIGINT >> 10), 56320 + ((unicode(c) - 65536)::BIGINT & 1023)] END)) END AS units FROM conversations)"
+    rf" SELECT conv_id, turn, length(text)::INTEGER AS chars, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END)::INTEGER AS physical, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::INTEGER AS full_lines, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - ends_with(text, chr(10))::INTEGER END)::INTEGER AS lines,"
+    rf" len(list_distinct(list_transform(range(1, length(text) + 3), lambda i: substr('  ' || text || '  ', i, 3))))::INTEGER AS grams, list_reduce([2166136261::BIGINT] || units, lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS fnv FROM u",
     "dup_groups": f"WITH {_DOCS}, q AS (SELECT path, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM docs), g AS (SELECT list(path ORDER BY path) AS ps FROM q WHERE length(t) >= 40 GROUP BY t HAVING count(*) > 1) SELECT " + _row("dry", "'multiple files'", "'duplicate function group'", _json(confidence="'1'", files=_list("list_sort(list_distinct(ps))"), fixable="'false'", functions="'[' || array_to_string(list_transform(ps, lambda p: '{\"classification\":\"standalone\",\"filePath\":\"' || p || '\",\"language\":\"text\",\"line\":1,\"name\":\"text\",\"topLevel\":false}'), ',') || ']'", locations=_list("list_transform(ps, lambda p: p || '#text')"), reason="'\"duplicate function group requires human canonicalization\"'", signals="'[\"exact-normalized\"]'")) + " FROM g",
     "near_dup_pairs": f"WITH {_PAIRS} SELECT * FROM near",
     "near_dup_components": f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM near UNION SELECT b, a FROM near), walk AS (SELECT x AS id, x AS grp FROM e UNION SELECT e.y, w.grp FROM walk w JOIN e ON e.x = w.id) SELECT id, min(grp) AS grp FROM walk GROUP BY id",
@@ -181,6 +191,7 @@ ORACLE_SQL = {
     "script_duplicates": f"WITH {_SCRIPT}, g AS (SELECT list({{'p': path, 'n': name}} ORDER BY path, name) AS m, p_size % 4 + 2 AS line_no FROM s GROUP BY p_name, p_size HAVING count(*) > 1) SELECT " + _row("dry", "'multiple files'", "'duplicate function group'", _json(confidence="'1'", files=_list("list_sort(list_distinct(list_transform(m, lambda x: x.p)))"), fixable="'false'", functions="'[' || array_to_string(list_transform(m, lambda x: '{\"classification\":\"standalone\",\"filePath\":\"' || x.p || '\",\"language\":\"typescript\",\"line\":' || line_no || ',\"name\":\"' || x.n || '\",\"topLevel\":false}'), ',') || ']'", locations=_list("list_transform(m, lambda x: x.p || '#' || x.n)"), reason="'\"duplicate function group requires human canonicalization\"'", signals="'[\"exact-normalized\"]'")) + " FROM g",
     "script_spacing": f"WITH {_SCRIPT}, x AS (SELECT path, (p_size % 4 = 0)::INTEGER AS more, greatest(p_size % 4 - 1, 0) AS less FROM s) SELECT " + _row("structural-blank-lines", "path", "'file has 1 structural boundary with incorrect blank line spacing'", _json(boundaryCount="'1'", insertedBlankLines="more", removedBlankLines="less"), fix=True) + " FROM x WHERE more + less > 0",
     "stripped_modules": f"WITH {_MODULE}, r AS (SELECT path, {_modules('raw')} AS text, {_modules('stripped')} AS new_text FROM m) SELECT path, new_text FROM r WHERE text <> new_text",
+    "formatted_modules": f"WITH {_MODULE}, r AS (SELECT path, {_modules('raw')} AS text, {_modules('formatted')} AS new_text FROM m) SELECT path, new_text FROM r WHERE text <> new_text",
     "masked_modules": f"WITH {_MODULE} SELECT path, {_modules('comments')} AS masked_text, {_modules('literals')} AS masked_literals FROM m",
     "blank_runs": rf"WITH {_DOCS}, {_SPLIT}, {_LINES}, w AS (SELECT path, line, lag(line) OVER (PARTITION BY path ORDER BY line) AS prior FROM kept WHERE regexp_matches(line_text, '\S')) SELECT path, count(*) AS boundaries, sum(line - prior - 1)::BIGINT AS blank_lines, sum((line - prior = 2)::INTEGER)::BIGINT AS single FROM w WHERE prior IS NOT NULL GROUP BY path",
     "prefix_line_counts": rf"WITH {_DOCS}, {_SPLIT}, {_LINES} SELECT path, line::INTEGER AS line, sum(regexp_matches(line_text, '\S')::INTEGER) OVER (PARTITION BY path ORDER BY line)::BIGINT AS full_lines FROM kept",

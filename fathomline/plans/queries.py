@@ -158,7 +158,7 @@ def alias_ids(spark, sf_dir):
 def text_scalars(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     t = F.col("text")
-    return c.select("conv_id", "turn", F.length(t).alias("chars"), texts.physical_lines(t).alias("physical"), texts.code_lines(t).alias("full_lines"), F.size(texts.text_lines(t)).alias("lines"), F.size(texts.trigrams(F.left(F.col("role"), F.lit(20)))).alias("grams"), texts.fnv1a(F.col("role")).alias("fnv"))
+    return c.select("conv_id", "turn", F.length(t).alias("chars"), texts.physical_lines(t).alias("physical"), texts.code_lines(t).alias("full_lines"), F.size(texts.text_lines(t)).alias("lines"), F.size(texts.trigrams(t)).alias("grams"), texts.fnv1a(t).alias("fnv"))
 
 
 def _squeezed(d: DataFrame) -> DataFrame:
@@ -253,6 +253,12 @@ def formatted_scripts(spark, sf_dir):
     return format_rewrites(scripts(spark, sf_dir), 60)
 
 
+def formatted_modules(spark, sf_dir):
+    from .fix import format_rewrites
+
+    return format_rewrites(modules(spark, sf_dir), 80)
+
+
 def masked_modules(spark, sf_dir):
     """Modules with their comments, then also their literals, as blanks."""
     return with_features(modules(spark, sf_dir), "masked_text", "masked_literals").select("path", "masked_text", "masked_literals")
@@ -304,6 +310,6 @@ def blocking_paths(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     long_lines, file_line_limits, banned_patterns, banned_paths, excluded_paths, path_redundancy, path_scalars, alias_ids, text_scalars, dup_groups, near_dup_pairs, near_dup_components, near_dup_bands, link_unresolved,
-    path_resolution, dead_names, unresolved_imports, comment_counts, function_spans, function_limits, declaration_names, script_duplicates, script_spacing, stripped_modules, formatted_scripts, masked_modules,
+    path_resolution, dead_names, unresolved_imports, comment_counts, function_spans, function_limits, declaration_names, script_duplicates, script_spacing, stripped_modules, formatted_scripts, formatted_modules, masked_modules,
     blank_runs, prefix_line_counts, violations_union, violations_summary, violations_by_rule, rule_file_topn, blocking_paths,
 )}
