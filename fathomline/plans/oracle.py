@@ -38,13 +38,22 @@ def _quote(s: str) -> str:
 
 _LONG = "SELECT " + _row("max-characters-per-line", "path", f"'line ' || line || ' has ' || length(line_text) || ' characters and exceeds the limit of {MAX_WIDTH}'", _json(line="line", characterCount="length(line_text)", max=f"'{MAX_WIDTH}'")) + f" FROM kept WHERE length(line_text) > {MAX_WIDTH}"
 _SIZES = r"sizes AS (SELECT path, CASE WHEN text = '' THEN 0 ELSE len(parts) END AS n, len(list_filter(parts, lambda x: regexp_matches(x, '\S'))) AS code FROM split)"
-_MAX = "SELECT " + _row(
-    "max-file-lines", "path",
-    f"CASE WHEN code > {MAX_LINES} THEN 'file has ' || code || ' lines and exceeds the limit of {MAX_LINES}' ELSE 'file has ' || n || ' physical lines, but only ' || code || ' code lines count toward the limit of {MAX_LINES}' END",
-    f"CASE WHEN code > {MAX_LINES} THEN {_json(lineCount='code', max=str(MAX_LINES))} ELSE {_json(lineCount='n', codeLineCount='code', max=str(MAX_LINES))} END",
-    severity=f"CASE WHEN code > {MAX_LINES} THEN NULL ELSE 'warning' END",
-) + f" FROM sizes WHERE code > {MAX_LINES} OR n > {MAX_LINES}"
-_MIN = "SELECT " + _row("min-file-lines", "path", f"'file has ' || code || CASE WHEN code = 1 THEN ' line' ELSE ' lines' END || ' and is at or below the banned minimum of {MIN_LINES}'", _json(lineCount="code", min=str(MIN_LINES))) + f" FROM sizes WHERE code <= {MIN_LINES}"
+
+
+def _max_lines(most: int) -> str:
+    return "SELECT " + _row(
+        "max-file-lines", "path",
+        f"CASE WHEN code > {most} THEN 'file has ' || code || ' lines and exceeds the limit of {most}' ELSE 'file has ' || n || ' physical lines, but only ' || code || ' code lines count toward the limit of {most}' END",
+        f"CASE WHEN code > {most} THEN {_json(lineCount='code', max=str(most))} ELSE {_json(lineCount='n', codeLineCount='code', max=str(most))} END",
+        severity=f"CASE WHEN code > {most} THEN NULL ELSE 'warning' END",
+    ) + f" FROM sizes WHERE code > {most} OR n > {most}"
+
+
+def _min_lines(least: int) -> str:
+    return "SELECT " + _row("min-file-lines", "path", f"'file has ' || code || CASE WHEN code = 1 THEN ' line' ELSE ' lines' END || ' and is at or below the banned minimum of {least}'", _json(lineCount="code", min=str(least))) + f" FROM sizes WHERE code <= {least}"
+
+
+_MAX, _MIN = _max_lines(MAX_LINES), _min_lines(MIN_LINES)
 
 
 def _banned() -> str:
@@ -192,6 +201,7 @@ ORACLE_SQL = {
     "script_spacing": f"WITH {_SCRIPT}, x AS (SELECT path, (p_size % 4 = 0)::INTEGER AS more, greatest(p_size % 4 - 1, 0) AS less FROM s) SELECT " + _row("structural-blank-lines", "path", "'file has 1 structural boundary with incorrect blank line spacing'", _json(boundaryCount="'1'", insertedBlankLines="more", removedBlankLines="less"), fix=True) + " FROM x WHERE more + less > 0",
     "stripped_modules": f"WITH {_MODULE}, r AS (SELECT path, {_modules('raw')} AS text, {_modules('stripped')} AS new_text FROM m) SELECT path, new_text FROM r WHERE text <> new_text",
     "formatted_modules": f"WITH {_MODULE}, r AS (SELECT path, {_modules('raw')} AS text, {_modules('formatted')} AS new_text FROM m) SELECT path, new_text FROM r WHERE text <> new_text",
+    "module_line_limits": f"WITH {_MODULE}, sizes AS (SELECT path, f + CASE turn WHEN 5 THEN 2 WHEN 1 THEN 5 ELSE 3 END AS n, c + CASE turn WHEN 5 THEN 3 WHEN 1 THEN 6 ELSE 4 END AS code FROM m) {_max_lines(8)} UNION ALL {_min_lines(5)}",
     "masked_modules": f"WITH {_MODULE} SELECT path, {_modules('comments')} AS masked_text, {_modules('literals')} AS masked_literals FROM m",
     "blank_runs": rf"WITH {_DOCS}, {_SPLIT}, {_LINES}, w AS (SELECT path, line, lag(line) OVER (PARTITION BY path ORDER BY line) AS prior FROM kept WHERE regexp_matches(line_text, '\S')) SELECT path, count(*) AS boundaries, sum(line - prior - 1)::BIGINT AS blank_lines, sum((line - prior = 2)::INTEGER)::BIGINT AS single FROM w WHERE prior IS NOT NULL GROUP BY path",
     "prefix_line_counts": rf"WITH {_DOCS}, {_SPLIT}, {_LINES} SELECT path, line::INTEGER AS line, sum(regexp_matches(line_text, '\S')::INTEGER) OVER (PARTITION BY path ORDER BY line)::BIGINT AS full_lines FROM kept",

@@ -259,6 +259,12 @@ def formatted_modules(spark, sf_dir):
     return format_rewrites(modules(spark, sf_dir), 80)
 
 
+def module_line_limits(spark, sf_dir):
+    """Lines of code, comments aside, against both limits."""
+    m = modules(spark, sf_dir)
+    return _out(r.max_file_lines(m, 8).unionByName(r.min_file_lines(m, 5)))
+
+
 def masked_modules(spark, sf_dir):
     """Modules with their comments, then also their literals, as blanks."""
     return with_features(modules(spark, sf_dir), "masked_text", "masked_literals").select("path", "masked_text", "masked_literals")
@@ -310,6 +316,6 @@ def blocking_paths(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     long_lines, file_line_limits, banned_patterns, banned_paths, excluded_paths, path_redundancy, path_scalars, alias_ids, text_scalars, dup_groups, near_dup_pairs, near_dup_components, near_dup_bands, link_unresolved,
-    path_resolution, dead_names, unresolved_imports, comment_counts, function_spans, function_limits, declaration_names, script_duplicates, script_spacing, stripped_modules, formatted_scripts, formatted_modules, masked_modules,
+    path_resolution, dead_names, unresolved_imports, comment_counts, function_spans, function_limits, declaration_names, script_duplicates, script_spacing, stripped_modules, formatted_scripts, formatted_modules, masked_modules, module_line_limits,
     blank_runs, prefix_line_counts, violations_union, violations_summary, violations_by_rule, rule_file_topn, blocking_paths,
 )}
