@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import fnv1a, jaccard, trigrams
+from ..session import shared_folder
 
 
 def bands(grams: Column, width: int = 4, count: int = 4) -> Column:
@@ -64,9 +65,9 @@ def exact_pairs(records: DataFrame, threshold: float = 0.8, length_ratio: float
 
 def groups(pairs: DataFrame) -> DataFrame:
     """(id, grp): connected components, named by their least id."""
-    spark = pairs.sparkSession
-    # each round is written out where there is a folder for it, so that lineage stays short
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.cache())
+    # each round is written out, so that lineage stays short and a lost executor costs a re-read
+    shared_folder(pairs.sparkSession)
+    keep = lambda df: df.checkpoint()
     found = keep(pairs.select("a", "b"))
     both = keep(found.select(F.col("a").alias("id"), F.col("b").alias("other")).union(found.select("b", "a")).distinct())
     labels = keep(both.groupBy("id").agg(F.least("id", F.min("other")).alias("grp")))

@@ -113,6 +113,26 @@ _SLUG = r"CASE WHEN regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-',
 _GRAMS = "r AS (SELECT conv_id * 1000 + turn AS id, role, length(text) AS n, list_distinct(list_transform(range(1, length(text) + 3), lambda i: substr('  ' || text || '  ', i, 3))) AS g FROM conversations WHERE text IS NOT NULL)"
 _PAIRS = f"{_GRAMS}, pairs AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g))::INTEGER AS common, (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::INTEGER AS whole FROM r a JOIN r b ON a.role = b.role AND a.id < b.id AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.75), near AS (SELECT * FROM pairs WHERE common::DOUBLE / whole >= 0.55)"
 
+
+
+def _units(x: str) -> str:
+    """The UTF-16 units of a text that is not empty."""
+    return f"flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + ((unicode(c) - 65536)::BIGINT >> 10), 56320 + ((unicode(c) - 65536)::BIGINT & 1023)] END))"
+
+
+def _fnv(units: str) -> str:
+    return f"list_reduce([2166136261::BIGINT] || {units}, lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+
+
+#: The 16 least hashes of a text's trigrams in four bands, and pairs that share one.
+_BANDS = (
+    f"{_GRAMS}, least16 AS (SELECT id, role, n, g, list_sort(list_transform(g, lambda t: {_fnv(_units('t'))}))[1:16] AS hs FROM r),"
+    " placed AS (SELECT id, role, n, g, unnest(list_filter(list_transform([0, 1, 2, 3], lambda k: CASE WHEN len(hs) > 4 * k THEN k || ':' || array_to_string(hs[4 * k + 1 : 4 * k + 4], ',') END), lambda x: x IS NOT NULL)) AS band FROM least16),"
+    " hits AS (SELECT a.id AS a, b.id AS b, a.g AS ga, b.g AS gb, abs(a.n - b.n) AS apart, count(*) AS hits FROM placed a JOIN placed b ON a.role = b.role AND a.band = b.band AND a.id < b.id AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.75 GROUP BY ALL),"
+    " chosen AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY hits DESC, apart, a) AS k FROM hits),"
+    " scored AS (SELECT a, b, len(list_intersect(ga, gb))::DOUBLE / (len(ga) + len(gb) - len(list_intersect(ga, gb))) AS s FROM chosen WHERE k <= 300)"
+)
+
 _NAME = "replace(p_name, ' ', '_') || '_' || p_size"
 _SCRIPT = f"s AS (SELECT 'parts/' || p_partkey || '.ts' AS path, {_NAME} AS name, p_name, p_brand, p_size, p_partkey + p_size AS goal, 'n_' || split_part(p_name, ' ', 1) AS one, 'k_' || lower(p_type) AS two FROM part)"
 #: Names that a script imports and does not use.
@@ -183,12 +203,13 @@ ORACLE_SQL = {
     "path_redundancy": _REDUNDANT,
     "path_scalars": f"WITH {_PAGES} SELECT page_id, path AS normal, {_DIR} AS dir, {_BASE} AS base, {_EXT} AS ext, CASE WHEN {_EXT} <> '' THEN left({_BASE}, length({_BASE}) - length({_EXT})) ELSE {_BASE} END AS stem, CASE WHEN starts_with(path, '.') THEN path ELSE './' || path END AS dotted, {_SLUG.format('path')} AS slug, substr(sha1(path), 1, 12) AS sha1, {_singular(f'split_part({_DIR}, chr(47), -1)')} AS token, true AS valid FROM pg",
     "alias_ids": f"WITH {_PAGES}, d AS (SELECT DISTINCT path FROM pg), b AS (SELECT path, '#' || {_SLUG.format(f'CASE WHEN {_EXT} <> chr(32) THEN left(path, length(path) - length({_EXT})) ELSE path END')} AS base FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY path) AS k FROM b) SELECT CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS id, path FROM n",
-    "text_scalars": rf"WITH u AS (SELECT *, CASE WHEN text = '' THEN []::BIGINT[] ELSE flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + ((unicode(c) - 65536)::BIGINT >> 10), 56320 + ((unicode(c) - 65536)::BIGINT & 1023)] END)) END AS units FROM conversations)"
+    "text_scalars": f"WITH u AS (SELECT *, CASE WHEN text = '' THEN []::BIGINT[] ELSE {_units('text')} END AS units FROM conversations)"
     rf" SELECT conv_id, turn, length(text)::INTEGER AS chars, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END)::INTEGER AS physical, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')))::INTEGER AS full_lines, (CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - ends_with(text, chr(10))::INTEGER END)::INTEGER AS lines,"
-    rf" len(list_distinct(list_transform(range(1, length(text) + 3), lambda i: substr('  ' || text || '  ', i, 3))))::INTEGER AS grams, list_reduce([2166136261::BIGINT] || units, lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS fnv FROM u",
+    rf" len(list_distinct(list_transform(range(1, length(text) + 3), lambda i: substr('  ' || text || '  ', i, 3))))::INTEGER AS grams, {_fnv('units')} AS fnv FROM u",
     "dup_groups": f"WITH {_DOCS}, q AS (SELECT path, regexp_replace(lower(text), '\\s+', '', 'g') AS t FROM docs), g AS (SELECT list(path ORDER BY path) AS ps FROM q WHERE length(t) >= 40 GROUP BY t HAVING count(*) > 1) SELECT " + _row("dry", "'multiple files'", "'duplicate function group'", _json(confidence="'1'", files=_list("list_sort(list_distinct(ps))"), fixable="'false'", functions="'[' || array_to_string(list_transform(ps, lambda p: '{\"classification\":\"standalone\",\"filePath\":\"' || p || '\",\"language\":\"text\",\"line\":1,\"name\":\"text\",\"topLevel\":false}'), ',') || ']'", locations=_list("list_transform(ps, lambda p: p || '#text')"), reason="'\"duplicate function group requires human canonicalization\"'", signals="'[\"exact-normalized\"]'")) + " FROM g",
     "near_dup_pairs": f"WITH {_PAIRS} SELECT * FROM near",
     "near_dup_components": f"WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS x, b AS y FROM near UNION SELECT b, a FROM near), walk AS (SELECT x AS id, x AS grp FROM e UNION SELECT e.y, w.grp FROM walk w JOIN e ON e.x = w.id) SELECT id, min(grp) AS grp FROM walk GROUP BY id",
+    "near_dup_bands": f"WITH {_BANDS} SELECT a, b, round(s, 3) AS similarity FROM scored WHERE s >= 0.3",
     "link_unresolved": rf"""WITH {_PAGES}, h AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), t AS (SELECT page_id, CASE WHEN starts_with(href, '/') THEN host || href ELSE regexp_replace(regexp_replace(href, '^https?://', ''), '[?#].*$', '') END AS target FROM h) SELECT page_id, target, count(*) AS n FROM t WHERE target NOT IN (SELECT path FROM pg) GROUP BY ALL""",
     "path_resolution": rf"""WITH {_PAGES}, known AS (SELECT DISTINCT path FROM pg WHERE NOT ends_with(path, '/')), u AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS raw FROM pages), f AS (SELECT page_id, raw, [raw, regexp_replace(raw, '#.*$', ''), regexp_replace(raw, '[?#].*$', ''), regexp_replace(regexp_replace(raw, '[?#].*$', ''), '/$', ''), regexp_replace(regexp_replace(raw, '[?#].*$', ''), '/$', '') || '.html'] AS forms FROM u), c AS (SELECT page_id, raw, unnest(range(0, 5)) AS rank, unnest(forms) AS candidate FROM f) SELECT page_id, raw, arg_min(k.path, rank) FILTER (WHERE k.path IS NOT NULL) AS resolved FROM c LEFT JOIN known k ON k.path = candidate GROUP BY page_id, raw""",
     "dead_names": f"WITH {_SCRIPT}, {_DEAD} SELECT path, name FROM dead",
