@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,26 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 _roots: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The session's folder for intermediate tables, under spark.checkpoint.dir.
-
-    Only where that setting is absent and all runs on this machine (tests) a
-    temporary folder is made and set as the checkpoint directory; on a cluster
-    executors would not see it, so there its absence is an error.
-    """
+    """The session's folder for intermediate tables, under spark.checkpoint.dir."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not re.fullmatch(r"local(\[[\d*,\s]+\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="fathomline-")
-            spark.sparkContext.setCheckpointDir(base)
-            spark.conf.set("spark.checkpoint.dir", base)
-        _roots[app] = f"{base.rstrip('/')}/fathomline-{uuid.uuid4().hex}"
+        _roots[app] = f"{shared_folder(spark)}/fathomline-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
 
