@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 
 _roots: dict[str, str] = {}
+_made: list[str] = []  # paths of the scratch tables that are there
 
 
 def scratch(spark: SparkSession) -> str:
@@ -44,6 +46,7 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _made.append(path)
     return out
 
 
@@ -55,10 +58,24 @@ def tidy(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialize made, once nothing reads them any more."""
     for t in tables:
+        _made.remove(t._scratch_path)
         _remove(t.sparkSession, t._scratch_path)
     tidy(tables[0].sparkSession)
 
 
+@contextmanager
+def scratch_of(spark: SparkSession):
+    """Removes the scratch tables made inside, but those that are put in the list it gives."""
+    before, kept = len(_made), []
+    yield kept
+    paths = {t._scratch_path for t in kept}
+    for path in _made[before:]:
+        if path not in paths:
+            _remove(spark, path)
+    _made[before:] = [p for p in _made[before:] if p in paths]
+    tidy(spark)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a number for every row that stays the same however often the result is read.
 

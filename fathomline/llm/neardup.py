@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, numbered, slices, starts_of, tidy, word_hashes
+from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, numbered, scratch_of, slices, starts_of, tidy, word_hashes
 
 _U = np.uint64
 SHINGLE = 5
@@ -222,7 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = left.join(at["a"], "a").join(at["b"], "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
         left = materialize(moved.filter(F.col("a") != F.col("b")).distinct(), "edges")
     if not hooks:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("comp"))
+        return materialize(edges.limit(0).select(F.col("a").alias("node"), F.col("a").alias("comp")), "labels")
     labels = hooks[0]
     for hook in hooks[1:]:
         labels = relabel(labels, hook)
@@ -248,6 +248,19 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     without words that are equal.  Rows that repeat fall into one class.  An
     empty table gives no rows; other columns are ignored.
     """
+    with scratch_of(docs.sparkSession) as kept:
+        members, labels = _linked(docs, id_col, text_col, similarity, bands, rows)
+        kept += [members, labels]
+    named = members.join(labels, "node", "left").select("doc_id", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    # no id ranks last
+    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"))
+    sizes = named.groupBy("comp").agg(F.min(rank).alias("first"), F.sum("n").alias("class_size"))
+    out = named.join(sizes, "comp").select("doc_id", "node", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("first_node"), "class_size", "n")
+    return out.select("doc_id", "node", "class_id", "first_node", "class_size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_n")).drop("_n")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n) of all documents and (node, comp) of the nodes that have links, both stored."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # read several times; rows and slices are the same each time
@@ -360,20 +373,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             every = comp.select("node", "comp").distinct()
             labels = materialize(relabel(every, roots), "labels")
 
-    named = members.join(labels, "node", "left").select("doc_id", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    # no id ranks last
-    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("doc_id"), F.col("node").alias("node"))
-    sizes = named.groupBy("comp").agg(F.min(rank).alias("first"), F.sum("n").alias("class_size"))
-    out = named.join(sizes, "comp").select("doc_id", "node", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("first_node"), "class_size", "n")
-    return out.select("doc_id", "node", "class_id", "first_node", "class_size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_n")).drop("_n")
+    return members, labels
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of every class, the one with the least id, in the columns it came with."""
-    found = classes(docs, id_col=id_col, text_col=text_col, **options)
     name, node = free_names(docs, "_id", "_node")
-    first = found.filter((F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    first = materialize(first.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct(), "kept")
+    with scratch_of(docs.sparkSession) as kept:
+        found = classes(docs, id_col=id_col, text_col=text_col, **options)
+        first = found.filter((F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+        first = materialize(first.select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct(), "kept")
+        kept.append(first)
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     numbered = docs.withColumn(name, F.col(id_col).cast("long")).withColumn(node, digest)
     side = _small_side(first)
