@@ -98,6 +98,12 @@ class Runner:
         options = config["rules"].get("imports", {}).get("alias") or {}
         return alias_ids(files.select("path"), options["strategy"], options.get("prefix", "#")) if options.get("strategy") in ("relative-path-slug", "relative-path-hash") else None
 
+    def violations(self, only: list[str] | None = None) -> DataFrame:
+        """The plan of check, for trees whose violations are too many for the driver; no hook is called."""
+        config = cfg.normalize(self.raw, only=only)
+        files, dirs = self._read(config)
+        return plans.check(config, plans.lexed(files, config["selected"]), dirs, self._aliases(config, files), already_lexed=True)
+
     def check(self, only: list[str] | None = None) -> Result:
         state = {"mode": "check", "root": self.root}
         self._hook("before_run", state)

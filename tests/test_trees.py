@@ -270,6 +270,12 @@ def test_candidates_are_worked_out_in_the_engine(spark):
     assert got == {i: resolution_candidates(p.rpartition("/")[0], s, e, [".ts", ".tsx"]) for i, (p, e, *_) in enumerate(rows) for s in [rows[i][3]]}
 
 
+def test_the_plan_of_check_gives_its_rows(spark, tmp_path):
+    runner = engine.Runner(spark, make(tmp_path, **SOURCES), {"rules": RULES})
+    plan, result = runner.violations(["remove-comments", "banned-files"]), runner.check(["remove-comments", "banned-files"])
+    assert sorted((r["rule"], r["file_path"], r["message"]) for r in plan.collect()) == sorted((v["rule"], v["file_path"], v["message"]) for v in result.violations)
+
+
 def test_every_import_of_a_statement_line_is_rewritten(spark, tmp_path):
     root = make(tmp_path, **{"src/a.ts": "import { b } from './b'; import {\n  c,\n} from '../lib/c';\nconst d = import('./b');\nd(b, c);\n", "src/b.ts": "export const b = 1;\n", "lib/c.ts": "export const c = 1;\n"})
     engine.imports(spark, root, fix=True, strategy="relative-path-slug", allow_relative=[])
