@@ -147,3 +147,11 @@ def test_weights_are_fitted_on_every_training_document(docs, monkeypatch):
     rows = [(i, "a b c") for i in range(6000)]
     lm.score_documents(docs(rows)).collect()
     assert sum(n for *_, n in fitted) == 4 * sum(zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows)
+
+
+def test_columns_that_clash_do_not_matter(spark, docs):
+    rows = [(1, "a b a"), (2, None), (2, "B c"), (None, "a")]
+    names = ["row", "term", "freq", "near", "n", "held_out", "batch", "docs", "levels", "pieces", "score"]
+    wide = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for f in (count_tokens, lm.score_documents):
+        assert sorted(map(str, f(wide).collect())) == sorted(map(str, f(docs(rows)).collect()))

@@ -51,3 +51,10 @@ def test_files_in_order_of_the_ids(docs):
 
 def test_empty_table(docs):
     assert idcoder.round_trip(docs([])).count() == 0
+
+
+def test_columns_that_clash_do_not_matter(spark, docs):
+    rows = [(2, "two words"), (1, None), (1, "one"), (None, "none")]
+    names = ["part", "block", "place", "tie", "data", "n_ids", "start"]
+    wide = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert sorted(map(str, idcoder.round_trip(wide).collect())) == sorted(map(str, idcoder.round_trip(docs(rows)).collect()))
