@@ -36,6 +36,18 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of the queries run inside go when each query ends, not when the driver's memory happens to be swept."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df once to shared storage and read it back.
 
@@ -43,24 +55,19 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     _made.append(path)
     return out
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let the driver find out which jobs are over, so that executors drop their shuffle files."""
-    spark._jvm.System.gc()
-
-
 def discard(*tables: DataFrame) -> None:
     """Remove tables that materialize made, once nothing reads them any more."""
     for t in tables:
         _made.remove(t._scratch_path)
         _remove(t.sparkSession, t._scratch_path)
-    tidy(tables[0].sparkSession)
 
 
 @contextmanager
@@ -73,7 +80,6 @@ def scratch_of(spark: SparkSession):
         if path not in paths:
             _remove(spark, path)
     _made[before:] = [p for p in _made[before:] if p in paths]
-    tidy(spark)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

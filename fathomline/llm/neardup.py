@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, numbered, scratch_of, slices, starts_of, tidy, word_hashes
+from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, numbered, scratch_of, slices, starts_of, word_hashes
 
 _U = np.uint64
 SHINGLE = 5
@@ -281,7 +281,6 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, band
 
     both = packed_slices(source).groupBy("batch").cogroup(frequency_levels(source, buckets).groupBy("batch"))
     signed = materialize(both.applyInArrow(sign, "doc_id long, node binary, bands array<long>, levels binary"), "signed")
-    tidy(spark)
     # every member once; copies of one text are combined before the shuffle
     members = materialize(signed.groupBy("node", "doc_id").agg(F.count("*").alias("n")), "members")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
