@@ -116,6 +116,68 @@ def test_similar_texts(spark):
     assert {(g.id, g.grp) for g in similar.groups(similar.exact_pairs(t, 0.7)).collect()} == {(1, 1), (2, 1), (5, 5), (6, 5)}
 
 
+def brute(rows, threshold, length_ratio=0.75):
+    """(a, b, common, whole) of all pairs of rows (id, language, text)."""
+    grams = [{f"  {t}  "[i : i + 3] for i in range(len(t) + 2)} for _, _, t in rows]
+    out = []
+    for i, (a, la, ta) in enumerate(rows):
+        for j, (b, lb, tb) in enumerate(rows):
+            common, whole = len(grams[i] & grams[j]), len(grams[i] | grams[j])
+            if a < b and la == lb and min(len(ta), len(tb)) >= max(len(ta), len(tb)) * length_ratio and common / whole >= threshold:
+                out.append((a, b, common, whole))
+    return sorted(out)
+
+
+def odd_texts(seed=3, n=150):
+    """Texts of three alphabets, near copies, exact copies, short and empty ones."""
+    import random
+
+    g = random.Random(seed)
+    words = [["the", "tion", "an", "er", "oth"], ["ché", "è", "été", "où"], ["你好", "世界", "𝒳𝒴", "文"]]
+    texts = []
+    for i in range(n):
+        t = " ".join(g.choice(words[i % 3]) + g.choice(words[i % 3]) for _ in range(g.choice([0, 1, 3, 8, 20, 40])))
+        texts += [t, t[: len(t) - g.randrange(3)] + g.choice(["", "x", "yz"])] + [t] * (i % 10 == 0)
+    return [(i * 7 % 1009, "xy"[g.random() < 0.2], t) for i, t in enumerate(texts)]
+
+
+def test_bands_do_not_list_the_pairs_that_share_one(spark):
+    # all pairs of a band travelled before, two rows for each; now the best of each record do
+    plan = similar.band_pairs(spark.createDataFrame([(1, "x", "abc")], "id long, language string, text string"), 0.3)._jdf.queryExecution().analyzed().toString()
+    assert "row_number" not in plan and plan.count("Join") == 1  # that join is with the list of large bands
+
+
+@pytest.mark.parametrize("large", [4096, 5])
+def test_band_pairs_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(similar, "BAND_TEXTS", large)
+    rows = odd_texts()
+    found = {(p.a, p.b): p.similarity for p in similar.band_pairs(spark.createDataFrame(rows, "id long, language string, text string"), 0.3, most_candidates=6).collect()}
+
+    def fnv(gram):
+        h, units = 2166136261, gram.encode("utf-16-le")
+        for i in range(0, len(units), 2):
+            h = (h ^ int.from_bytes(units[i : i + 2], "little")) * 16777619 % 2**32
+        return h
+
+    least = {i: sorted(fnv(g) for g in {f"  {t}  "[k : k + 3] for k in range(len(t) + 2)})[:16] for i, _, t in rows}
+    bands = {i: {(k, *h[k : k + 4]) for k in range(0, len(h), 4)} for i, h in least.items()}
+    size, expected = {i: len(t) for i, _, t in rows}, {}
+    near = {}
+    for a, b, common, whole in brute(rows, 0):
+        if hits := len(bands[a] & bands[b]):
+            near.setdefault(b, []).append((-hits, abs(size[a] - size[b]), a, common / whole))
+    for b, of in near.items():
+        expected |= {(a, b): s for _, _, a, s in sorted(of)[:6] if s >= 0.3}
+    assert expected.keys() == found.keys() and len(found) > 100 and max(map(len, near.values())) > 6
+    assert all(abs(found[p] - s) < 0.00051 for p, s in expected.items())
+
+
+def test_similarity_is_rounded_as_a_double(spark):
+    s = spark.createDataFrame([(406, 800), (9, 16), (1, 1)], "common int, whole int")
+    # 0.5075 is a little less than its decimals say, and was 0.508 before
+    assert [r.s for r in s.select(similar.rounded(s.common / s.whole).alias("s")).collect()] == [0.507, 0.563, 1.0]
+
+
 def test_similar_functions_join_equal_and_near_ones(spark):
     body = "{{\n  const total = {a} + {b};\n  return other(total, {a}, 'some longer text that both of them share {n}');\n}}\n"
     f = files(spark, **{"a.ts": "function one(x, y) " + body.format(a="x", b="y", n=""), "b.ts": "function two(p, q) " + body.format(a="p", b="q", n=""), "c.ts": "function three(p, q) " + body.format(a="p", b="q", n="!"), "d.ts": "function far(p) {\n  const other_things = p.map(String).join('-').trim();\n  return other_things;\n}\n"})
