@@ -1,8 +1,10 @@
 import json
 
+import numpy as np
 import pytest
 
 from fathomline import config as cfg
+from fathomline.operators import gramsets
 from fathomline.operators import imports as imp
 from fathomline.operators import rules as r
 from fathomline.operators import similar
@@ -178,6 +180,34 @@ def test_similarity_is_rounded_as_a_double(spark):
     assert [r.s for r in s.select(similar.rounded(s.common / s.whole).alias("s")).collect()] == [0.507, 0.563, 1.0]
 
 
+@pytest.mark.parametrize("most", [8192, 9])
+def test_exact_pairs_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(similar, "PART_TEXTS", most)
+    rows = odd_texts(5)
+    for threshold in (0.4, 0.8):
+        found = similar.exact_pairs(spark.createDataFrame(rows, "id long, language string, text string"), threshold)
+        assert sorted((p.a, p.b, p.common, p.whole) for p in found.collect()) == brute(rows, threshold)
+
+
+def test_exact_pairs_keep_to_a_language_where_ids_meet(spark):
+    # the pair came twice before, as its ids were looked up in both languages
+    t = spark.createDataFrame([(1, "x", "the quick fox"), (2, "x", "the quick fax"), (1, "y", "the quick fox"), (None, "x", "the quick fox"), (3, None, "the quick fox")], "id long, language string, text string")
+    assert [(p.a, p.b, p.common, p.whole) for p in similar.exact_pairs(t, 0.5).collect()] == [(1, 2, 12, 18)]
+
+
+@pytest.mark.parametrize("bits, first", [(16384, 32), (128, 1), (64, 1)])
+def test_cell_pairs_equal_brute_force(monkeypatch, bits, first):
+    monkeypatch.setattr(gramsets, "BITS", bits)
+    monkeypatch.setattr(gramsets, "FIRST_WORDS", first)
+    rows = [(i, "x", t) for i, (_, _, t) in enumerate(odd_texts(7))]
+    texts = [t for _, _, t in rows]
+    sets, n = gramsets.Sets(texts), np.array([len(t) for t in texts])
+    x, y = np.arange(0, len(rows), 2), np.arange(1, len(rows), 2)
+    parts = [p for cell in ((x, None), (y, None), (x, y)) for p in gramsets.cell_pairs(*cell, n, sets, 0.4, 0.75)]
+    found = [(int(min(p, q)), int(max(p, q)), int(c), int(sets.size[p] + sets.size[q] - c)) for a, b, common in parts for p, q, c in zip(a, b, common, strict=True)]
+    assert sorted(found) == brute(rows, 0.4)
+
+
 def test_similar_functions_join_equal_and_near_ones(spark):
     body = "{{\n  const total = {a} + {b};\n  return other(total, {a}, 'some longer text that both of them share {n}');\n}}\n"
     f = files(spark, **{"a.ts": "function one(x, y) " + body.format(a="x", b="y", n=""), "b.ts": "function two(p, q) " + body.format(a="p", b="q", n=""), "c.ts": "function three(p, q) " + body.format(a="p", b="q", n="!"), "d.ts": "function far(p) {\n  const other_things = p.map(String).join('-').trim();\n  return other_things;\n}\n"})
