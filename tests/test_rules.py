@@ -208,6 +208,14 @@ def test_cell_pairs_equal_brute_force(monkeypatch, bits, first):
     assert sorted(found) == brute(rows, 0.4)
 
 
+def test_components_come_from_few_links(spark):
+    rows = [(i, "x", "the quick brown fox") for i in range(40)] + [(90, "x", "the quick brown fix"), (91, "y", "the quick brown fox"), (92, "x", "")]
+    links = similar.exact_links(spark.createDataFrame(rows, "id long, language string, text string"), 0.6)
+    # of 820 pairs, all of which were linked before
+    assert links.count() == 40
+    assert {(g.id, g.grp) for g in similar.groups(links).collect()} == {(i, 0) for i in [*range(40), 90]}
+
+
 def test_similar_functions_join_equal_and_near_ones(spark):
     body = "{{\n  const total = {a} + {b};\n  return other(total, {a}, 'some longer text that both of them share {n}');\n}}\n"
     f = files(spark, **{"a.ts": "function one(x, y) " + body.format(a="x", b="y", n=""), "b.ts": "function two(p, q) " + body.format(a="p", b="q", n=""), "c.ts": "function three(p, q) " + body.format(a="p", b="q", n="!"), "d.ts": "function far(p) {\n  const other_things = p.map(String).join('-').trim();\n  return other_things;\n}\n"})
