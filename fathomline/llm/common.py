@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
+#: Bytes of a batch that goes to a Python worker, about.
+BATCH = 8 << 20
+
 _roots: dict[str, str] = {}
 _made: list[str] = []  # paths of the scratch tables that are there
 
@@ -94,6 +97,19 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return rows if plan.nodeName().startswith("Relation ") or plan.nodeName() == "LogicalRelation" else materialize(rows, "numbered")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python workers hold about BATCH bytes, unless the session sets a bound itself.
+
+    Spark's own bound is 64 MB, so all of a task's texts would be one batch: in
+    the JVM twice outside its heap, as vectors and as the stream to the worker,
+    and once more in the worker.  The bound is read when a table is computed,
+    which may be after its operator has returned, so it is not taken back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores in front until df has no column of it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, crc_mod, free_names, slices, starts_of
+from .common import as_text, crc_mod, free_names, slices, small_batches, starts_of
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -155,6 +155,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if keep:
         docs = docs.drop(*(c for c in docs.columns if c in names))
     spark = docs.sparkSession
+    small_batches(spark)
     out_of = F.coalesce(crc_mod(F.col(id_col), held_out_mod) == held_out, F.lit(False))
     train = docs.filter(~out_of & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sized = train.groupBy(lang_col).agg(F.count("*"), F.sum(F.octet_length(text_col))).limit(most_langs + 1).collect()

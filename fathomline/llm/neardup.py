@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, numbered, scratch_of, slices, starts_of, word_hashes
+from .common import as_text, coded_words, free_names, input_bytes, materialize, mix64, numbered, scratch_of, slices, small_batches, starts_of, word_hashes
 
 _U = np.uint64
 SHINGLE = 5
@@ -261,7 +261,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of all documents and (node, comp) of the nodes that have links, both stored."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # read several times; rows and slices are the same each time
     source = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), "row").select("row", "doc_id", "text")

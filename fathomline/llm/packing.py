@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, starts_of
+from .common import numbered, slices, small_batches, starts_of
 from .tokens import WordEncoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -132,6 +132,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     fills windows of its own.  An empty table gives no rows.  Further columns
     are ignored.
     """
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     rows_in = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "row")
     part = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)).cast("long")

@@ -1,10 +1,12 @@
 import os
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import common
+from fathomline.llm import common, langid, neardup, packing, substrings
 
+BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,3 +35,22 @@ def test_slices_hold_every_row_once():
     batch = pa.record_batch([pa.array(["a" * n for n in (1, 50, 0, 200, 3)] + [None]), pa.array(range(6))], names=["text", "k"])
     parts = list(common.slices(batch, "text", 60))
     assert [k for p in parts for k in p.column(1).to_pylist()] == list(range(6)) and len(parts) > 1
+
+
+@pytest.mark.parametrize("operator", [langid.keep_identified, neardup.drop_near_duplicates, substrings.remove_repeats, packing.pack])
+def test_workers_get_small_batches(spark, docs, operator):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    spark.conf.unset(BOUND)
+    operator(docs([(1, "a b c", "en")]))
+    wide = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcd "), 2000).alias("text"))
+    got = wide.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 9 << 20
+
+
+def test_a_bound_of_the_session_stays(spark, docs):
+    spark.conf.set(BOUND, "1000")
+    assert {r.doc_id for r in packing.pack(docs([(1, "a b"), (2, "c")])).collect()} == {1, 2} and spark.conf.get(BOUND) == "1000"
+    spark.conf.unset(BOUND)
