@@ -174,6 +174,24 @@ def test_band_pairs_equal_brute_force(spark, monkeypatch, large):
     assert all(abs(found[p] - s) < 0.00051 for p, s in expected.items())
 
 
+def test_best_in_band_takes_the_nearest_lengths():
+    # from 32 characters apart on the key overflowed before, as lengths come with 32 bits
+    n = np.arange(1000, 1400, 5, dtype=np.int32)[::-1].copy()
+    best = gramsets.best_in_band(n, np.arange(80), np.zeros((80, 1), np.int64), 0, np.ones(80, bool), 0.75, 20)
+    got = {(b, a) for bs, as_, _ in best for b, a in zip(bs.tolist(), as_.tolist(), strict=True)}
+    fits = lambda a, b: min(n[a], n[b]) >= max(n[a], n[b]) * 0.75
+    want = {(b, a) for b in range(80) for a in sorted((a for a in range(b) if fits(a, b)), key=lambda a: (abs(int(n[a]) - int(n[b])), a))[:20]}
+    assert got == want
+
+
+def test_band_pairs_far_apart_in_length(spark):
+    # one band, the last text is the shortest: the nearest of the others are chosen, 40 characters and more away
+    head = "".join(f"{chr(97 + i % 26)}{chr(97 + i * 7 % 26)}{chr(97 + i * 11 % 26)} " for i in range(26)) * 5
+    rows = [(i, "x", head + " " * (300 - 40 * i)) for i in range(7)]
+    found = similar.band_pairs(spark.createDataFrame(rows, "id long, language string, text string"), 0.3, length_ratio=0.5, most_candidates=2).collect()
+    assert {(p.a, p.b) for p in found} == {(a, b) for b in range(7) for a in range(max(0, b - 2), b)}
+
+
 def test_similarity_is_rounded_as_a_double(spark):
     s = spark.createDataFrame([(406, 800), (9, 16), (1, 1)], "common int, whole int")
     # 0.5075 is a little less than its decimals say, and was 0.508 before
