@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import input_bytes, numbered, slices, starts_of
-from .tokens import WordEncoder
+from .tokens import kept_encoder
 
 MAGIC = b"FTID"
 VERSION = 1
@@ -89,17 +89,17 @@ class _Model:
         """Look up both contexts of every lane: one id back, and two."""
         self.at1 = one & self.mask1
         self.at2 = ((two * 40503 + one) * 2654435761 >> 9) & (_SLOTS2 - 1)
-        self.v1, self.v2 = self.slots1[self.at1], self.slots2[self.at2]
+        self.v1, self.v2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
         self.c1, self.c2 = self.v1 >> 2, self.v2 >> 2
         self.s1, self.s2 = self.v1 & 3, self.v2 & 3
         self.state = (self.s2 * _CONF + self.s1) * 2 + (self.c1 == self.c2)
-        self.w2, self.w12 = self.width2[self.state], self.width12[self.state]
+        self.w2, self.w12 = self.width2.take(self.state), self.width12.take(self.state)
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of every lane's id on the scale of _TOTAL."""
         left = _TOTAL - self.w12
-        low = self.cum[ids] * left >> _TOTAL_BITS
-        width = (self.cum[ids + 1] * left >> _TOTAL_BITS) - low
+        low = self.cum.take(ids) * left >> _TOTAL_BITS
+        width = (self.cum.take(ids + 1) * left >> _TOTAL_BITS) - low
         low += self.w12
         self.hit2 = ids == self.c2
         self.hit1 = ids == self.c1
@@ -114,17 +114,17 @@ class _Model:
         ids = np.where(value < self.w2, self.c2, self.c1).astype(np.int64)
         miss = np.flatnonzero(value >= self.w12)
         if len(miss):
-            w12 = self.w12[miss]
+            w12 = self.w12.take(miss)
             # the largest cum whose scaled start is at most the rest of value
-            goal = (((value[miss] - w12 + 1) << _TOTAL_BITS) - 1) // (_TOTAL - w12)
+            goal = ((((value.take(miss) - w12 + 1) << _TOTAL_BITS) - 1).view(_U) // (_TOTAL - w12).view(_U)).view(np.int64)
             np.minimum(goal, _TOTAL - 1, out=goal)
             if self.cells is None:
                 edges = np.arange((_TOTAL >> _CELL_BITS) + 1, dtype=np.int32) << _CELL_BITS
                 self.cells = np.searchsorted(self.cum, edges, side="right") - 1
             cell = goal >> _CELL_BITS
-            got = self.cells[cell]
-            many = np.flatnonzero(self.cells[cell + 1] != got)
-            got[many] = np.searchsorted(self.cum, goal[many].astype(np.int32), side="right") - 1
+            got = self.cells.take(cell)
+            many = np.flatnonzero(self.cells.take(cell + 1) != got)
+            got[many] = np.searchsorted(self.cum, goal.take(many).astype(np.int32), side="right") - 1
             ids[miss] = np.minimum(got, self.vocab - 1)
         return ids
 
@@ -161,53 +161,55 @@ def encode_ids(ids: np.ndarray, vocab: int, lanes: int) -> bytes:
     steps, lens, first = _lane_lengths(n, lanes)
     model = _Model(vocab)
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    words, at = np.zeros((lanes, 2 * steps + 8), "<u2"), np.zeros(lanes, np.int64)
+    # a row of words for each lane; at: the place of each lane's next word in all rows
+    words = np.zeros((lanes, 2 * steps + 8), "<u2")
+    flat, row = words.reshape(-1), np.arange(lanes) * words.shape[1]
+    at = row.copy()
     one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     ids = ids.astype(np.int64)
     for step in range(steps):
-        if step % 64 == 0 and int(at.max()) + 512 > words.shape[1]:
+        if step % 64 == 0 and int((at - row).max()) + 512 > words.shape[1]:
             words = np.concatenate([words, np.zeros((lanes, words.shape[1] + 512), "<u2")], axis=1)
+            at -= row
+            flat, row = words.reshape(-1), np.arange(lanes) * words.shape[1]
+            at += row
         live = lanes if step < lens[-1] else int((lens > step).sum())
-        now = ids[first[:live] + step]
+        now = ids.take(first[:live] + step)
         model.predict(one[:live], two[:live])
         start, width = model.span(now)
         lo, r = low[:live], rng[:live]
         r >>= _U(_TOTAL_BITS)
         lo += start.view(_U) * r
         r *= width.view(_U)
-        who = _unsettled(lo, r)
+        who = np.flatnonzero(_settle(lo, r))
         while len(who):
-            words[who, at[who]] = lo[who] >> _U(48)
-            at[who] += 1
-            lo[who] <<= _U(16)
-            r[who] <<= _U(16)
-            who = who[_settle(lo, r, who)]
+            out, rest, place = lo.take(who), r.take(who), at.take(who)
+            flat[place] = out >> _U(48)
+            at[who] = place + 1
+            out <<= _U(16)
+            rest <<= _U(16)
+            again = _settle(out, rest)
+            lo[who], r[who] = out, rest
+            who = who[again]
         model.learn(now)
         two[:live] = one[:live]
         one[:live] = now
     last = (low + _LOW32) >> _U(32)
     for part in (last >> _U(16), last & _U(0xFFFF)):
-        words[np.arange(lanes), at] = part
+        flat[at] = part
         at += 1
+    at -= row
     full = np.arange(words.shape[1]) < at[:, None]
     return at.astype("<u4").tobytes() + words[full].tobytes()
 
 
-def _unsettled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
-    """Lanes that must put out a word; a range too small is cut to the next border."""
+def _settle(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Whether each lane must put out a word; a range too small is cut to the next border."""
     same = ((low ^ (low + rng)) < _TOP)
-    small = ~same & (rng < _BOTTOM)
+    small = rng < _BOTTOM
+    small &= ~same
     if small.any():
         rng[small] = (~low[small] + _U(1)) & _LOW32
-    return np.flatnonzero(same | small)
-
-
-def _settle(low: np.ndarray, rng: np.ndarray, who: np.ndarray) -> np.ndarray:
-    lo, r = low[who], rng[who]
-    same = (lo ^ (lo + r)) < _TOP
-    small = ~same & (r < _BOTTOM)
-    if small.any():
-        rng[who[small]] = (~lo[small] + _U(1)) & _LOW32
     return same | small
 
 
@@ -220,8 +222,10 @@ def decode_ids(body: bytes, n: int, vocab: int, lanes: int) -> np.ndarray:
     end = at + count
 
     def word(who: np.ndarray) -> np.ndarray:
-        got = np.where(at[who] < end[who], flat[np.minimum(at[who], len(flat) - 1)], _U(0))
-        at[who] += 1
+        place = at.take(who)
+        got = flat.take(place, mode="clip")
+        got[place >= end.take(who)] = 0
+        at[who] = place + 1
         return got
 
     every = np.arange(lanes)
@@ -242,12 +246,13 @@ def decode_ids(body: bytes, n: int, vocab: int, lanes: int) -> np.ndarray:
         start, width = model.span(now)
         lo += start.view(_U) * r
         r *= width.view(_U)
-        who = _unsettled(lo, r)
+        who = np.flatnonzero(_settle(lo, r))
         while len(who):
-            code[who] = (code[who] << _U(16)) | word(who)
-            lo[who] <<= _U(16)
-            r[who] <<= _U(16)
-            who = who[_settle(lo, r, who)]
+            code[who] = (code.take(who) << _U(16)) | word(who)
+            left, rest = lo.take(who) << _U(16), r.take(who) << _U(16)
+            again = _settle(left, rest)
+            lo[who], r[who] = left, rest
+            who = who[again]
         model.learn(now)
         two[:live] = one[:live]
         one[:live] = now
@@ -299,7 +304,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = kept_encoder(vocabulary)
         vocab = max(encoder.vocab_size, end_id + 1)
         block, part, keys, lens, kept = 0, 0, [], [], []
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from fathomline.llm.packing import Bins, pack, plan
-from fathomline.llm.tokens import WordEncoder, vocabulary
+from fathomline.llm.tokens import WordEncoder, kept_encoder, vocabulary
 
 from .conftest import ODD
 
@@ -77,3 +77,42 @@ def test_word_encoder_equals_the_library(text):
     n, ids = WordEncoder("word_bpe_49k.json").encode(pa.array([text, text + " " + text]))
     assert ids[: n[0]].tolist() == ids_of(text)[:-1]
     assert ids[n[0] :].tolist() == ids_of(text + " " + text)[:-1]
+
+
+#: The letters of PLAIN with capitals, signs that may follow them, marks that combine, the specials' signs.
+SIGNS = "aZsßéÉÿÞØ×÷'.,!?;:*%&$#)]}\"(<|>- \t\ń̸ 7"
+
+
+@given(st.lists(st.text(SIGNS, max_size=25) | st.sampled_from(["it's***", "É́***", "a<|endoftext|>* b*", "ÀÖ×Þ) ÷é]}\"", "d'***, 's$$$"]), min_size=1, max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_word_encoder_equals_the_library_where_signs_follow(texts):
+    import pyarrow as pa
+
+    encoder = kept_encoder("word_bpe_49k.json")
+    n, ids = encoder.encode(pa.array(texts))
+    at = [0, *np.cumsum(n).tolist()]
+    assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [encoder.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_encoded_once():
+    import pyarrow as pa
+
+    # signs after a word made another word of it before, and every task began with no words
+    encoder = WordEncoder("word_bpe_49k.json")
+    encoder.encode(pa.array(["so so*** so) so$$$ so*** Ça ça***"]))
+    assert encoder.known.n == 6  # so, Ça, ça and three runs of signs
+    one = kept_encoder("word_bpe_49k.json")
+    one.encode(pa.array(["a word"]))
+    assert kept_encoder("word_bpe_49k.json") is one and one.known.n >= 2
+
+
+def test_word_encoder_is_emptied_at_many_ids():
+    import pyarrow as pa
+
+    # words were counted alone, so long ones could hold any number of ids
+    encoder = WordEncoder("word_bpe_49k.json", most_words=10)
+    for k in range(40):
+        text = f"{k}" * 30
+        n, ids = encoder.encode(pa.array([text]))
+        assert ids.tolist() == encoder.tok.encode(text, add_special_tokens=False).ids
+        assert encoder.at[encoder.known.n] <= 16 * 10 + 60
