@@ -65,3 +65,29 @@ def test_lanes_grow_where_ids_are_dear():
     ids = np.random.default_rng(5).permutation(1 << 16)
     for lanes in (5, 218, 1024):
         assert (idcoder.decode_ids(idcoder.encode_ids(ids, 1 << 16, lanes), len(ids), 1 << 16, lanes) == ids).all()
+
+
+def test_coding_does_few_passes(monkeypatch):
+    # a block costs what its array passes cost: ids are found by looks alone, and order 0 is renewed as the block grows by half
+    ids = np.minimum(np.random.default_rng(7).zipf(1.2, 1 << 17), 49_999) - 1
+    renewals, renew = [], idcoder._Model._renew
+    monkeypatch.setattr(idcoder._Model, "_renew", lambda model: (renewals.append(1), renew(model))[1])
+    monkeypatch.setattr(np, "searchsorted", None)
+    body = idcoder.encode_ids(ids, 50_000, 512)
+    assert (idcoder.decode_ids(body, len(ids), 50_000, 512) == ids).all()
+    assert len(renewals) <= 2 * 11
+    assert len(body) < 1.3 * len(ids)
+
+
+@given(st.integers(1, 3000), st.sampled_from([1, 2, 7, 300, 4096]), st.sampled_from([2, 1000, 70_000, 300_000]), st.integers(0, 99))
+@settings(max_examples=60, deadline=None)
+def test_frequent_and_rare_ids_of_all_vocabularies(n, lanes, vocab, seed):
+    # runs, a few frequent ids, and ids that have no cell of the scale
+    rng = np.random.default_rng(seed)
+    ids = np.where(rng.random(n) < 0.5, rng.integers(0, 2, n), rng.integers(0, vocab, n)).repeat(rng.integers(1, 6, n))
+    assert (idcoder.decode_ids(idcoder.encode_ids(ids, vocab, lanes), len(ids), vocab, lanes) == ids).all()
+
+
+def test_more_ids_than_the_scale_holds():
+    with pytest.raises(ValueError):
+        idcoder.encode_ids(np.array([1, 2]), 1 << 21, 4)
