@@ -204,12 +204,10 @@ def word_hashes(words: pa.Array) -> np.ndarray:
         return np.zeros(0, np.uint64)
     words = pa.concat_arrays([words.cast(pa.string())])  # offsets from 0
     at = np.frombuffer(words.buffers()[1], np.int32, n + 1).astype(np.int64)
-    raw = np.zeros(int(at[-1]) + 8, np.uint64)
-    raw[: at[-1] - at[0]] = np.frombuffer(words.buffers()[2] or b"", np.uint8, int(at[-1]))[at[0] :]
+    raw = np.zeros(int(at[-1] - at[0]) + 8, np.uint8)
+    raw[:-8] = np.frombuffer(words.buffers()[2] or b"", np.uint8, int(at[-1]))[at[0] :]
     at -= at[0]
-    eight = raw[:-7].copy() if len(raw) > 7 else raw
-    for k in range(1, 8):
-        eight |= raw[k : len(eight) + k] << np.uint64(8 * k)
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # eight bytes from every place on, read where they lie
     left = np.diff(at)
     out = mix64(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     live, place = np.flatnonzero(left > 0), at[:-1]

@@ -144,10 +144,11 @@ class WordEncoder:
         keys = word_hashes(words)
         if self.known.n > self.most or self.at[self.known.n] > 16 * self.most:
             self._clear()
-        new = self.known.find(keys) < 0
+        place = self.known.find(keys)
+        new = place < 0
         if new.any():
             self._add(words.filter(pa.array(new)), keys[new])
-        place = self.known.find(keys)
+            place[new] = self.known.find(keys[new])
         first, n = self.at[place], (self.at[place + 1] - self.at[place])[codes]
         ends = np.cumsum(n, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0

@@ -54,3 +54,21 @@ def test_a_bound_of_the_session_stays(spark, docs):
     spark.conf.set(BOUND, "1000")
     assert {r.doc_id for r in packing.pack(docs([(1, "a b"), (2, "c")])).collect()} == {1, 2} and spark.conf.get(BOUND) == "1000"
     spark.conf.unset(BOUND)
+
+
+def test_hashes_of_words_are_those_of_their_bytes():
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def plain(word):
+        raw = word.encode()
+        out = mix((len(raw) + 0x9E3779B97F4A7C15) % 2**64)
+        for k in range(0, len(raw), 8):
+            out = mix((out * 0xD6E8FEB86659FD93 + int.from_bytes(raw[k : k + 8], "little")) % 2**64)
+        return out
+
+    words = ["", *("abcdéfg漢ijklmnopqrstuvw"[:n] for n in range(1, 24)), "", "\0", "\0\0"]
+    for array in (pa.array(words), pa.array(words).slice(5, 9), pa.array(words).slice(24), pa.array([""]), pa.array([], pa.string())):
+        assert common.word_hashes(array).tolist() == [plain(w) for w in array.to_pylist()]
